@@ -1,4 +1,4 @@
 """All registered queries, by theme."""
 
-from bandloom.plans.catalogue import scores  # noqa: F401
+from bandloom.plans.catalogue import naming, places, preparing, scores  # noqa: F401
 from bandloom.plans.registry import ORACLES, QUERIES  # noqa: F401
