@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.functions.sizing import bounded_rows
+from bandloom.functions.sizing import bounded_rows, lookup_join
 
 HASH_DIGITS = 3  # hex digits of the hash that form a bucket: 16^3 buckets per class
 
@@ -57,6 +57,67 @@ def hash_rank(
     return joined.withColumn(out, F.col("_before") + F.col("_rn")).select(*df.columns, out)
 
 
+def lead_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    lead: str,
+    id_col: str,
+    seed: int | str,
+    out: str = "rank",
+    digits: int = HASH_DIGITS,
+) -> DataFrame:
+    """Rank within `keys` by `lead` descending, then in seeded hash order.
+
+    Offsets come in two steps, rows above a lead value and rows above a bucket
+    within it, so neither many lead values nor one huge one meet in one task.
+    """
+    keys = list(keys)
+    hashed = df.withColumn("_h", seeded_hash(seed, id_col)).withColumn("_b", F.substring("_h", 1, digits))
+    per_bucket = hashed.groupBy(*keys, lead, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    per_lead = per_bucket.groupBy(*keys, lead).agg(F.sum("_n").alias("_m"))
+    above = Window.partitionBy(*keys).orderBy(F.desc(lead)).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, lead).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    lead_offsets = per_lead.select(*keys, lead, F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_above"))
+    offsets = per_bucket.select(*keys, lead, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")).join(
+        lead_offsets, [*keys, lead]
+    )
+    inside = Window.partitionBy(*keys, lead, "_b").orderBy("_h", id_col)
+    joined = hashed.withColumn("_rn", F.row_number().over(inside)).join(offsets, [*keys, lead, "_b"])
+    rank = F.col("_above") + F.col("_before") + F.col("_rn")
+    return joined.withColumn(out, rank).select(*df.columns, out)
+
+
+def rows_at_ranks(
+    df: DataFrame,
+    key: str,
+    wanted: DataFrame,
+    id_col: str,
+    seed: int | str,
+    digits: int = HASH_DIGITS,
+) -> DataFrame:
+    """Rows of `df` at given ranks per key, in seeded hash order.
+
+    `wanted` has `key`, `rank` and any further columns; a rank asked for twice
+    gives two rows. Only buckets that hold a wanted rank are sorted.
+    """
+    hashed = df.withColumn("_h", seeded_hash(seed, id_col)).withColumn("_b", F.substring("_h", 1, digits))
+    per_bucket = hashed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    spans = per_bucket.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_from", F.col("_upto") - F.col("_n"))
+    extra = [c for c in wanted.columns if c not in (key, "rank")]
+    # Buckets hold equal shares of a class, so the bucket of a rank is near rank/n of
+    # the way; joining on the class alone is bounded by draws times buckets.
+    placed = (
+        wanted.join(spans, key)
+        .filter((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_upto")))
+        .select(key, "_b", *extra, (F.col("rank") - F.col("_from")).alias("_rn"))
+    )
+    used = placed.select(key, "_b").distinct()
+    inside = Window.partitionBy(key, "_b").orderBy("_h", id_col)
+    ranked = lookup_join(hashed, used, [key, "_b"], "inner").withColumn("_rn", F.row_number().over(inside))
+    return ranked.join(placed, [key, "_b", "_rn"]).select(*df.columns, *extra)
+
+
 def hash_cuts(
     df: DataFrame,
     key: str,
