@@ -10,10 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandloom.functions.matrix import matrix
 from bandloom.functions.ordering import seeded_hash
-from bandloom.functions.sizing import bounded_rows
+from bandloom.functions.sizing import SALTS, bounded_rows
 from bandloom.operators.prepare import band_count
 
 # Doubles the reference side may hold to be copied to every task.
@@ -57,9 +58,9 @@ def closest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> list[tuple
     return out
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, k: int, d: int | None = None, query_id: str = "sample_id",
+def knn_join(queries: DataFrame, refs: DataFrame, k: int, d: int | None = None, keep: Sequence[str] = ("sample_id",),
              limit: int = BROADCAST_DOUBLES) -> DataFrame:
-    """(query_id, neighbors): the k nearest references of every query, nearest first.
+    """Columns in `keep` and `neighbors`: the k nearest references, nearest first.
 
     `refs` has sample_id, label and bands. A reference side of checked size is
     copied to the tasks; a larger one is joined block by block, still exactly.
@@ -68,17 +69,17 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, d: int | None = None,
     cap = max(1, limit // (d + 2))
     table = refs.select("sample_id", F.col("label").cast("int").alias("label"), "bands")
     if table.select(F.lit(1)).limit(cap + 1).count() <= cap:
-        return _copied_join(queries, table.toArrow(), neighbor_type(refs), k, d, query_id)
-    return _blocked_join(queries, table, k, d, query_id)
+        return _copied_join(queries, table.toArrow(), neighbor_type(refs), k, d, list(keep))
+    return _blocked_join(queries, table, k, d, list(keep))
 
 
-def _copied_join(queries: DataFrame, refs: pa.Table, kind_out: str, k: int, d: int, query_id: str) -> DataFrame:
+def _copied_join(queries: DataFrame, refs: pa.Table, kind_out: str, k: int, d: int, keep: list[str]) -> DataFrame:
     batch = refs.combine_chunks().to_batches()
     r = matrix(batch[0], d) if batch else np.empty((0, d))
     ids = plain_ids(refs.column("sample_id").to_numpy()) if batch else np.empty(0, int)
     labels = refs.column("label").to_numpy() if batch else np.empty(0, int)
     shared = queries.sparkSession.sparkContext.broadcast((r, ids, labels))
-    kind = queries.schema[query_id].dataType.simpleString()
+    schema = T.StructType([queries.schema[c] for c in keep] + [T.StructField("neighbors", T.DataType.fromDDL(kind_out))])
 
     def run(batches):
         rr, rid, rlab = shared.value
@@ -93,9 +94,9 @@ def _copied_join(queries: DataFrame, refs: pa.Table, kind_out: str, k: int, d: i
                 names=["distance", "ref_id", "label"],
             )
             lists = pa.ListArray.from_arrays(pa.array(ends), structs)
-            yield pa.RecordBatch.from_arrays([b.column(query_id), lists], names=[query_id, "neighbors"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], names=[*keep, "neighbors"])
 
-    return queries.select(query_id, "bands").mapInArrow(run, f"{query_id} {kind}, neighbors {kind_out}")
+    return queries.select(*keep, "bands").mapInArrow(run, schema)
 
 
 def _top_copies(refs: DataFrame, k: int) -> DataFrame:
@@ -109,7 +110,7 @@ def _top_copies(refs: DataFrame, k: int) -> DataFrame:
     return thin.withColumn("_rn", F.row_number().over(second)).filter(F.col("_rn") <= k).drop("_rn", "_salt")
 
 
-def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, query_id: str) -> DataFrame:
+def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: list[str]) -> DataFrame:
     """References are cut into cells around pivots, cells into blocks.
 
     The k smallest pivot distances of every cell bound the k-th neighbour of a
@@ -117,7 +118,8 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, query_id:
     references of a cell meet in blocks of bounded size on both sides.
     """
     refs = _top_copies(refs, k)
-    seeds = refs.select("bands", seeded_hash("pivot", "sample_id").alias("_h")).orderBy("_h").limit(PIVOTS).collect()
+    pivot_count = max(8, min(PIVOTS, 4 * math.ceil(refs.count() / BLOCK_ROWS)))
+    seeds = refs.select("bands", seeded_hash("pivot", "sample_id").alias("_h")).orderBy("_h").limit(pivot_count).collect()
     pivots = np.array([r["bands"] for r in seeds])
 
     def place(batches):
@@ -149,10 +151,9 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, query_id:
         fill[r["cell"]] += 1
     centers = pivots[cells]
 
-    # Copies of one query vector are looked up once.
-    asked = queries.select(F.col(query_id).alias("qid"), "bands")
-    distinct = asked.groupBy("bands").agg(F.min("qid").alias("qid"))
-    qkind = queries.schema[query_id].dataType.simpleString()
+    # Copies of one query vector are looked up once, under a name made of the vector.
+    asked = queries.select(*keep, "bands", F.md5(F.col("bands").cast("string")).alias("_qid"))
+    distinct = asked.groupBy(F.col("_qid").alias("qid")).agg(F.first("bands").alias("bands"))
 
     def spread(batches):
         for b in batches:
@@ -173,7 +174,7 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, query_id:
                  pa.array(cells[col].astype(np.int32)), pa.array(block.astype(np.int32))],
                 names=["qid", "bands", "cell", "block"])
 
-    sent = distinct.select("qid", "bands").mapInArrow(spread, f"qid {qkind}, bands array<double>, cell int, block int")
+    sent = distinct.select("qid", "bands").mapInArrow(spread, f"qid string, bands array<double>, cell int, block int")
     visits = {r["cell"]: r["n"] for r in bounded_rows(
         sent.filter("block = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")), PIVOTS)}
     # Blocks and shares per cell as literals, looked up by cell.
@@ -197,19 +198,18 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, query_id:
 
     keys = ["cell", "block", "share"]
     merged = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        pair, f"qid {qkind}, distance double, ref_id {kind}, label int")
+        pair, f"qid string, distance double, ref_id {kind}, label int")
     best = Window.partitionBy("qid").orderBy("distance", "ref_id")
     top = merged.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k)
     lists = top.groupBy("qid").agg(
         F.sort_array(F.collect_list(F.struct("distance", "ref_id", "label"))).alias("neighbors"))
-    found = distinct.join(lists, "qid").select(F.col("bands").alias("_b"), "neighbors")
-    # Every copy of a query vector takes the list of the one that was looked up.
-    salt = F.pmod(F.xxhash64("qid"), F.lit(32)).cast("int")
-    copies = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-    joined = asked.withColumn("_s", salt).join(
-        copies.withColumnRenamed("_salt", "_t"), (F.col("bands") == F.col("_b")) & (F.col("_s") == F.col("_t"))
-    )
-    return joined.select(F.col("qid").alias(query_id), "neighbors")
+    # Every copy of a query vector takes the list that was looked up for it; copies
+    # of one vector may be many, so they are spread by a salt.
+    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int") if keep else F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    copies = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = asked.drop("bands").withColumn("_salt", salt).join(
+        copies.withColumnRenamed("qid", "_qid"), ["_qid", "_salt"])
+    return joined.select(*keep, "neighbors")
 
 
 def _gaps(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -236,11 +236,11 @@ def vote_share(neighbors: Column, code: Column) -> Column:
     return F.size(F.filter(neighbors, lambda e: e["label"] == code)) / F.size(neighbors)
 
 
-def knn_predict(queries: DataFrame, refs: DataFrame, k: int, d: int | None = None, query_id: str = "sample_id",
+def knn_predict(queries: DataFrame, refs: DataFrame, k: int, d: int | None = None, keep: Sequence[str] = ("sample_id",),
                 weights: str = "uniform", classes: Sequence[int] | None = None) -> DataFrame:
     """Class and confidence by vote; probabilities when `classes` are given."""
-    found = knn_join(queries, refs, k, d, query_id).withColumn("class", vote(F.col("neighbors"), weights))
-    out = [query_id, "class", vote_share(F.col("neighbors"), F.col("class")).alias("confidence")]
+    found = knn_join(queries, refs, k, d, keep).withColumn("class", vote(F.col("neighbors"), weights))
+    out = [*keep, "class", vote_share(F.col("neighbors"), F.col("class")).alias("confidence")]
     if classes:
         out.append(F.array(*[vote_share(F.col("neighbors"), F.lit(int(c))) for c in classes]).alias("probability"))
     return found.select(*out)

@@ -239,9 +239,8 @@ WITH {KNN}, v AS (SELECT sample_id, truth, label, count(*) AS votes FROM nn GROU
 SELECT sample_id, truth, arg_max(label, votes * 1000 - label) AS class, round(max(votes) / 10e0, 6) AS confidence FROM v GROUP BY 1, 2""")
 def knn_predict(spark, sf):
     train, test = split_vectors(spark, sf)
-    p = neighbors.knn_predict(test, train, 10, 64)
-    return p.join(test.select("sample_id", F.col("label").alias("truth")), "sample_id").select(
-        "sample_id", "truth", "class", R6("confidence").alias("confidence"))
+    p = neighbors.knn_predict(test.withColumnRenamed("label", "truth"), train, 10, 64, ["sample_id", "truth"])
+    return p.withColumn("confidence", R6("confidence"))
 
 
 @query("i12_naive_bayes", f"""
