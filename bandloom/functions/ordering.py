@@ -7,14 +7,15 @@ buckets follow the order, so only rows of one bucket are ever sorted together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.functions.sizing import bounded_rows, lookup_join
+from bandloom.functions.sizing import TooLarge, bounded_rows, lookup_join
 
 HASH_DIGITS = 3  # hex digits of the hash that form a bucket: 16^3 buckets per class
+BUCKET_ROWS = 2_000_000  # (class, bucket) counts the driver may hold
 
 
 def seeded_hash(seed: int | str, *parts: Column | str) -> Column:
@@ -118,54 +119,66 @@ def rows_at_ranks(
     return ranked.join(placed, [key, "_b", "_rn"]).select(*df.columns, *extra)
 
 
-def hash_cuts(
-    df: DataFrame,
-    key: str,
-    quota: dict,
-    id_col: str,
-    seed: int | str,
-    digits: int = HASH_DIGITS,
-) -> dict:
+def bucket_counts(hashed: DataFrame, key: str) -> dict:
+    """Rows per (key, bucket) as key -> sorted [(bucket, n)], on the driver.
+
+    With more classes the buckets get coarser, so the table stays bounded.
+    """
+    for digits in (HASH_DIGITS, 1):
+        counts = hashed.groupBy(key, F.substring("_h", 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        try:
+            rows = bounded_rows(counts, BUCKET_ROWS)
+        except TooLarge:
+            if digits == 1:
+                raise
+            continue
+        out: dict = {}
+        for k, b, n in rows:
+            out.setdefault(k, []).append((b, n))
+        return {k: sorted(v) for k, v in out.items()}
+    return {}
+
+
+def hash_cuts(df: DataFrame, key: str, quota: dict | Callable[[dict], dict], id_col: str, seed: int | str) -> dict:
     """Per key, the hash of the quota-th row in seeded order.
 
     A row belongs to the first `quota[key]` rows of its key exactly when its hash
     is not above the cut, so taking them later is a filter without a shuffle.
-    Only the one bucket per key that the quota falls into is sorted.
+    Rows are counted per bucket, and only the one bucket per key that the quota
+    falls into is sorted. `quota` may be computed from the rows per key.
     """
-    wanted = {k: int(n) for k, n in quota.items() if n and int(n) > 0}
-    if not wanted:
-        return {}
-    spark = df.sparkSession
-    key_type = df.schema[key].dataType
-    quotas = F.broadcast(
-        spark.createDataFrame(list(wanted.items()), schema=_schema((key, key_type), ("_k", "bigint")))
-    )
-    hashed = df.select(key, F.col(id_col).alias("_id"), seeded_hash(seed, id_col).alias("_h")).withColumn(
-        "_b", F.substring("_h", 1, digits)
-    )
-    per_bucket = hashed.join(quotas, key).groupBy(key, "_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    edges = (
-        per_bucket.withColumn("_upto", F.sum("_n").over(upto))
-        .filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
-        .select(key, "_b", (F.col("_k") - (F.col("_upto") - F.col("_n"))).alias("_need"))
+    hashed = df.filter(F.col(key).isNotNull()).select(key, F.col(id_col).alias("_id"), seeded_hash(seed, id_col).alias("_h"))
+    counts = bucket_counts(hashed, key)
+    if callable(quota):
+        quota = quota({k: sum(n for _, n in v) for k, v in counts.items()})
+    cuts, edges = {}, []
+    for k, buckets in counts.items():
+        wanted, passed = int(quota.get(k) or 0), 0
+        if wanted <= 0:
+            continue
+        cuts[k] = "g"  # above every hex digit: the whole class is taken
+        for b, n in buckets:
+            if passed + n >= wanted:
+                if passed + n > wanted:
+                    edges.append((k, b, wanted - passed))
+                else:
+                    cuts[k] = b + "g"  # exactly up to the end of this bucket
+                break
+            passed += n
+    if not edges:
+        return cuts
+    digits = len(edges[0][1])
+    local = df.sparkSession.createDataFrame(
+        edges, schema=_schema((key, df.schema[key].dataType), ("_b", "string"), ("_need", "bigint")))
+    within = Window.partitionBy(key).orderBy("_h", "_id")
+    found = (
+        hashed.withColumn("_b", F.substring("_h", 1, digits))
+        .join(F.broadcast(local), [key, "_b"])
+        .withColumn("_rn", F.row_number().over(within))
+        .filter(F.col("_rn") == F.col("_need"))
+        .select(key, "_h")
     )
-    edge_rows = bounded_rows(edges)
-    cuts = {k: "g" for k in wanted}  # above every hex digit: the whole class is taken
-    if edge_rows:
-        local = F.broadcast(
-            spark.createDataFrame(
-                [tuple(r) for r in edge_rows], schema=_schema((key, key_type), ("_b", "string"), ("_need", "bigint"))
-            )
-        )
-        within = Window.partitionBy(key).orderBy("_h", "_id")
-        found = (
-            hashed.join(local, [key, "_b"])
-            .withColumn("_rn", F.row_number().over(within))
-            .filter(F.col("_rn") == F.col("_need"))
-            .select(key, "_h")
-        )
-        cuts.update({r[0]: r[1] for r in bounded_rows(found)})
+    cuts.update({r[0]: r[1] for r in bounded_rows(found)})
     return cuts
 
 
@@ -184,7 +197,7 @@ def below_cut(df: DataFrame, key: str, cuts: dict, id_col: str, seed: int | str,
 
 
 def take_per_key(
-    df: DataFrame, key: str, quota: dict, id_col: str, seed: int | str, out: str = "chosen"
+    df: DataFrame, key: str, quota: dict | Callable[[dict], dict], id_col: str, seed: int | str, out: str = "chosen"
 ) -> DataFrame:
     """Mark the first `quota[key]` rows of every key in seeded order."""
     return below_cut(df, key, hash_cuts(df, key, quota, id_col, seed), id_col, seed, out)

@@ -12,12 +12,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom import fixed_values as fv
 from bandloom.functions.matrix import EXPRESSION_TERMS, field, map_matrix, matrix
 from bandloom.functions.sizing import bounded_rows
+from bandloom.operators.balance import whole
 from bandloom.operators.prepare import band_count
 
 # Bands up to which moments are written as column aggregates.
@@ -173,13 +175,12 @@ def class_parameters(
 
     Works class by class on the moment rows, spread over the tasks.
     """
-    total = table.agg(F.sum("n")).collect()[0][0] or 1
     kind = table.schema[label].dataType.simpleString()
 
     def solve(frames):
         for pdf in frames:
             out = []
-            for code, n, s, ss in zip(pdf[label], pdf["n"], pdf["s"], pdf["ss"]):
+            for code, n, total, s, ss in zip(pdf[label], pdf["n"], pdf["total"], pdf["s"], pdf["ss"]):
                 mean, m2 = unpack(n, np.asarray(s), np.asarray(ss), shift)
                 cov = shrink(m2 / n, int(n), reg_type, target)
                 if np.isfinite(cov).all():
@@ -190,7 +191,8 @@ def class_parameters(
             yield pd.DataFrame(out, columns=[label, "n", "prior", "mean", "m2", "cov", "eigval", "eigvec"])
 
     arrays = ", ".join(f"{c} array<double>" for c in ("mean", "m2", "cov", "eigval", "eigvec"))
-    return table.select(label, "n", "s", "ss").mapInPandas(solve, f"{label} {kind}, n bigint, prior double, {arrays}")
+    with_total = table.select(label, "n", F.sum("n").over(whole()).alias("total"), "s", "ss")
+    return with_total.repartition(label).mapInPandas(solve, f"{label} {kind}, n bigint, prior double, {arrays}")
 
 
 def collect_model(parameters: DataFrame, d: int, tau: float = 0.0, min_eigenvalue: float = fv.MIN_EIGENVALUE) -> GaussianModel:
@@ -397,7 +399,7 @@ def tune_tau(df: DataFrame, grid: Sequence[float], folds: int = 3, seed: int = 0
     from bandloom.operators.folds import stratified_kfold
 
     d = d or band_count(df)
-    folded = stratified_kfold(df, folds, seed, id_col)
+    folded = stratified_kfold(df, folds, seed, id_col).select("fold", "label", "bands").persist(StorageLevel.MEMORY_AND_DISK)
     rows = bounded_rows(moments(folded, d, by=["fold", "label"]), max(1, MODEL_DOUBLES // (d * d)))
     parts = {f: fold_models([r for r in rows if r["fold"] != f], d, reg_type, target) for f in sorted({r["fold"] for r in rows})}
     taus = [float(t) for t in grid]
@@ -425,12 +427,12 @@ def tune_tau(df: DataFrame, grid: Sequence[float], folds: int = 3, seed: int = 0
                 "hits": [v[0] for v in hits.values()], "n": [v[1] for v in hits.values()],
             })
 
-    counted = folded.select("fold", "label", "bands").mapInArrow(count, "fold bigint, place bigint, hits bigint, n bigint")
+    counted = folded.mapInArrow(count, "fold bigint, place bigint, hits bigint, n bigint")
     per_fold = counted.groupBy("place", "fold").agg((100.0 * F.sum("hits") / F.sum("n")).alias("score"))
-    table = df.sparkSession.createDataFrame(list(enumerate(taus)), "place bigint, tau double")
-    return per_fold.groupBy("place").agg(F.avg("score").alias("accuracy")).join(F.broadcast(table), "place").select(
-        "place", "tau", "accuracy"
-    )
+    scores = {r[0]: r[1] for r in per_fold.groupBy("place").agg(F.avg("score")).collect()}
+    folded.unpersist()
+    return df.sparkSession.createDataFrame(
+        [(i, t, scores.get(i)) for i, t in enumerate(taus)], "place bigint, tau double, accuracy double")
 
 
 def fold_models(rows, d: int, reg_type: str, target: str) -> GaussianModel:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -21,11 +22,14 @@ def split_pixels(df: DataFrame, percent: float, seed: int = 0, id_col: str = "sa
     labelled = df.filter(F.col("label").isNotNull() & (F.col("label") > 0))
     if percent >= 100:
         return labelled.withColumn("role", F.lit("train"))
-    quota = {c: int(n * (percent / 100.0)) for c, n in count_map(labelled).items()}
+
+    def quota(counts: dict) -> dict:
+        return {c: int(n * (percent / 100.0)) for c, n in counts.items()}
+
     return with_roles(labelled, quota, seed, id_col)
 
 
-def with_roles(df: DataFrame, quota: dict, seed: int, id_col: str, key: str = "label") -> DataFrame:
+def with_roles(df: DataFrame, quota: dict | Callable[[dict], dict], seed: int, id_col: str, key: str = "label") -> DataFrame:
     marked = od.take_per_key(df, key, quota, id_col, seed, "_first")
     return marked.withColumn("role", F.when(F.col("_first"), "train").otherwise("test")).drop("_first")
 
@@ -76,18 +80,21 @@ def allocate_training(counts: dict, n_train: int) -> dict:
 
 def split_features(df: DataFrame, size: float | int, seed: int = 0, id_col: str = "fid", key: str = "class") -> DataFrame:
     """Stratified split of training polygons into `train` and `test`."""
-    counts = count_map(df, key)
-    n = sum(counts.values())
-    if n < 2:
-        raise ValueError("at least two features are needed to split")
-    n_train = training_size(size, n)
-    if len(counts) < 2:
-        raise ValueError("at least two classes are needed for a stratified split")
-    if min(counts.values()) < 2:
-        raise ValueError("the least populated class has fewer than 2 features")
-    if min(n_train, n - n_train) < len(counts):
-        raise ValueError("a side is too small to hold every class")
-    return with_roles(df.filter(F.col(key).isNotNull()), allocate_training(counts, n_train), seed, id_col, key)
+
+    def quota(counts: dict) -> dict:
+        n = sum(counts.values())
+        if n < 2:
+            raise ValueError("at least two features are needed to split")
+        n_train = training_size(size, n)
+        if len(counts) < 2:
+            raise ValueError("at least two classes are needed for a stratified split")
+        if min(counts.values()) < 2:
+            raise ValueError("the least populated class has fewer than 2 features")
+        if min(n_train, n - n_train) < len(counts):
+            raise ValueError("a side is too small to hold every class")
+        return allocate_training(counts, n_train)
+
+    return with_roles(df.filter(F.col(key).isNotNull()), quota, seed, id_col, key)
 
 
 def subset_targets(counts: dict, limit: int) -> dict:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bandloom.operators import bayes, gaussian, labels, metrics, neighbors, prepare, sampling
+from bandloom.operators import bayes, gaussian, labels, neighbors, prepare, sampling
 from bandloom.plans import inputs as inp
 from bandloom.plans.registry import query
+from bandloom.plans.train import train
 
 R6 = lambda c: F.round(c, 6)
 
@@ -280,10 +281,6 @@ m AS (SELECT class, (SELECT count(*) FROM k WHERE truth = c.class) AS r, (SELECT
 w AS (SELECT CAST(sum(r) AS DOUBLE) AS n, CAST(sum(d) AS DOUBLE) AS d, sum(CAST(r AS DOUBLE) * p) AS rc, avg(2e0 * d / (r + p)) AS f1 FROM m)
 SELECT CAST(n AS BIGINT) AS n, round(d / n, 6) AS overall_accuracy, round((n * d - rc) / (n * n - rc), 6) AS kappa, round(f1, 6) AS f1_mean FROM w""")
 def train_assess_gmm(spark, sf):
-    split = sampling.split_pixels(two_bands(inp.line_samples(spark, sf)), 70, seed=42)
-    train, test = split.filter("role = 'train'"), split.filter("role = 'test'")
-    scaler = prepare.fit_scaler(train, 2)
-    model = gaussian.fit_gaussian(scaler.transform(train), 2)
-    predicted = gaussian.predict(scaler.transform(test), model, ["label"]).withColumnRenamed("class", "prediction")
-    return metrics.overall_scores(metrics.cell_counts(predicted)).select(
-        "n", *[R6(c).alias(c) for c in ("overall_accuracy", "kappa", "f1_mean")])
+    samples = two_bands(inp.line_samples(spark, sf)).select("sample_id", "label", "bands")
+    result = train(samples, code="GMM", split=70, seed=42)
+    return result.scores().select("n", *[R6(c).alias(c) for c in ("overall_accuracy", "kappa", "f1_mean")])

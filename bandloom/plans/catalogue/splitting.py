@@ -26,7 +26,7 @@ def split_pixels(spark, sf):
 
 # Largest remainder with the open rows moved by remainder order; one step suffices on these tables.
 ALLOC = f"""
-v AS (SELECT fid, CAST(class AS INTEGER) AS class FROM ({inp.POLY}) WHERE class <> ''),
+v AS (SELECT c_custkey AS fid, c_mktsegment AS class FROM customer),
 c AS (SELECT class, count(*) AS n, sum(count(*)) OVER () AS total FROM v GROUP BY class),
 e AS (SELECT class, n, CAST(round_even(0.6e0 * total, 0) AS BIGINT) AS want, n * CAST(round_even(0.6e0 * total, 0) AS BIGINT) / CAST(total AS DOUBLE) AS expected FROM c),
 b AS (SELECT class, n, want, expected - floor(expected) AS rest, greatest(1, least(n - 1, CAST(floor(expected) AS BIGINT))) AS base FROM e),
@@ -39,8 +39,8 @@ split AS (SELECT fid, rk.class, CASE WHEN rk <= quota THEN 'train' ELSE 'test' E
 
 
 def polygon_split(spark, sf):
-    polygons = tables.labelled_polygons(inp.supplier_polygons(spark, sf))
-    return sampling.split_features(polygons, 0.6, seed=0)
+    features = inp.table(spark, sf, "customer").select(F.col("c_custkey").alias("fid"), F.col("c_mktsegment").alias("class"))
+    return sampling.split_features(features, 0.6, seed=0)
 
 
 @query("e2_split_features", f"WITH {ALLOC} SELECT fid, class, role FROM split")

@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandloom import fixed_values as fv
+from bandloom.functions.sizing import small_or_none
 from bandloom.operators import balance, folds, learners, metrics, oversample, prepare, sampling, tuning
 from bandloom.operators.learners import Fitted
 from bandloom.operators.prepare import Scaler
 
 
+CELL_ROWS = 1_000_000
+
+
 @dataclass
 class TrainConfig:
     """Settings of a training run.
@@ -103,33 +107,41 @@ def train(samples: DataFrame, config: TrainConfig | None = None, **settings: Any
     clean = prepare.drop_nonfinite_labels(prepare.labelled_pixels(samples))
     clean = prepare.impute_nonfinite(clean) if config.code != "GMM" else clean
     spatial = config.split in ("SLOO", "STAND")
-    if config.legacy_order:
-        clean, bounds = prepare_training(clean, config)
-        marked = sampling.split_pixels(clean, 100 if spatial else float(config.split), config.seed)
-        fit_side, scaler = marked.filter("role = 'train'").drop("role"), bounds
-        test = marked.filter("role = 'test'").drop("role")
-    else:
-        marked = sampling.split_pixels(clean, 100 if spatial else float(config.split), config.seed)
-        fit_side, scaler = prepare_training(marked.filter("role = 'train'").drop("role"), config)
+    percent = 100.0 if spatial else float(config.split)
+    # Counting, splitting, scaling, fitting and scoring each pass over the samples, and
+    # labelled pixels lie in few tiles: even them out once, then keep them.
+    kept = [clean.repartition("sample_id").persist(StorageLevel.MEMORY_AND_DISK)]
+    clean = kept[0]
+    scaler = None
+    try:
+        if config.legacy_order:
+            prepared, scaler = prepare_training(clean, config)
+            marked = sampling.split_pixels(prepared, percent, config.seed)
+            fit_side = marked.filter("role = 'train'").drop("role")
+        else:
+            marked = sampling.split_pixels(clean, percent, config.seed)
+            fit_side, scaler = prepare_training(marked.filter("role = 'train'").drop("role"), config)
         test = marked.filter("role = 'test'").drop("role")
-        if scaler:
+        if scaler and not config.legacy_order:
             test = scaler.transform(test)
-    fit_side = fit_side.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+        if spatial or config.search != "none" or config.use_smote:
+            kept.append(fit_side.persist(StorageLevel.MEMORY_AND_DISK))
         params, search = choose_params(fit_side, config)
         fitted = learners.fit(config.code, fit_side, params, config.seed)
-        fold_cells = None
+        cells = fold_cells = None
         if spatial:
             fold_cells = assess_folds(fit_side, config, params)
+            cells = fold_cells.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
+        elif percent < 100:
+            predicted = fitted.predict(test, ["label"]).withColumnRenamed("class", "prediction")
+            counted = metrics.cell_counts(predicted)
+            # Few cells: held here, so that reading them does not predict again.
+            local = small_or_none(counted, CELL_ROWS)
+            cells = counted if local is None else local
     finally:
         if config.code != "KNN":
-            fit_side.unpersist()
-    cells = None
-    if fold_cells is not None:
-        cells = fold_cells.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
-    elif float(config.split) < 100:
-        predicted = fitted.predict(test, ["label"]).withColumnRenamed("class", "prediction")
-        cells = metrics.cell_counts(predicted)
+            for table in kept:
+                table.unpersist()
     return TrainResult(fitted, scaler, params, cells, fold_cells, search, config)
 
 
