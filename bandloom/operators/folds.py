@@ -148,9 +148,10 @@ def sloo_resized(
     folds = [(f"{i}|{c}", c) for i in range(iterations) for c in counts]
     if min_train > 1:
         want = int(min_train)
-        # Distances beyond the cut are ties in random order, so rank by distance first.
-        ranked = od.lead_rank(pairs, ["_fold"], "_away", "sample_id", seed, "_rank")
-        drawn = F.col("_rank") <= want if sloo else F.col("_rank") <= F.greatest(F.lit(want), F.lit(1))
+        cuts = od.largest_cuts(pairs, "_fold", want, "_away", "sample_id", seed)
+        ranked = lookup_join(pairs, cuts, ["_fold"]).withColumn("_h", od.seeded_hash(seed, "sample_id"))
+        tied = (F.col("_away") == F.col("_cut")) & ((F.col("_h") <= F.col("_cut_hash")) | F.lit(not sloo))
+        drawn = F.col("_cut").isNull() | (F.col("_away") > F.col("_cut")) | tied
         role = F.when(drawn, "valid").when(far, "train")
         return ranked.withColumn("role", role).filter("role is not null").select("iter", "label", "sample_id", "role")
     quota = {f: max(0, int(min_train * counts[c]) - 1) for f, c in folds}

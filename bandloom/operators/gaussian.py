@@ -200,7 +200,7 @@ def collect_model(parameters: DataFrame, d: int, tau: float = 0.0, min_eigenvalu
     rows = sorted(bounded_rows(parameters, max(1, MODEL_DOUBLES // (4 * d * d))), key=lambda r: r["label"])
     if not rows:
         raise ValueError("no labelled samples to fit")
-    mean = np.array([r["mean"] for r in rows])
+    mean = np.array([r["mean"] for r in rows], dtype=float)
     if not np.isfinite(mean).all():
         raise ValueError("training samples hold NaN or infinite values")
     for r in rows:
