@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-# Largest number of model terms written out as column expressions.
-EXPRESSION_TERMS = 600
+# Largest number of model terms written out as column expressions. Measured: beyond
+# it the generated method is too large to be compiled and matrix batches are faster.
+GAUSSIAN_TERMS = 20
+BAYES_TERMS = 40
 
 
 def matrix(batch: pa.RecordBatch, d: int, column: str = "bands") -> np.ndarray:

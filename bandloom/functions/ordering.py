@@ -117,12 +117,22 @@ def rows_at_ranks(
     hashed = df.withColumn("_h", seeded_hash(seed, id_col)).withColumn("_b", F.substring("_h", 1, digits))
     per_bucket = hashed.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    spans = per_bucket.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_from", F.col("_upto") - F.col("_n"))
+    every = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # Ranks are cut into even stretches, about as many as there are buckets. A bucket
+    # overlaps few stretches and a rank lies in one, so they meet by equality.
+    stretch = F.greatest(F.lit(1), F.ceil(F.col("_total") / 16**digits))
+    spans = (
+        per_bucket.withColumn("_upto", F.sum("_n").over(upto))
+        .withColumn("_total", F.sum("_n").over(every))
+        .withColumn("_from", F.col("_upto") - F.col("_n"))
+        .withColumn("_w", stretch)
+        .withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_from") / F.col("_w")), F.floor((F.col("_upto") - 1) / F.col("_w")))))
+    )
+    widths = per_bucket.groupBy(key).agg(F.sum("_n").alias("_total")).select(key, stretch.alias("_w"))
     extra = [c for c in wanted.columns if c not in (key, "rank")]
-    # Buckets hold equal shares of a class, so the bucket of a rank is near rank/n of
-    # the way; joining on the class alone is bounded by draws times buckets.
+    celled = lookup_join(wanted, widths, [key], "inner").withColumn("_cell", F.floor((F.col("rank") - 1) / F.col("_w"))).drop("_w")
     placed = (
-        wanted.join(spans, key)
+        celled.join(spans, [key, "_cell"])
         .filter((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_upto")))
         .select(key, "_b", *extra, (F.col("rank") - F.col("_from")).alias("_rn"))
     )
@@ -221,7 +231,7 @@ def running_sums(
     keys: Sequence[str],
     order: str,
     sums: Sequence[str],
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add `cum_<col>`: the running sum of each column in ascending `order`.
 
@@ -230,6 +240,8 @@ def running_sums(
     when the values are not; only rows of one bucket are sorted together.
     """
     keys = list(keys)
+    if buckets is None:
+        buckets = min(max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1024)
     steps = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(F.col(order), F.array(*[F.lit(s) for s in steps]), F.lit(10 * buckets))
     grouped = df.groupBy(*keys) if keys else df.groupBy()
@@ -244,9 +256,12 @@ def running_sums(
         edges = rows[0]["_edges"] or []
         kind = df.schema[order].dataType
         placed = df.withColumn("_edges", F.array(*[F.lit(e).cast(kind) for e in edges]).cast(f"array<{kind.simpleString()}>"))
-    placed = placed.withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    ).drop("_edges")
+    # Every 32nd edge first, then the edges between two of them: two short searches.
+    below = lambda e: e < F.col(order)
+    coarse = F.filter("_edges", lambda e, i: (i % 32 == 31) & (e < F.col(order)))
+    placed = placed.withColumn("_coarse", F.size(coarse) * 32)
+    fine = F.slice("_edges", F.col("_coarse") + 1, F.lit(32))
+    placed = placed.withColumn("_bucket", F.col("_coarse") + F.size(F.filter(fine, below))).drop("_edges", "_coarse")
     totals = placed.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

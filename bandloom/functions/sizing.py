@@ -12,6 +12,8 @@ CLASS_LIMIT = 65_536
 # Rows a broadcast side may have before a shuffled join takes over.
 BROADCAST_ROWS = 200_000
 SALTS = 32
+# Rows up to which a lookup table is copied once per salt.
+SALTED_ROWS = 20_000_000
 
 
 class TooLarge(ValueError):
@@ -43,14 +45,17 @@ def lookup_join(
 ) -> DataFrame:
     """Join `big` to a lookup table without trusting that the table is small.
 
-    Up to `limit` rows the lookup is broadcast and `big` is not shuffled. Beyond
-    it both sides shuffle on the keys plus a salt, so that a key holding a large
-    share of `big` is spread over `SALTS` tasks.
+    Up to `limit` rows the lookup is broadcast and `big` is not shuffled. A larger
+    one is shuffled on the keys plus a salt, so that a key holding a large share
+    of `big` is spread over `SALTS` tasks. Where copying it per salt would itself be
+    the larger cost, the join is plain and skewed partitions are split at run time.
     """
     on = list(on)
     local = small_or_none(small, limit)
     if local is not None:
         return big.join(F.broadcast(local), on, how)
+    if small.select(F.lit(1)).limit(SALTED_ROWS + 1).count() > SALTED_ROWS:
+        return big.join(small, on, how)
     others = [c for c in big.columns if c not in on] or on
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

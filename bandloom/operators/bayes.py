@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandloom.functions.matrix import EXPRESSION_TERMS, field, map_matrix
+from bandloom.functions.matrix import BAYES_TERMS, field, map_matrix
 from bandloom.functions.sizing import bounded_rows
 from bandloom.operators.gaussian import posterior
 from bandloom.operators.prepare import band_count
@@ -61,7 +61,7 @@ def deviance_columns(model: NaiveBayesModel) -> list[Column]:
 def predict(df: DataFrame, model: NaiveBayesModel, keep: Sequence[str] | None = None, probability: bool = False) -> DataFrame:
     """Class and confidence, the smallest code winning ties."""
     keep = [c for c in df.columns if c != "bands"] if keep is None else list(keep)
-    if len(model.classes) * model.d <= EXPRESSION_TERMS // 4 and not probability:
+    if len(model.classes) * model.d <= BAYES_TERMS and not probability:
         scored = df.select(*keep, F.array(*deviance_columns(model)).alias("_k")).withColumn("_best", F.array_min("_k"))
         total = None
         for i in range(len(model.classes)):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom import fixed_values as fv
-from bandloom.functions.matrix import EXPRESSION_TERMS, field, map_matrix, matrix
+from bandloom.functions.matrix import GAUSSIAN_TERMS, field, map_matrix, matrix
 from bandloom.functions.sizing import bounded_rows
 from bandloom.operators.balance import whole
 from bandloom.operators.prepare import band_count
@@ -286,7 +286,7 @@ def fv_limit() -> float:
 
 
 def fits_columns(model: GaussianModel) -> bool:
-    return len(model.classes) * model.d * (model.d + 1) // 2 <= EXPRESSION_TERMS
+    return len(model.classes) * model.d * (model.d + 1) // 2 <= GAUSSIAN_TERMS
 
 
 def predict(

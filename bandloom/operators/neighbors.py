@@ -16,6 +16,7 @@ from bandloom.functions.matrix import matrix
 from bandloom.functions.ordering import seeded_hash
 from bandloom.functions.sizing import SALTS, bounded_rows
 from bandloom.operators.prepare import band_count
+from bandloom.session import cut_lineage
 
 # Doubles the reference side may hold to be copied to every task.
 BROADCAST_DOUBLES = 8_000_000
@@ -134,7 +135,9 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
             yield pa.RecordBatch.from_arrays(arrays, names=["sample_id", "label", "bands", "cell", "away"])
 
     kind = refs.schema["sample_id"].dataType.simpleString()
-    placed = refs.mapInArrow(place, f"sample_id {kind}, label int, bands array<double>, cell int, away double")
+    # Read several times below, so written once to the shared folder.
+    placed = cut_lineage(
+        refs.mapInArrow(place, f"sample_id {kind}, label int, bands array<double>, cell int, away double"), "refs")
     stats = bounded_rows(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")), PIVOTS)
     # The k smallest pivot distances per cell; the row_number filter is applied before the shuffle.
     closest_first = Window.partitionBy("cell").orderBy("away", "sample_id")
@@ -174,7 +177,8 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
                  pa.array(cells[col].astype(np.int32)), pa.array(block.astype(np.int32))],
                 names=["qid", "bands", "cell", "block"])
 
-    sent = distinct.select("qid", "bands").mapInArrow(spread, f"qid string, bands array<double>, cell int, block int")
+    sent = cut_lineage(
+        distinct.select("qid", "bands").mapInArrow(spread, "qid string, bands array<double>, cell int, block int"), "queries")
     visits = {r["cell"]: r["n"] for r in bounded_rows(
         sent.filter("block = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")), PIVOTS)}
     # Blocks and shares per cell as literals, looked up by cell.

@@ -193,6 +193,15 @@ def predict_raster_masked(spark, sf):
     return classify.predict_raster(pixels, result.fitted, result.scaler, masked=True).drop("confidence")
 
 
+@query("i20_raster_products", f"""
+WITH {GRIDZ} SELECT p.raster_id, p."row", p."col", CAST(coalesce(out.class, -9999) AS INTEGER) AS class, round(coalesce(out.confidence * 100, -1), 3) AS confidence
+FROM p LEFT JOIN out ON out."row" = p."row" AND out."col" = p."col" AND p.mask <> 0""")
+def raster_products(spark, sf):
+    pixels, result = grid_model(spark, sf)
+    products = classify.raster_products(pixels, result.fitted, result.scaler, masked=True)
+    return products.withColumn("confidence", F.round("confidence", 3))
+
+
 @query("a12_classify_batch", f"""
 WITH {GRIDZ}, n AS (SELECT raster_id, count(*) AS pixels FROM p GROUP BY 1), c AS (SELECT raster_id, count(*) AS classified FROM out GROUP BY 1)
 SELECT n.raster_id, pixels, coalesce(classified, 0) AS classified, 'classified_' || n.raster_id AS output, coalesce(classified > 0, false) AS success FROM n LEFT JOIN c ON c.raster_id = n.raster_id""")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bandloom import fixed_values as fv
 from bandloom.functions import scalar
 from bandloom.operators import metrics, prepare, spatial
 from bandloom.operators.learners import Fitted
@@ -29,6 +30,27 @@ def predict_raster(
     return fitted.predict(ready, [*PIXEL_KEY, *keep], probability)
 
 
+def raster_products(
+    pixels: DataFrame, fitted: Fitted, scaler: Scaler | None = None, nodata: float | None = None, masked: bool = False,
+    fill: int = fv.NODATA_DEFAULT,
+) -> DataFrame:
+    """Class and confidence in percent of every pixel, predicted or not.
+
+    Pixels left out hold 0, or `fill` under a mask, and confidence -1. They are
+    read by a second scan with the opposite filter and appended, so the map is
+    complete without joining predictions back to the image.
+    """
+    value = float(fv.NODATA_DEFAULT if nodata is None else nodata)
+    usable = F.coalesce(F.col("bands")[0] != value, F.lit(False))
+    if masked:
+        usable = usable & (F.coalesce(F.col("mask"), F.lit(0)) != 0)
+    done = predict_raster(pixels, fitted, scaler, nodata, masked).select(
+        *PIXEL_KEY, "class", (F.col("confidence") * 100).alias("confidence"))
+    blank = pixels.filter(~usable).select(
+        *PIXEL_KEY, F.lit(fill if masked else fv.UNLABELLED).alias("class"), F.lit(float(fv.NO_CONFIDENCE)).alias("confidence"))
+    return done.unionByName(blank)
+
+
 def confusion_on_map(predictions: DataFrame, polygons: DataFrame) -> DataFrame:
     """Confusion cells of predicted pixels against labelled polygons."""
     renamed = predictions.withColumnRenamed("class", "prediction")
