@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bandloom import fixed_values as fv
 from bandloom.functions import ordering as od
+from bandloom.functions.sizing import lookup_join
 from bandloom.operators.balance import count_map
 from bandloom.operators.neighbors import knn_join
 from bandloom.operators.prepare import band_count
@@ -46,15 +47,19 @@ def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0)
         seeds = marked.withColumn("_copies", F.lit(share) + F.when(F.col("_more"), 1).otherwise(0)).filter("_copies > 0")
         found = knn_join(mine, mine, k + 1, d)
         others = F.slice(F.filter("neighbors", lambda e: e["ref_id"] != F.col("sample_id")), F.lit(1), F.lit(k))
-        near = found.select("sample_id", F.transform(others, lambda e: e["ref_id"]).alias("_near"))
-        made = spread_copies(seeds.select("sample_id", "label", "bands", "_copies"), share + 1).join(near, "sample_id")
-        hashed = od.seeded_hash(seed, "sample_id", "_copy")
-        pick = (od.hash_uint(hashed, 6) % F.size("_near")).cast("int")
-        chosen = made.select("sample_id", "label", "bands", "_copy", F.get("_near", pick).alias("_other"),
-                             od.hash_unit(F.md5(hashed)).alias("_u"))
+        # The vectors of the neighbours travel with the seed, so that nothing has to be
+        # joined once a seed has become many rows.
+        links = found.select("sample_id", F.posexplode(F.transform(others, lambda e: e["ref_id"])).alias("_at", "_other"))
         ends = mine.select(F.col("sample_id").alias("_other"), F.col("bands").alias("_end"))
+        near = lookup_join(links, ends, ["_other"], "inner").groupBy("sample_id").agg(
+            F.transform(F.sort_array(F.collect_list(F.struct("_at", "_end"))), lambda e: e["_end"]).alias("_ends"))
+        made = spread_copies(seeds.select("sample_id", "label", "bands", "_copies").join(near, "sample_id"), share + 1)
+        hashed = od.seeded_hash(seed, "sample_id", "_copy")
+        chosen = made.select(
+            "sample_id", "label", "bands", "_copy", od.hash_unit(F.md5(hashed)).alias("_u"),
+            F.get("_ends", (od.hash_uint(hashed, 6) % F.size("_ends")).cast("int")).alias("_end"))
         between = F.zip_with("bands", "_end", lambda a, b: a + F.col("_u") * (b - a))
-        out = chosen.join(ends, "_other").select(
+        out = chosen.select(
             F.concat_ws("#", F.col("sample_id").cast("string"), F.col("_copy").cast("string")).alias("sample_id"), "label",
             between.alias("bands"))
         parts = out if parts is None else parts.unionByName(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.functions import geometry as geo
@@ -122,12 +122,13 @@ def label_names(polygons: DataFrame, manual: dict[int, str] | None = None) -> Da
 
 
 def near_join(
-    left: DataFrame, right: DataFrame, coords: Sequence[str], radius: float, on: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, coords: Sequence[str], radius: float, on: Sequence[str] = (), copy: bool = False
 ) -> DataFrame:
     """Rows of both sides within `radius`, columns renamed a_* and b_*.
 
     `left` should be the smaller side: it is copied to its neighbouring cells.
-    Cells have the size of the radius, so the equi-join sees every neighbour.
+    Cells have the size of the radius, so the equi-join sees every neighbour. With
+    `copy` a left side of checked size is broadcast and `right` is not shuffled.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
     names = [f"_c{i}" for i in range(len(coords))]
@@ -138,6 +139,8 @@ def near_join(
     a = left.withColumn("_near", F.explode(around)).select(
         *on, *[F.col(f"_near.{n}").alias(n) for n in names], *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in on]
     )
+    local = small_or_none(a) if copy else None
+    a = a if local is None else F.broadcast(local)
     b = right.select(
         *on, *[cell(c).alias(n) for c, n in zip(coords, names)], *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in on]
     )
@@ -184,12 +187,8 @@ def within_buffer(samples: DataFrame, held_out: DataFrame, distance: float, stri
     """
     right = samples.select("label", "sample_id", "x", "y")
     left = held_out.select("label", "iter", "x", "y", "sample_id")
-    near = near_join(left, right, ["x", "y"], distance, ["label"])
+    near = near_join(left, right, ["x", "y"], distance, ["label"], copy=True)
     if not strict:
         own = F.col("a_sample_id") == F.col("b_sample_id")
         near = near.filter(own | (F.col("distance") < distance) | (F.col("distance") <= 0.1))
     return near.select(F.col("a_iter").alias("iter"), "label", F.col("b_sample_id").alias("sample_id"))
-
-
-def column_or(df: DataFrame, name: str, default: Column) -> Column:
-    return F.col(name) if name in df.columns else default

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from bandloom.operators import explain, gaussian, learners, metrics, oversample, prepare, sampling, tuning
 from bandloom.plans import classify, inputs as inp
-from bandloom.plans.catalogue.models import DISC, SCALED, gauss_sql, scaled_lines, split_vectors
+from bandloom.plans.catalogue.models import DISC, SCALED, gauss_sql, scaled_lines
+from bandloom.plans.catalogue.scores import PRF
+from bandloom.plans.catalogue.splitting import STANDS
 from bandloom.plans.registry import query
 from bandloom.plans.train import TrainConfig, train
 from bandloom.session import scratch_path
@@ -155,15 +157,27 @@ def rank_features(spark, sf):
     return ranked.select("band", R6("importance").alias("importance"))
 
 
-@query("i22_shapley_importance")
+@query("i22_shapley_importance", f"""
+WITH {SCALED}, {gauss_sql()},
+q AS (SELECT sample_id, x, y FROM z ORDER BY md5('1|' || sample_id) LIMIT 300), bg AS (SELECT sample_id AS bid, x AS g_x, y AS g_y FROM z ORDER BY md5('1|ground|' || sample_id) LIMIT 50),
+c AS (SELECT unnest([0, 1, 2, 3]) AS cid),
+t AS (SELECT sample_id, cid, bid, CASE WHEN cid & 1 = 1 THEN x ELSE g_x END AS x, CASE WHEN cid & 2 = 2 THEN y ELSE g_y END AS y FROM q, bg, c),
+k AS (SELECT t.sample_id, t.cid, t.bid, gi.label, {DISC} AS k FROM t CROSS JOIN gi),
+e AS (SELECT *, exp((min(k) OVER (PARTITION BY sample_id, cid, bid) - k) / 2) AS e FROM k),
+p AS (SELECT sample_id, cid, label, e / sum(e) OVER (PARTITION BY sample_id, cid, bid) AS p FROM e),
+v AS (SELECT sample_id, cid, label, avg(p) AS v FROM p GROUP BY 1, 2, 3),
+w AS (SELECT sample_id, label, max(v) FILTER (cid = 0) AS v0, max(v) FILTER (cid = 1) AS v1, max(v) FILTER (cid = 2) AS v2, max(v) FILTER (cid = 3) AS v3 FROM v GROUP BY 1, 2),
+f AS (SELECT avg(abs((v1 - v0 + v3 - v2) / 2)) AS f1, avg(abs((v2 - v0 + v3 - v1) / 2)) AS f2 FROM w)
+SELECT 1 AS band, round(f1 / (f1 + f2), 5) AS importance FROM f UNION ALL SELECT 2, round(f2 / (f1 + f2), 5) FROM f""")
 def shapley_importance(spark, sf):
-    z = scaled_lines(spark, sf, 4)
-    fitted = learners.fit("GMM", z.select("sample_id", "label", "bands"))
-    return explain.rank_features(explain.shapley_importance(fitted, z, seed=1))
+    z = scaled_lines(spark, sf).select("sample_id", "label", "bands")
+    fitted = learners.fit("GMM", z)
+    ranked = explain.rank_features(explain.shapley_importance(fitted, z, seed=1, sample_limit=300, background_limit=50))
+    return ranked.select("band", F.round("importance", 5).alias("importance"))
 
 
 GRIDZ = f"""
-p AS ({inp.GRID}), s AS (SELECT * FROM p WHERE b1 <> -9999 AND label <= 3), bd AS (SELECT min(b1) l1, max(b1) h1, min(b2) l2, max(b2) h2 FROM s),
+p AS ({inp.GRID}), s AS (SELECT * FROM p WHERE b1 <> -9999), bd AS (SELECT min(b1) l1, max(b1) h1, min(b2) l2, max(b2) h2 FROM s),
 z AS (SELECT label, 2 * (b1 - l1) / (h1 - l1) - 1 AS x, 2 * (b2 - l2) / (h2 - l2) - 1 AS y FROM s, bd), {gauss_sql()},
 t AS (SELECT raster_id, "row", "col", label AS truth, mask, 2 * (b1 - l1) / (h1 - l1) - 1 AS x, 2 * (b2 - l2) / (h2 - l2) - 1 AS y FROM p, bd WHERE b1 <> -9999),
 k AS (SELECT t.raster_id, t."row", t."col", t.mask, gi.label, {DISC} AS k FROM t CROSS JOIN gi),
@@ -172,9 +186,9 @@ out AS (SELECT raster_id, "row", "col", max(mask) AS mask, arg_min(label, k) AS
 
 
 def grid_model(spark, sf):
-    """A Gaussian model of three classes of the orders raster, with its bounds."""
+    """A Gaussian model of the labelled orders raster, with its bounds."""
     pixels = inp.grid_pixels(spark, sf)
-    samples = prepare.valid_pixels(pixels).filter("label <= 3").select("sample_id", "label", "bands")
+    samples = prepare.valid_pixels(pixels).select("sample_id", "label", "bands")
     result = train(samples, TrainConfig(code="GMM", split=100))
     return pixels, result
 
@@ -246,17 +260,41 @@ def train_nb(spark, sf):
     return result.scores()
 
 
-@query("i24_train_stand")
-def train_stand(spark, sf):
-    s = inp.line_samples(spark, sf).select("sample_id", "label", "bands", "stand_id", "polygon_id")
-    return train(s, code="GMM", split="STAND", max_iter=2, params={"tau": 0.01}).fold_cells
+def fold_gauss(tau):
+    """Two-band classes per iteration from `tz` (iter, label, x, y), and the class predicted for `t`."""
+    return f"""g AS (SELECT iter, label, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY iter) AS prior, avg(x) AS mx, avg(y) AS my,
+ var_pop(x) AS ca, covar_pop(x, y) AS cb, var_pop(y) AS cc FROM tz GROUP BY iter, label),
+gi AS (SELECT *, ca + {tau} AS a, cc + {tau} AS c, (ca + {tau}) * (cc + {tau}) - cb * cb AS det FROM g),
+k AS (SELECT t.iter, t.sample_id, t.label AS truth, arg_min(gi.label, {DISC}) AS class FROM t JOIN gi ON gi.iter = t.iter GROUP BY 1, 2, 3)
+SELECT iter, truth AS label, class AS prediction, count(*) AS n FROM k GROUP BY 1, 2, 3"""
 
 
-@query("i24_train_sloo")
+@query("i24_train_stand", f"""
+WITH {SCALED}, {STANDS.replace('s AS (' + inp.LINE + '), ', '')}, rs AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || stand_id)) AS rk FROM st),
+i AS (SELECT CAST(unnest(generate_series(0, 1)) AS INTEGER) AS iter),
+w AS (SELECT label, iter, CAST(1 + CAST('0x' || left(md5('0|' || iter || '|' || label), 8) AS UBIGINT) % m AS BIGINT) AS rank FROM tot, i),
+h AS (SELECT w.iter, w.label, stand_id FROM w JOIN rs ON rs.label = w.label AND rs.rk = w.rank),
+zz AS (SELECT z.*, s.stand_id FROM z JOIN s ON s.sample_id = z.sample_id),
+tz AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id <> zz.stand_id),
+t AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id = zz.stand_id), {fold_gauss('0.01')}""")
+def train_stand(spark, sf):
+    s = inp.line_samples(spark, sf).select("sample_id", "label", F.slice("bands", 1, 2).alias("bands"), "stand_id")
+    return train(s, code="GMM", split="STAND", max_iter=2, params={"tau": 0.01}).fold_cells.select("iter", "label", "prediction", "n")
+
+
+@query("i24_train_sloo", f"""
+WITH p AS (SELECT * FROM ({inp.GRID}) WHERE b1 <> -9999), bd AS (SELECT min(b1) l1, max(b1) h1, min(b2) l2, max(b2) h2 FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || sample_id)) AS rk, count(*) OVER (PARTITION BY label) AS n FROM p),
+i AS (SELECT CAST(unnest(generate_series(0, 2)) AS INTEGER) AS iter), cn AS (SELECT label, count(*) AS n FROM p GROUP BY label),
+w AS (SELECT label, iter, CAST(1 + CAST('0x' || left(md5('0|' || iter || '|' || label), 8) AS UBIGINT) % n AS BIGINT) AS rank FROM cn, i),
+h AS (SELECT w.iter, r.label, r.sample_id, r.x AS px, r.y AS py FROM w JOIN r ON r.label = w.label AND r.rk = w.rank),
+sc AS (SELECT sample_id, label, x AS px, y AS py, 2 * (b1 - l1) / (h1 - l1) - 1 AS x, 2 * (b2 - l2) / (h2 - l2) - 1 AS y FROM p, bd),
+tz AS (SELECT h.iter, sc.label, sc.x, sc.y FROM sc JOIN h ON h.label = sc.label AND sqrt((sc.px - h.px) * (sc.px - h.px) + (sc.py - h.py) * (sc.py - h.py)) >= 10),
+t AS (SELECT h.iter, sc.* FROM sc JOIN h ON h.sample_id = sc.sample_id), {fold_gauss('0')}""")
 def train_sloo(spark, sf):
     p = inp.grid_pixels(spark, sf)
     s = prepare.valid_pixels(p).select("sample_id", "label", "bands", "x", "y")
-    return train(s, code="GMM", split="SLOO", max_iter=3, distance=10.0).fold_cells
+    return train(s, code="GMM", split="SLOO", max_iter=3, distance=10.0).fold_cells.select("iter", "label", "prediction", "n")
 
 
 @query("i24_train_polygon_groups")
@@ -266,13 +304,20 @@ def train_polygon_groups(spark, sf):
     return result.scores()
 
 
-@query("a9_write_report_tables")
+@query("a9_write_report_tables", f"""
+WITH {PRF}, n AS (SELECT k.class AS label, q.class AS prediction, (SELECT count(*) FROM s WHERE s.label = k.class AND s.prediction = q.class) AS n FROM k, k q),
+l AS (SELECT label, string_agg(CAST(n AS VARCHAR), ',' ORDER BY prediction) AS cells FROM n GROUP BY label)
+SELECT 'confusion_matrix_numeric.csv' AS artifact, cells AS value FROM l
+UNION ALL SELECT 'confusion_matrix_labeled.csv', 'c' || label || ',' || cells FROM l
+UNION ALL SELECT 'confusion_matrix_labeled.csv', 'true/pred,c1,c2,c3'
+UNION ALL SELECT 'per_class_metrics.csv', 'class_value,class_name,precision,recall,f1,support'
+UNION ALL SELECT 'per_class_metrics.csv', class || ',c' || class || format(',{{:.6f}},{{:.6f}},{{:.6f}},', "precision", recall, f1) || support FROM f""")
 def write_report_tables(spark, sf):
     cells = metrics.cell_counts(inp.line_samples(spark, sf))
     path = scratch_path(spark, "report")
-    reports.write_report_tables(cells, path, {"classifier_code": "GMM", "split_mode": "RANDOM_SPLIT", "split_config": "70"})
-    lines = reports.read_report_lines(spark, path)
-    return lines.groupBy("artifact").agg(F.count(F.lit(1)).alias("lines"))
+    names = {1: "c1", 2: "c2", 3: "c3"}
+    reports.write_report_tables(cells, path, {"classifier_code": "GMM", "split_mode": "RANDOM_SPLIT", "split_config": "70"}, names)
+    return reports.read_report_lines(spark, path).filter(F.col("artifact").endswith(".csv"))
 
 
 @query("a11_load_confusion_reports", f"""

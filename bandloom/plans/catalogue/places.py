@@ -43,6 +43,35 @@ def pairwise(spark, sf):
         "label", "a_sample_id", "b_sample_id", R6("distance").alias("distance"))
 
 
+EARTH = "2 * 6371008.8e0 * asin(sqrt(pow(sin(radians(b.y / 100 - a.y / 100) / 2), 2) + cos(radians(a.y / 100)) * cos(radians(b.y / 100)) * pow(sin(radians(b.x / 100 - a.x / 100) / 2), 2)))"
+
+
+def on_earth(spark, sf):
+    """The orders raster with a hundredth of a degree per pixel."""
+    return inp.grid_pixels(spark, sf).withColumn("x", F.col("x") / 100).withColumn("y", F.col("y") / 100)
+
+
+@query("c5_great_circle", f"""
+WITH p AS ({inp.GRID}) SELECT a.sample_id AS a_sample_id, b.sample_id AS b_sample_id, round({EARTH}, 3) AS distance
+FROM p a JOIN p b ON a."col" = b."col" AND b."row" = a."row" + 1""")
+def great_circle(spark, sf):
+    from bandloom.functions.geometry import haversine
+
+    p = on_earth(spark, sf).select("row", "col", "sample_id", "x", "y")
+    a = p.select((F.col("row") + 1).alias("row"), "col", *[F.col(c).alias(f"a_{c}") for c in ("sample_id", "x", "y")])
+    b = p.select("row", "col", *[F.col(c).alias(f"b_{c}") for c in ("sample_id", "x", "y")])
+    return a.join(b, ["row", "col"]).select(
+        "a_sample_id", "b_sample_id", F.round(haversine(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")), 3).alias("distance"))
+
+
+# Within these latitudes the rows of pixels are 1106 m apart, the columns at most 1114 m.
+@query("c5_geodesic_pairs", f"""
+WITH p AS ({inp.GRID}) SELECT a.label, a.sample_id AS a_sample_id, b.sample_id AS b_sample_id
+FROM p a JOIN p b ON a.label = b.label AND a.sample_id < b.sample_id AND abs(b."row" - a."row") + abs(b."col" - a."col") = 1 AND b."row" BETWEEN a."row" AND a."row" + 1""")
+def geodesic_pairs(spark, sf):
+    return spatial.geodesic_pairs(on_earth(spark, sf), 1200.0, ["label"]).select("label", "a_sample_id", "b_sample_id")
+
+
 def held_by_hash(spark, sf):
     """Three held-out pixels per class: the smallest hashes of three seeds."""
     p = inp.grid_pixels(spark, sf)
