@@ -123,13 +123,23 @@ def mask_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^(.*?)(\.[^./]*)?$", "$1" + fv.MASK_SUFFIX + "$2")
 
 
+def bind(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
     """Softmax of an array column, shifted by its largest element."""
     limit = 709.782712893384
     bounded = F.transform(logits, lambda v: F.greatest(F.lit(-limit), F.least(F.lit(limit), v)))
-    powers = F.transform(bounded, lambda v: F.exp(v - F.array_max(bounded)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(powers, lambda v: v / total)
+
+    def powers(b: Column) -> Column:
+        return bind(F.array_max(b), lambda top: F.transform(b, lambda v: F.exp(v - top)))
+
+    def shares(p: Column) -> Column:
+        return bind(F.aggregate(p, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(p, lambda v: v / total))
+
+    return bind(bind(bounded, powers), shares)
 
 
 def upgrade_recipe(document: Column) -> Column:

@@ -42,7 +42,7 @@ def band_means(df: DataFrame, d: int) -> tuple[float, ...]:
 
 def moment_columns(d: int, shift: Sequence[float] | None = None) -> list[Column]:
     """The aggregates of a moment table for few bands."""
-    x = [F.col("bands")[i] - (float(shift[i]) if shift else 0.0) for i in range(d)]
+    x = [F.col("bands")[i] - float(shift[i]) if shift else F.col("bands")[i] for i in range(d)]
     return [
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(v) for v in x]).alias("s"),

@@ -81,13 +81,14 @@ def rasterize_labels(pixels: DataFrame, polygons: DataFrame, keep: Sequence[str]
     fields = [c for c in ("fid", "class", "stand_id") if c in polygons.columns]
     points = pixels.select(*PIXEL_KEY, "x", "y", *keep)
     hits = polygon_matches(points, polygons, fields)
-    won = hits.groupBy(*PIXEL_KEY).agg(
-        F.max_by(F.struct(*fields), "fid").alias("_w"), *[F.first(c).alias(c) for c in ("x", "y", *keep)]
-    )
-    out = [F.col("_w.class").cast("int").alias("label"), F.col("_w.fid").alias("polygon_id")]
+    # Plain numbers, so that the aggregate can hash; only kept arrays make it sort.
+    best = [F.max("fid").alias("polygon_id"), F.max_by(F.col("class").cast("int"), "fid").alias("label")]
     if "stand_id" in fields:
-        out.append(F.col("_w.stand_id").alias("stand_id"))
-    return won.select(*PIXEL_KEY, "x", "y", *keep, *out)
+        best.append(F.max_by("stand_id", "fid").alias("stand_id"))
+    carried = [c for c in ("x", "y", *keep) if c not in PIXEL_KEY]
+    won = hits.groupBy(*PIXEL_KEY).agg(*best, *[F.first(c).alias(c) for c in carried])
+    out = ["label", "polygon_id", *(["stand_id"] if "stand_id" in fields else [])]
+    return won.select(*PIXEL_KEY, *carried, *out)
 
 
 def position_join(pixels: DataFrame, other: DataFrame, how: str) -> DataFrame:
