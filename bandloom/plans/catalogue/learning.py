@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bandloom import fixed_values as fv
 from bandloom.operators import explain, gaussian, learners, metrics, oversample, prepare, sampling, tuning
 from bandloom.plans import classify, inputs as inp
 from bandloom.plans.catalogue.models import DISC, SCALED, gauss_sql, scaled_lines
@@ -91,9 +92,23 @@ def nested_cv(spark, sf):
     return tuning.nested_cv("NB", inp.vector_samples(spark, sf), {"var_smoothing": [1e-9, 1e-3]}, outer=3, inner=2)
 
 
-@query("e10_learning_curve")
+@query("e10_learning_curve", f"""
+WITH s AS ({inp.EVENT}), o AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('0|' || sample_id)) - 1) % 2 AS fold FROM s),
+t AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5('0|curve|' || sample_id)) AS rk, count(*) OVER (PARTITION BY fold) AS nf FROM o),
+sh AS (SELECT unnest([0.2e0, 0.6e0, 1e0]) AS share), ff AS (SELECT unnest([0, 1]) AS f),
+tr AS (SELECT share, f, t.* FROM t JOIN ff ON fold <> f JOIN sh ON rk <= floor(nf * share)),
+eps AS (SELECT share, f, 1e-9 * greatest(var_pop(b1), var_pop(b2)) AS eps, count(*) AS n FROM tr GROUP BY 1, 2),
+m AS (SELECT tr.share, tr.f, label, avg(b1) AS m1, avg(b2) AS m2, var_pop(b1) + max(eps) AS v1, var_pop(b2) + max(eps) AS v2, count(*) / CAST(max(n) AS DOUBLE) AS prior
+  FROM tr JOIN eps ON eps.share = tr.share AND eps.f = tr.f GROUP BY 1, 2, 3),
+ev AS (SELECT share, f, 'train' AS side, sample_id, label, b1, b2 FROM tr UNION ALL SELECT share, f, 'valid', sample_id, label, b1, b2 FROM t JOIN ff ON fold = f, sh),
+k AS (SELECT ev.share, ev.f, side, sample_id, ev.label AS truth, arg_min(m.label, ln(v1) + (b1 - m1) * (b1 - m1) / v1 + ln(v2) + (b2 - m2) * (b2 - m2) / v2 - 2 * ln(prior)) AS class
+  FROM ev JOIN m ON m.share = ev.share AND m.f = ev.f GROUP BY 1, 2, 3, 4, 5),
+sc AS (SELECT share, f, side, avg(CASE WHEN truth = class THEN 1e0 ELSE 0e0 END) AS score FROM k GROUP BY 1, 2, 3)
+SELECT share, round(avg(score) FILTER (side = 'train'), 6) AS train_mean, round(stddev_pop(score) FILTER (side = 'train'), 6) AS train_std,
+ round(avg(score) FILTER (side = 'valid'), 6) AS valid_mean, round(stddev_pop(score) FILTER (side = 'valid'), 6) AS valid_std FROM sc GROUP BY share""")
 def learning_curve(spark, sf):
-    return tuning.learning_curve("NB", inp.event_samples(spark, sf), sizes=(0.2, 0.6, 1.0), folds=2)
+    curve = tuning.learning_curve("NB", inp.event_samples(spark, sf), sizes=(0.2, 0.6, 1.0), folds=2)
+    return curve.select("share", *[R6(c).alias(c) for c in curve.columns[1:]])
 
 
 @query("i19_apply_class_weights")
@@ -362,7 +377,15 @@ def stream_predict(spark, sf):
     return streams.stream_to_table(stream, scratch_path(spark, "predictions")).select("sample_id", "class")
 
 
-@query("classifier_table")
+def sql_classifiers():
+    def cell(v):
+        return str(v).lower() if isinstance(v, bool) else f"'{v}'"
+
+    rows = ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in fv.CLASSIFIERS)
+    return f"(VALUES {rows}) AS v(code, name, probability, tunable, attributable, class_weights)"
+
+
+@query("classifier_table", f"SELECT v.*, (SELECT count(*) FROM lineitem) AS samples FROM {sql_classifiers()}")
 def classifier_table(spark, sf):
     """Abilities of every classifier beside the samples each could train on."""
     counts = inp.line_samples(spark, sf).agg(F.count(F.lit(1)).alias("samples"), F.lit(1).alias("_one"))
