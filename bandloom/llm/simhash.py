@@ -149,6 +149,20 @@ def _spanning(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray) -> tup
     return np.concatenate((x[u], y[v])), np.concatenate((least_x[u], least_y[v]))
 
 
+def _near_roots(shared, bits: int):
+    """Branches with each root from their own on that may hold a link; the roots are few by bound."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, low, high = shared.value.T
+        for batch in batches:
+            a, b = batch["a_low"].to_numpy(np.int64)[:, None], batch["a_high"].to_numpy(np.int64)[:, None]
+            differ = ((a ^ low) & ~(a ^ b) & ~(low ^ high)).view(np.uint64)
+            i, j = np.nonzero((np.bitwise_count(differ) <= bits) & (root >= batch["root"].to_numpy()[:, None]))
+            yield batch[["a", "a_low", "a_high"]].iloc[i].assign(to_root=root[j].astype(np.int32))
+
+    return run
+
+
 def _compare(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -184,17 +198,12 @@ def fingerprint_links(codes: DataFrame, bits: int = 2) -> DataFrame:
 
     below = [F.bit_and("low").alias("low"), F.bit_or("high").alias("high")]
     branches = leaves.groupBy("root", "branch").agg(*below)
-    tops = leaves.groupBy("root").agg(*below).select("root", F.col("low").alias("r_low"), F.col("high").alias("r_high")).collect()
+    tops = leaves.groupBy("root").agg(*below).orderBy("root").collect()
     if len(tops) > max(MAX_ROOTS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))):
         raise ValueError("more roots than asked for")
-    top = spark.createDataFrame([(r.root, r.r_low, r.r_high) for r in tops] or [(0, 0, 0)], "to_root int, r_low bigint, r_high bigint")
-
-    # Branch against roots: the root table is bounded and rides along as one broadcast array.
-    packed = top.agg(F.collect_list(F.struct("to_root", "r_low", "r_high")).alias("tops")).withColumn("one", F.lit(1))
-    a = branches.select(F.col("root"), F.col("branch").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"), F.lit(1).alias("one"))
-    met = a.join(F.broadcast(packed), "one").select("root", "a", "a_low", "a_high", F.explode("tops").alias("t"))
-    met = met.select("root", "a", "a_low", "a_high", F.col("t.to_root").alias("to_root"), F.col("t.r_low").alias("r_low"), F.col("t.r_high").alias("r_high"))
-    met = met.filter(F.col("to_root") >= F.col("root")).filter(_least_difference("a_", "r_") <= bits).select("a", "a_low", "a_high", "to_root")
+    shared = spark.sparkContext.broadcast(np.array([(r.root, r.low, r.high) for r in tops], dtype=np.int64).reshape(-1, 3))
+    met = branches.select("root", F.col("branch").alias("a"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    met = met.mapInPandas(_near_roots(shared, bits), "a bigint, a_low bigint, a_high bigint, to_root int")
     b = branches.select(F.col("root").alias("to_root"), F.col("branch").alias("b"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
     pairs = met.join(b, "to_root").filter("b >= a").filter(_least_difference("a_", "b_") <= bits)
     pairs = pairs.select("a", "b", "b_low", "b_high")
