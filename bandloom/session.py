@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,28 @@ def get_spark(app: str = "bandloom", master: str | None = None, **conf) -> Spark
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        name, folder = os.path.basename(root), tempfile.mkdtemp(prefix="spark-")
+        archive = os.path.join(folder, f"{name}.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for at, _, files in os.walk(root):
+                for file in files:
+                    if file.endswith(".py"):
+                        path = os.path.join(at, file)
+                        out.write(path, os.path.join(name, os.path.relpath(path, root)))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
