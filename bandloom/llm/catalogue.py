@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bandloom.llm import simhash, substrings
+from bandloom.llm import chat, embeddings, licenses, mixing, packing, quality, rules, simhash, substrings, warc
+from bandloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +30,65 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels.filter(~quality.held_out()), metadata_cols=("n_chars",))
+    scored = quality.score_quality(docs, model, metadata_cols=("n_chars",))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op2_simhash_dedup")
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query("op3_embedding_dedup")
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return cut.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
+@query("op5_warc_captures")
+def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.page_captures(warc.assemble_captures(warc.read_archive(spark, path, with_payload=False)))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select("doc_id", *[F.col(f"verdict.{c}") for c in base])
+
+
+@query("op7_curriculum_mix")
+def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    first = F.round(F.get("times", F.lit(0)), 6).alias("first_time")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+
+
+@query("op8_bin_completion_pack")
+def op8_bin_completion_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.document_licences(docs, licenses.fit_licences(docs))
+
+
+@query("op10_preference_format")
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    made = chat.format_preferences(turns, chat.neighbour_pairs(turns))
+    masks = {c: chat.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")}
+    return made.withColumns(masks)

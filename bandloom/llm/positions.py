@@ -42,13 +42,12 @@ def running_sum(
     if not widths:
         before = Window.partitionBy(*group).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0).cast("bigint")))
-    shift = KEY_BITS - widths[-1]
-    df = df.withColumn("_cell", F.shiftright(key, shift))
-    cells = df.groupBy(*group, "_cell").agg(F.sum(value).alias("_amount"))
-    cells = cells.withColumn("_at", F.shiftleft("_cell", shift))
-    starts = running_sum(cells, group, "_at", "_amount", "_start", widths[:-1])
-    starts = starts.select(*group, "_cell", "_start")
-    inside = Window.partitionBy(*group, "_cell").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    summed = df.join(starts, [*group, "_cell"], "left")
-    summed = summed.withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0).cast("bigint")))
-    return summed.drop("_cell", "_start")
+    level, shift = len(widths), KEY_BITS - widths[-1]
+    cell, amount, at, start = (f"_{name}{level}" for name in ("cell", "amount", "at", "start"))
+    df = df.withColumn(cell, F.shiftright(key, shift))
+    cells = df.groupBy(*group, cell).agg(F.sum(value).alias(amount)).withColumn(at, F.shiftleft(cell, shift))
+    starts = running_sum(cells, group, at, amount, start, widths[:-1]).select(*group, cell, start)
+    inside = Window.partitionBy(*group, cell).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.join(starts, [*group, cell])
+    summed = summed.withColumn(out, F.col(start) + F.coalesce(F.sum(value).over(inside), F.lit(0).cast("bigint")))
+    return summed.drop(cell, start)

@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandloom.session import cut_lineage
 
@@ -147,25 +148,23 @@ def _window_rows(window: int):
     return run
 
 
-def _cut_rows(with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, text, spans in zip(batch["id"], batch["text"], batch["spans"]):
-                words = kept = words_of(text)
-                if spans is not None:
-                    edges = np.zeros(len(words) + 1, dtype=np.int64)
-                    for span in spans:
-                        edges[min(span["start"], len(words))] += 1
-                        edges[min(span["start"] + span["length"], len(words))] -= 1
-                    kept = [w for w, cover in zip(words, np.cumsum(edges[:-1]).tolist()) if not cover]
-                left = b" ".join(kept)
-                row = (doc, len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest())
-                rows.append((*row, left.decode("utf-8", "surrogatepass")) if with_text else row)
-            names = ["id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
-            yield pd.DataFrame(rows, columns=names).astype({"id": "Int64"})
-
-    return run
+@F.pandas_udf(T.StructType([
+    T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType()),
+]))
+def _cut(texts: pd.Series, spans: pd.Series, with_text: pd.Series) -> pd.DataFrame:
+    """Take the spans, packed as start * 2^32 + length, out of the words of each text."""
+    rows = []
+    for text, packed, wanted in zip(texts, spans, with_text):
+        words = kept = words_of(text)
+        if packed is not None and len(packed):
+            edges = np.zeros(len(words) + 1, dtype=np.int64)
+            start, length = np.divmod(np.asarray(packed, dtype=np.int64), 1 << 32)
+            np.add.at(edges, np.minimum(start, len(words)), 1)
+            np.add.at(edges, np.minimum(start + length, len(words)), -1)
+            kept = [w for w, cover in zip(words, np.cumsum(edges[:-1]).tolist()) if not cover]
+        left = b" ".join(kept)
+        rows.append((len(words), len(words) - len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if wanted else None))
+    return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept"])
 
 
 def _place(id_col: str, text_col: str) -> Column:
@@ -227,17 +226,19 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, token: int = TOKEN, with_text: bool = True
 ) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256[, kept] (the words left, joined by spaces).
+    """The rows of `docs` and a struct `cut`: n_words, n_removed, kept_sha256, kept (the words left, joined by spaces).
 
     A word goes if a window over it has a word sequence that also starts earlier.
     Null and empty texts have no words; texts shorter than a window lose nothing.
-    Documents without an id come after all others and keep a null id. Rows that
-    repeat an id with the same text are one place, so neither is the earlier one;
-    with different texts under one id a span found in one is taken out of each. An
-    empty table gives no rows. Other columns are ignored.
+    Documents without an id come after all others. Rows that repeat an id with the
+    same text are one place, so neither is the earlier one; with different texts
+    under one id a span found in one is taken out of each. An empty table gives no
+    rows. Other columns are carried along (only one named `cut` is replaced);
+    `kept` is null unless `with_text`.
     """
-    spans = removal_spans(docs, id_col, text_col, window, token).groupBy("place").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), _place(id_col, text_col).alias("place"), F.col(text_col).cast("string").alias("text"))
-    joined = texts.join(spans, "place", "left").select("id", "text", "spans")
-    out = joined.mapInPandas(_cut_rows(with_text), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)
-    return out.withColumnRenamed("id", id_col)
+    packed = F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("length")
+    spans = removal_spans(docs, id_col, text_col, window, token).groupBy("place").agg(F.collect_list(packed).alias("spans"))
+    rows = docs.select(_place(id_col, text_col).alias("place"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(spans, "place", "left")
+    joined = joined.select("row", _cut(F.col("row")[text_col].cast("string"), F.col("spans"), F.lit(with_text)).alias("cut"))
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "cut"], "cut")
