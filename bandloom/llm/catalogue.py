@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import chat, embeddings, licenses, mixing, packing, quality, rules, simhash, substrings, warc
+from bandloom.llm import chat, embeddings, licenses, mixing, packing, quality, rules, simhash, sql, substrings, warc
 from bandloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,32 +43,35 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-@query("op3_embedding_dedup")
+@query("op3_embedding_dedup", sql.OP3)
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", sql.OP4)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return cut.select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
-@query("op5_warc_captures")
+@query("op5_warc_captures", sql.OP5)
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.page_captures(warc.assemble_captures(warc.read_archive(spark, path, with_payload=False)))
 
 
-@query("op6_quality_rules")
+_OP6 = sql.op6(rules.MAX_CLASS_DISTANCE, rules.MAX_WORD_DISTANCE, rules.MIN_CLASS_CHARS, rules.MIN_HISTOGRAM_WORDS, rules.COMMON_WORDS)
+
+
+@query("op6_quality_rules", _OP6)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *[F.col(f"verdict.{c}") for c in base])
 
 
-@query("op7_curriculum_mix")
+@query("op7_curriculum_mix", sql.OP7)
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     first = F.round(F.get("times", F.lit(0)), 6).alias("first_time")
@@ -86,7 +89,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.document_licences(docs, licenses.fit_licences(docs))
 
 
-@query("op10_preference_format")
+@query("op10_preference_format", sql.OP10)
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     made = chat.format_preferences(turns, chat.neighbour_pairs(turns))

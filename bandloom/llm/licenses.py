@@ -113,12 +113,12 @@ def paragraph_words(line: Column) -> Column:
 
 def grams(words: Column) -> Column:
     """Word n-grams of ORDERS, joined by spaces, repeats kept."""
-    by_order = [
-        F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-        .otherwise(F.array().cast("array<string>"))
-        for n in ORDERS
-    ]
-    return F.concat(*by_order)
+    def order(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(words) - n + 1)
+        some = F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+        return F.when(F.size(words) >= n, some).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[order(n) for n in ORDERS])
 
 
 @dataclass
@@ -138,6 +138,11 @@ def _notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "family string, template int, line string")
 
 
+def _thinned(words: Column, n: int, at: int) -> Column:
+    """The words without every n-th, counted from `at`."""
+    return F.array_join(F.filter(words, lambda w, i: (i + at) % n != 0), " ")
+
+
 def _variants(notices: DataFrame) -> DataFrame:
     """Each notice whole, without its first or last words, with words around it, and with every n-th word left out."""
     words = F.split("line", " ")
@@ -148,7 +153,7 @@ def _variants(notices: DataFrame) -> DataFrame:
         F.array_join(F.slice(words, 1, F.greatest(size - 1, F.lit(1))), " "),
         F.concat(F.lit("Copyright (c) 2020 The Authors. "), F.col("line")),
         F.concat(F.lit("Note: "), F.col("line"), F.lit(" All rights reserved.")),
-        *[F.array_join(F.filter(words, lambda w, i, n=n, o=o: (i + o) % n != 0), " ") for n, o in ((4, 1), (5, 2), (7, 3))],
+        *[_thinned(words, n, at) for n, at in ((4, 1), (5, 2), (7, 3))],
     ]
     return notices.select("family", F.posexplode(F.array(*forms)).alias("variant", "line"))
 

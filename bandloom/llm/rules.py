@@ -16,8 +16,8 @@ CLASSES = {"lower": "[a-z]+", "space": SPACES, "upper": "[A-Z]+", "mark": "[.,;:
 COMMON_WORDS = 20
 # Jensen-Shannon distances (0 to 1) above which a text is not of its language, and the
 # counts a histogram needs before it is trusted.
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.75
+MAX_CLASS_DISTANCE = 0.3
+MAX_WORD_DISTANCE = 0.43
 MIN_CLASS_CHARS = 200
 MIN_HISTOGRAM_WORDS = 50
 # More languages than this are joined by a shuffle instead of a broadcast.
