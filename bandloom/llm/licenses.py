@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm.positions import KEY_BITS, order_key
-from bandloom.llm.words import SPACES
+from bandloom.llm.words import SPACES, bind
 from bandloom.session import cut_lineage
 
 UNKNOWN = "unknown"
@@ -113,12 +113,12 @@ def paragraph_words(line: Column) -> Column:
 
 def grams(words: Column) -> Column:
     """Word n-grams of ORDERS, joined by spaces, repeats kept."""
-    def order(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.size(words) - n + 1)
-        some = F.transform(places, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-        return F.when(F.size(words) >= n, some).otherwise(F.array().cast("array<string>"))
+    def order(held: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.size(held) - n + 1)
+        some = F.transform(places, lambda i: F.array_join(F.slice(held, i, F.lit(n)), " "))
+        return F.when(F.size(held) >= n, some).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[order(n) for n in ORDERS])
+    return bind(words, lambda held: F.concat(*[order(held, n) for n in ORDERS]))
 
 
 @dataclass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandloom.llm.words import SPACES, word_array
+from bandloom.llm.words import SPACES, bind, word_array
 from bandloom.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -56,17 +56,12 @@ def repeat_words(words: Column) -> Column:
     def covered(order):
         hit = F.filter(order, lambda x, k: same(x, F.get(order, k + 1)) | same(x, F.get(order, k - 1)))
         places = F.sort_array(F.transform(hit, lambda x: (x - whole(cut(x, bits), bits)).cast("int")))
-        return _bound(places, lambda p: F.aggregate(
+        return bind(places, lambda p: F.aggregate(
             F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))),
             F.lit(0).cast("bigint"), lambda a, x: a + x,
         ))
 
-    return F.when(last < 0, F.lit(0).cast("bigint")).otherwise(_bound(order, covered))
-
-
-def _bound(value: Column, use) -> Column:
-    """`use(value)` with `value` evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(last < 0, F.lit(0).cast("bigint")).otherwise(bind(order, covered))
 
 
 def class_counts(text: Column) -> Column:
@@ -77,7 +72,7 @@ def class_counts(text: Column) -> Column:
         size = F.length(rest).cast("bigint")
         if not left:
             return F.array(size)
-        return _bound(F.regexp_replace(rest, left[0], ""), lambda shorter: F.concat(F.array(size - F.length(shorter)), step(shorter, left[1:])))
+        return bind(F.regexp_replace(rest, left[0], ""), lambda shorter: F.concat(F.array(size - F.length(shorter)), step(shorter, left[1:])))
 
     return step(rest, list(CLASSES.values()))
 
@@ -85,8 +80,8 @@ def class_counts(text: Column) -> Column:
 def word_bins(words: Column, common: Column) -> Column:
     """Array of counts: per common word how often it stands in `words` (lower case), then all other words."""
     places = F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w))), lambda p: p > 0)
-    counts = _bound(places, lambda found: F.transform(common, lambda _, k: F.size(F.filter(found, lambda p: p == k + 1)).cast("bigint")))
-    return _bound(counts, lambda c: F.array_append(c, F.size(words).cast("bigint") - _total(c)))
+    counts = bind(places, lambda found: F.transform(common, lambda _, k: F.size(F.filter(found, lambda p: p == k + 1)).cast("bigint")))
+    return bind(counts, lambda c: F.array_append(c, F.size(words).cast("bigint") - _total(c)))
 
 
 def _total(counts: Column) -> Column:

@@ -27,3 +27,8 @@ def word_count(text: Column) -> Column:
     blank = lambda c: F.translate(c, SPACE_CHARACTERS, "") == ""
     edges = blank(first).cast("bigint") + blank(last).cast("bigint")
     return F.when(text == "", F.lit(0).cast("bigint")).otherwise(pieces - edges)
+
+
+def bind(value: Column, use) -> Column:
+    """`use(value)` with `value` evaluated once, also where it stands inside further lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
