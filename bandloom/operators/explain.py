@@ -13,15 +13,18 @@ from bandloom import fixed_values as fv
 from bandloom.functions import ordering as od
 from bandloom.operators.learners import Fitted
 
-EXACT_BANDS = 8
+# Exact values need 2^bands coalitions; beyond this, ask for random orders.
+EXACT_BANDS = 16
 AGGREGATES = ("mean_abs", "mean", "max_abs")
 
 
-def coalitions(d: int, permutations: int = 64, seed: int = 0) -> list[tuple[int, list[bool], list[float]]]:
+def coalitions(d: int, permutations: int | None = None, seed: int = 0) -> list[tuple[int, list[bool], list[float]]]:
     """(id, members, weight per band): a band's attribution is the weighted sum
-    of the coalition values. Exact up to eight bands, else over random orders."""
+    of the coalition values. Exact unless a number of random orders is asked for."""
     table: dict[tuple, np.ndarray] = {}
-    if d <= EXACT_BANDS:
+    if permutations is None:
+        if d > EXACT_BANDS:
+            raise ValueError(f"exact values of {d} bands need 2^{d} coalitions; name a number of permutations")
         for size in range(d + 1):
             for members in combinations(range(d), size):
                 mask = tuple(i in members for i in range(d))
@@ -44,20 +47,23 @@ def coalitions(d: int, permutations: int = 64, seed: int = 0) -> list[tuple[int,
     return [(i, list(m), [float(v) for v in w]) for i, (m, w) in enumerate(table.items())]
 
 
-def draw_table(df: DataFrame, limit: int, seed: int) -> DataFrame:
-    """At most `limit` rows in seeded order; sampling is part of the method."""
+def draw_table(df: DataFrame, limit: int | None, seed: int) -> DataFrame:
+    """At most `limit` rows in seeded order, all rows without a limit."""
+    if limit is None:
+        return df.select("sample_id", "bands")
     rows = df.select("sample_id", "bands", od.seeded_hash(seed, "sample_id").alias("_h")).orderBy("_h").limit(limit)
     return rows.drop("_h")
 
 
 def shapley_values(
-    model: Fitted, samples: DataFrame, background: DataFrame | None = None, sample_limit: int = fv.SHAP_SAMPLES,
-    background_limit: int = fv.SHAP_BACKGROUND, permutations: int = 64, seed: int = 0,
+    model: Fitted, samples: DataFrame, background: DataFrame | None = None, sample_limit: int | None = None,
+    background_limit: int = fv.SHAP_BACKGROUND, permutations: int | None = None, seed: int = 0,
 ) -> DataFrame:
     """(sample_id, class, band, value): Shapley values of class probabilities.
 
-    Bands inside a coalition come from the sample, the others from background
-    rows. All mixed rows go through the model in one job; their weighted sums
+    Bands inside a coalition come from the sample, the others from at most
+    `background_limit` background rows, the bound on what every task holds. All
+    samples are explained unless `sample_limit` is given. All mixed rows go through the model in one job; their weighted sums
     are the attributions.
     """
     spark, d = samples.sparkSession, model.d

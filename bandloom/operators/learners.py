@@ -35,6 +35,8 @@ from bandloom.operators.prepare import band_count
 CODES = {row[0]: row[1] for row in fv.CLASSIFIERS}
 TUNABLE = {row[0] for row in fv.CLASSIFIERS if row[3]}
 WEIGHTED = {row[0] for row in fv.CLASSIFIERS if row[5]}
+# The deepest tree Spark grows; a forest's default is DEFAULT_DEPTH.
+MAX_DEPTH = 30
 DEFAULT_DEPTH = 10
 FOURIER_FEATURES = 128
 
@@ -167,15 +169,23 @@ def unsupported(code: str, params: dict, known: Sequence[str]) -> None:
             warnings.warn(f"{code}: parameter {name!r} has no counterpart and is ignored", stacklevel=3)
 
 
+def depth_of(asked) -> int:
+    """A tree depth, refused where Spark's trees cannot grow that deep."""
+    depth = DEFAULT_DEPTH if asked is None else int(asked)
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees grow to depth {MAX_DEPTH} at most, {depth} was asked for")
+    return depth
+
+
 def forest(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
     """Random forest; extra trees are the same trees on all rows with coarse bins."""
-    unsupported(code, params, ["n_estimators", "max_depth", "min_samples_leaf", "max_features", "min_samples_split"])
+    unsupported(code, params, ["n_estimators", "max_depth", "min_samples_leaf", "max_features"])
     classes, d = sorted_classes(df), band_count(df)
     share = params.get("max_features", "sqrt")
     strategy = "all" if share is None else str(share)
     leaf = max(int(params.get("min_samples_leaf", 1)), 1)
     estimator = RandomForestClassifier(
-        labelCol="code", numTrees=int(params.get("n_estimators", 100)), maxDepth=min(int(params.get("max_depth", DEFAULT_DEPTH)), 30),
+        labelCol="code", numTrees=int(params.get("n_estimators", 100)), maxDepth=depth_of(params.get("max_depth", DEFAULT_DEPTH)),
         featureSubsetStrategy=strategy, minInstancesPerNode=leaf, seed=seed, bootstrap=code != "ET",
         maxBins=16 if code == "ET" else 32, maxMemoryInMB=512,
     )
@@ -199,7 +209,7 @@ def boosting(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
     unsupported(code, {k: v for k, v in params.items() if k != "loss_function"}, known)
     classes, d = sorted_classes(df), band_count(df)
     estimator = GBTClassifier(
-        labelCol="code", maxIter=int(params.get(names["rounds"], 100)), maxDepth=min(int(params.get(names["depth"], 3)), 30),
+        labelCol="code", maxIter=int(params.get(names["rounds"], 100)), maxDepth=depth_of(params.get(names["depth"], 3)),
         stepSize=float(params.get("learning_rate", 0.1)), subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
         minInfoGain=float(params.get("gamma", 0.0)),
@@ -268,7 +278,7 @@ def radial_machine(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
 
 
 def logistic(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
-    unsupported(code, params, ["C", "penalty", "solver", "max_iter"])
+    unsupported(code, params, ["C", "penalty", "max_iter"])
     classes, d = sorted_classes(df), band_count(df)
     penalty = params.get("penalty", "l2")
     strength = 0.0 if penalty is None else 1.0 / (float(params.get("C", 1.0)) * max(df.count(), 1))
@@ -279,12 +289,12 @@ def logistic(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
 
 
 def perceptron(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
-    unsupported(code, params, ["hidden_layer_sizes", "n_layers", "max_iter", "learning_rate_init"])
+    unsupported(code, params, ["hidden_layer_sizes", "n_layers", "max_iter"])
     classes, d = sorted_classes(df), band_count(df)
     hidden = [int(v) for v in params.get("hidden_layer_sizes", (50,))]
     estimator = MultilayerPerceptronClassifier(
         labelCol="code", layers=[d, *hidden, len(classes)], maxIter=int(params.get("max_iter", 500)),
-        stepSize=float(params.get("learning_rate_init", 0.001)), seed=seed, blockSize=256)
+        seed=seed, blockSize=256)
     return SparkFitted(code, estimator.fit(training_frame(df.drop("weight"), classes)), classes, d)
 
 
@@ -355,14 +365,12 @@ def weight_parameters(code: str, weights: dict[int, float]) -> dict:
     return {"class_weight": dict(weights)} if code in {"RF", "SVM", "KNN", "ET", "GBC", "LR", "NB", "MLP"} else {}
 
 
-def default_grid(code: str, d: int, samples: int = 0, ratio: float = 1.0) -> dict[str, list]:
+def default_grid(code: str, d: int) -> dict[str, list]:
     """The values tried for a classifier unless the caller names others."""
     checked(code)
     if code in fv.FOREST_TREES:
         step = max(1, d // fv.FOREST_STEP_PARTS[code])
         return {"n_estimators": list(fv.FOREST_TREES[code]), "max_features": list(range(1, max(2, d), step))}
-    if code == "CB" and (samples > fv.SMALL_GRID_SAMPLES or ratio > fv.SMALL_GRID_RATIO):
-        return dict(fv.SMALL_CB_GRID)
     return dict(fv.DEFAULT_GRIDS[code])
 
 

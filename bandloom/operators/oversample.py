@@ -14,6 +14,8 @@ from bandloom.operators.prepare import band_count
 
 # Synthetic samples made from one seed within one task.
 COPIES_PER_TASK = 10_000
+# Columns of a seed that its synthetic samples keep.
+BELONGS = ("polygon_id", "stand_id", "x", "y")
 
 
 def neighbors_used(counts: dict, k: int) -> int:
@@ -23,12 +25,15 @@ def neighbors_used(counts: dict, k: int) -> int:
 
 
 def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0) -> DataFrame:
-    """(sample_id, label, bands) raising every class to the largest one.
+    """(sample_id, label, bands, and what else a seed has) raising every class to the largest one.
 
     Each sample of a minority class seeds its equal share of the missing rows;
     the remainder falls on the first samples in seeded order. A new row lies
-    between its seed and one of the seed's k nearest samples of the class.
+    between its seed and one of the seed's k nearest samples of the class. It
+    keeps the seed's polygon, stand and position, so that it stays on the seed's
+    side of every split by place.
     """
+    belongs = [c for c in BELONGS if c in df.columns]
     counts = count_map(df)
     most = max(counts.values())
     k = neighbors_used(counts, k)
@@ -40,12 +45,13 @@ def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0)
             continue
         if n < 2:
             raise ValueError(f"class {label} has one sample; a neighbour is needed to interpolate")
-        mine = df.filter(F.col("label") == label).select("sample_id", "label", "bands")
+        mine = df.filter(F.col("label") == label).select("sample_id", "label", "bands", *belongs)
         share, rest = divmod(need, n)
         cuts = od.hash_cuts(mine, "label", {label: rest}, "sample_id", seed)
         marked = od.below_cut(mine, "label", cuts, "sample_id", seed, "_more")
         seeds = marked.withColumn("_copies", F.lit(share) + F.when(F.col("_more"), 1).otherwise(0)).filter("_copies > 0")
-        found = knn_join(mine, mine, k + 1, d)
+        plain = mine.select("sample_id", "label", "bands")
+        found = knn_join(plain, plain, k + 1, d)
         others = F.slice(F.filter("neighbors", lambda e: e["ref_id"] != F.col("sample_id")), F.lit(1), F.lit(k))
         # The vectors of the neighbours travel with the seed, so that nothing has to be
         # joined once a seed has become many rows.
@@ -53,17 +59,17 @@ def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0)
         ends = mine.select(F.col("sample_id").alias("_other"), F.col("bands").alias("_end"))
         near = lookup_join(links, ends, ["_other"], "inner").groupBy("sample_id").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("_at", "_end"))), lambda e: e["_end"]).alias("_ends"))
-        made = spread_copies(seeds.select("sample_id", "label", "bands", "_copies").join(near, "sample_id"), share + 1)
+        made = spread_copies(seeds.select("sample_id", "label", "bands", *belongs, "_copies").join(near, "sample_id"), share + 1)
         hashed = od.seeded_hash(seed, "sample_id", "_copy")
         chosen = made.select(
-            "sample_id", "label", "bands", "_copy", od.hash_unit(F.md5(hashed)).alias("_u"),
+            "sample_id", "label", "bands", *belongs, "_copy", od.hash_unit(F.md5(hashed)).alias("_u"),
             F.get("_ends", (od.hash_uint(hashed, 6) % F.size("_ends")).cast("int")).alias("_end"))
         between = F.zip_with("bands", "_end", lambda a, b: a + F.col("_u") * (b - a))
         out = chosen.select(
             F.concat_ws("#", F.col("sample_id").cast("string"), F.col("_copy").cast("string")).alias("sample_id"), "label",
-            between.alias("bands"))
+            between.alias("bands"), *belongs)
         parts = out if parts is None else parts.unionByName(out)
-    return parts if parts is not None else df.select(F.col("sample_id").cast("string"), "label", "bands").limit(0)
+    return parts if parts is not None else df.select(F.col("sample_id").cast("string"), "label", "bands", *belongs).limit(0)
 
 
 def spread_copies(seeds: DataFrame, most: int) -> DataFrame:
@@ -80,7 +86,8 @@ def spread_copies(seeds: DataFrame, most: int) -> DataFrame:
 
 def smote(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0) -> DataFrame:
     """Original and synthetic samples together, marked by `synthetic`."""
-    old = df.select(F.col("sample_id").cast("string").alias("sample_id"), "label", "bands").withColumn("synthetic", F.lit(False))
+    belongs = [c for c in BELONGS if c in df.columns]
+    old = df.select(F.col("sample_id").cast("string").alias("sample_id"), "label", "bands", *belongs).withColumn("synthetic", F.lit(False))
     return old.unionByName(synthetic_samples(df, k, seed).withColumn("synthetic", F.lit(True)))
 
 

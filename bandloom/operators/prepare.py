@@ -77,7 +77,9 @@ class Scaler:
 
     def transform(self, df: DataFrame, bands: str = "bands") -> DataFrame:
         source = F.col(bands)
-        return df.withColumn(bands, F.array(*[self.column(source, i) for i in range(len(self.lo))]))
+        scaled = F.array(*[self.column(source, i) for i in range(len(self.lo))])
+        wrong = F.raise_error(F.concat(F.lit(f"bounds of {len(self.lo)} bands, rows of "), F.size(source).cast("string")))
+        return df.withColumn(bands, F.when(F.size(source) != len(self.lo), wrong.cast("array<double>")).otherwise(scaled))
 
     def rows(self) -> list[tuple[int, float, float]]:
         return [(i + 1, lo, hi) for i, (lo, hi) in enumerate(zip(self.lo, self.hi))]

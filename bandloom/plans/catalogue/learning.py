@@ -174,7 +174,7 @@ def rank_features(spark, sf):
 
 @query("i22_shapley_importance", f"""
 WITH {SCALED}, {gauss_sql()},
-q AS (SELECT sample_id, x, y FROM z ORDER BY md5('1|' || sample_id) LIMIT 300), bg AS (SELECT sample_id AS bid, x AS g_x, y AS g_y FROM z ORDER BY md5('1|ground|' || sample_id) LIMIT 50),
+q AS (SELECT sample_id, x, y FROM z ), bg AS (SELECT sample_id AS bid, x AS g_x, y AS g_y FROM z ORDER BY md5('1|ground|' || sample_id) LIMIT 50),
 c AS (SELECT unnest([0, 1, 2, 3]) AS cid),
 t AS (SELECT sample_id, cid, bid, CASE WHEN cid & 1 = 1 THEN x ELSE g_x END AS x, CASE WHEN cid & 2 = 2 THEN y ELSE g_y END AS y FROM q, bg, c),
 k AS (SELECT t.sample_id, t.cid, t.bid, gi.label, {DISC} AS k FROM t CROSS JOIN gi),
@@ -187,7 +187,7 @@ SELECT 1 AS band, round(f1 / (f1 + f2), 5) AS importance FROM f UNION ALL SELECT
 def shapley_importance(spark, sf):
     z = scaled_lines(spark, sf).select("sample_id", "label", "bands")
     fitted = learners.fit("GMM", z)
-    ranked = explain.rank_features(explain.shapley_importance(fitted, z, seed=1, sample_limit=300, background_limit=50))
+    ranked = explain.rank_features(explain.shapley_importance(fitted, z, seed=1, background_limit=50))
     return ranked.select("band", F.round("importance", 5).alias("importance"))
 
 
@@ -294,7 +294,7 @@ tz AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id <
 t AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id = zz.stand_id), {fold_gauss('0.01')}""")
 def train_stand(spark, sf):
     s = inp.line_samples(spark, sf).select("sample_id", "label", F.slice("bands", 1, 2).alias("bands"), "stand_id")
-    return train(s, code="GMM", split="STAND", max_iter=2, params={"tau": 0.01}).fold_cells.select("iter", "label", "prediction", "n")
+    return train(s, code="GMM", split="STAND", max_iter=2, sloo=True, params={"tau": 0.01}).fold_cells.select("iter", "label", "prediction", "n")
 
 
 @query("i24_train_sloo", f"""
@@ -375,18 +375,3 @@ def stream_predict(spark, sf):
     fitted = learners.fit("GMM", inp.event_samples(spark, sf), {"tau": 0.5, "center": True})
     stream = streams.stream_predict(event_stream(spark, sf), fitted, keep=["sample_id"])
     return streams.stream_to_table(stream, scratch_path(spark, "predictions")).select("sample_id", "class")
-
-
-def sql_classifiers():
-    def cell(v):
-        return str(v).lower() if isinstance(v, bool) else f"'{v}'"
-
-    rows = ", ".join("(" + ", ".join(cell(v) for v in r) + ")" for r in fv.CLASSIFIERS)
-    return f"(VALUES {rows}) AS v(code, name, probability, tunable, attributable, class_weights)"
-
-
-@query("classifier_table", f"SELECT v.*, (SELECT count(*) FROM lineitem) AS samples FROM {sql_classifiers()}")
-def classifier_table(spark, sf):
-    """Abilities of every classifier beside the samples each could train on."""
-    counts = inp.line_samples(spark, sf).agg(F.count(F.lit(1)).alias("samples"), F.lit(1).alias("_one"))
-    return learners.classifier_table(spark).withColumn("_one", F.lit(1)).join(counts, "_one").drop("_one")

@@ -17,6 +17,7 @@ from bandloom.operators.prepare import Scaler
 
 
 CELL_ROWS = 1_000_000
+STAND_ITERATIONS = 5
 
 
 @dataclass
@@ -25,6 +26,12 @@ class TrainConfig:
 
     split: a percentage of training rows, or `SLOO` / `STAND` to assess on
     spatial folds after training on everything.
+    search_rows: at most about this many labelled rows take part in the parameter
+    search, with folds, grid and trials as asked; all rows by default.
+    fast_mode: asks for fewer rows, folds, trials and grid values on large or very
+    uneven samples. Nothing is thinned unless it is asked for.
+    max_iter: spatial iterations; by default as many as the smallest class has
+    samples for `SLOO`, and STAND_ITERATIONS for `STAND`.
     """
 
     code: str = "GMM"
@@ -36,13 +43,14 @@ class TrainConfig:
     search: str = "none"  # none, grid, random
     trials: int = fv.DEFAULT_TRIALS
     folds: int = fv.DEFAULT_FOLDS
-    fast_mode: bool = True
+    fast_mode: bool = False
+    search_rows: int | None = None
     polygon_groups: bool = False
     use_smote: bool = False
     class_weights: str | None = None
     distance: float | None = None
-    max_iter: int | None = 5
-    sloo: bool = True
+    max_iter: int | None = None
+    sloo: bool = False
     legacy_order: bool = False  # bounds and oversampling before the split, leaking into the test side
 
 
@@ -80,9 +88,9 @@ def choose_params(train: DataFrame, config: TrainConfig) -> tuple[dict, tuning.S
     if config.search == "none":
         return dict(config.params), None
     policy = sampling.fast_mode_policy(train, config.fast_mode, config.folds, config.trials).first()
-    rows = train
-    if policy["fast_mode"] and policy["samples"] > policy["search_rows"]:
-        rows = sampling.stratified_subset(train, policy["search_rows"], config.seed)
+    rows, limit = train, min(policy["search_rows"], config.search_rows or policy["samples"])
+    if policy["samples"] > limit:
+        rows = sampling.stratified_subset(train, limit, config.seed)
     if config.polygon_groups:
         folds.require_polygons(rows, policy["folds"])
         rows = folds.stratified_group_kfold(rows, policy["folds"], config.seed)
@@ -90,7 +98,7 @@ def choose_params(train: DataFrame, config: TrainConfig) -> tuple[dict, tuning.S
         found = tuning.random_search(config.code, rows, policy["trials"], policy["folds"], config.seed)
     else:
         d = prepare.band_count(rows)
-        grid = config.grid or learners.default_grid(config.code, d, policy["samples"], policy["ratio"])
+        grid = config.grid or learners.default_grid(config.code, d)
         fast = policy["fast_mode"] and config.grid is None
         found = tuning.grid_search(config.code, rows, grid, policy["folds"], config.params, seed=config.seed, fast=fast)
     return found.best_params, found
@@ -153,7 +161,8 @@ def assess_folds(samples: DataFrame, config: TrainConfig, params: dict) -> DataF
         held, excluded = folds.sloo_folds(samples, config.distance, config.max_iter, config.seed)
         held, excluded = held.persist(StorageLevel.MEMORY_AND_DISK), excluded.persist(StorageLevel.MEMORY_AND_DISK)
     else:
-        held = folds.stand_folds(samples, config.max_iter, config.sloo, seed=config.seed).persist(StorageLevel.MEMORY_AND_DISK)
+        iterations = STAND_ITERATIONS if config.max_iter is None else config.max_iter
+        held = folds.stand_folds(samples, iterations, config.sloo, seed=config.seed).persist(StorageLevel.MEMORY_AND_DISK)
     out = None
     for i in [r[0] for r in held.select("iter").distinct().orderBy("iter").collect()]:
         if config.split == "SLOO":

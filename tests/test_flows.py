@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions import geometry as geo
 from bandloom.functions import scalar
-from bandloom.operators import explain, learners, prepare, quality, spatial
+from bandloom.operators import explain, learners, oversample, prepare, quality, spatial, tuning
 from bandloom.plans import classify
 from bandloom.plans.train import train
 from bandloom.sources import reports, tables
@@ -303,3 +303,54 @@ def test_shared_folder_is_required_on_a_cluster(spark):
     with pytest.raises(RuntimeError):
         session.shared_dir(Remote)
     assert session.cut_lineage(spark.range(5)).count() == 5
+
+
+@pytest.mark.parametrize("settings", [
+    {"polygon_groups": True, "search": "grid", "grid": {"tau": [0.0, 0.1]}, "folds": 2},
+    {"split": "STAND", "max_iter": 2},
+    {"split": "SLOO", "distance": 1.5, "max_iter": 2},
+])
+def test_train_oversamples_beside_places(spark, settings):
+    x, y = blobs(2, 40, 2, gap=3.0)
+    keep = [i for i in range(len(y)) if y[i] == 1 or i % 4 == 0]
+    rows = [(i, int(y[i]), [float(v) for v in x[i]], i // 4, i // 8, float(i % 10), float(i // 10)) for i in keep]
+    df = spark.createDataFrame(rows, "sample_id int, label int, bands array<double>, polygon_id int, stand_id int, x double, y double")
+    assert train(df, code="GMM", use_smote=True, **settings).scores().first()["overall_accuracy"] > 0.8
+    made = oversample.smote(df, seed=1).filter("synthetic")
+    seeds = df.selectExpr("cast(sample_id as string) as seed", "polygon_id as p", "stand_id as s", "x as sx")
+    joined = made.withColumn("seed", F.substring_index("sample_id", "#", 1)).join(seeds, "seed")
+    assert joined.count() == made.count() > 0 and joined.filter("polygon_id <> p or stand_id <> s or x <> sx").count() == 0
+
+
+def test_search_uses_all_rows_unless_told_otherwise(spark, monkeypatch):
+    from bandloom.plans import train as plan
+
+    seen = []
+
+    def search(code, rows, grid, k, *args, **kwargs):
+        seen.append((rows.count(), grid, k, kwargs["fast"]))
+        return tuning.Search(code, [{"place": 0, "params": {}, "mean": 1.0, "std": 0.0, "scores": [1.0], "state": "complete"}])
+
+    monkeypatch.setattr(plan.tuning, "grid_search", search)
+    df = spark.range(21_000).selectExpr("id as sample_id", "cast(1 + id % 2 as int) as label", "array(double(id % 7), double(id % 11)) as bands")
+    grid = {"tau": [0.0, 0.1, 1.0]}
+    train(df, code="GMM", split=100, search="grid", grid=grid, folds=4)
+    train(df, code="GMM", split=100, search="grid", grid=grid, folds=4, search_rows=500)
+    assert seen[0] == (21_000, grid, 4, False)
+    assert 490 <= seen[1][0] <= 510 and seen[1][1:] == seen[0][1:]
+
+
+def test_what_cannot_be_done_is_refused(spark):
+    x, y = blobs(2, 20, 3)
+    df = samples(spark, x, y)
+    scaler = prepare.fit_scaler(df)
+    narrow = df.withColumn("bands", F.slice("bands", 1, 2))
+    with pytest.raises(Exception, match="bounds of 3 bands"):
+        scaler.transform(narrow).collect()
+    with pytest.raises(ValueError, match="depth"):
+        learners.fit("RF", df, {"max_depth": 99})
+    with pytest.raises(ValueError, match="permutations"):
+        explain.coalitions(64)
+    for code, params in (("RF", {"min_samples_split": 200, "n_estimators": 2}), ("LR", {"solver": "saga", "max_iter": 2}), ("MLP", {"learning_rate_init": 0.5, "max_iter": 2})):
+        with pytest.warns(UserWarning, match="ignored"):
+            learners.fit(code, df, params)
