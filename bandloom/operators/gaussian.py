@@ -227,9 +227,10 @@ def fit_gaussian(
     target: str = "diagonal",
     tau: float = 0.0,
     min_eigenvalue: float = fv.MIN_EIGENVALUE,
-    center: bool = False,
+    center: bool = True,
 ) -> GaussianModel:
-    """Fit from samples. `center` first takes the band means, for unscaled bands."""
+    """Fit from samples. `center` first takes the band means, without which the squares of
+    bands far from zero cancel; bands known to be scaled can do without that pass."""
     if reg_type not in SHRINKAGES or target not in TARGETS:
         shrink(np.eye(1), 2, reg_type, target)
     d = d or band_count(df)

@@ -280,3 +280,9 @@ def test_smote_only_if_needed(spark):
     lone = samples(spark, np.zeros((11, 2)), [1] * 10 + [2])
     with pytest.raises(ValueError):
         oversample.smote(lone)
+
+
+def test_bands_far_from_zero_keep_their_variance(spark):
+    x = np.random.RandomState(2).normal(scale=np.sqrt(2), size=(400, 3)) + 1e8
+    model = gaussian.fit_gaussian(samples(spark, x, np.ones(400, int)))
+    assert np.allclose(model.cov[0], np.cov(x.T, bias=True), atol=1e-6) or np.allclose(model.cov[0], np.cov(x.T), atol=1e-6)
