@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,39 +28,82 @@ LIMIT = 4096
 END_ID = 1
 # Fillings looked at per step before the best one so far is taken.
 SEARCH_NODES = 400
-_CACHED_WORDS = 200_000
-_LONGEST_CACHED = 64
+_CACHED_WORDS = 300_000
+_CHUNK_CORES = 1000
+# Punctuation that may follow a plain word; apostrophes are not among it, since the
+# tokenizer has rules for them.
+_TAIL = ".,!?;:#*$%&|"
 
-_tokenizers: dict[str, tuple] = {}
+_coders: dict[str, _Coder] = {}
 
 
-def _loaded(path: str):
-    if path not in _tokenizers:
+class _Coder:
+    """A tokenizer and the ids of words met before.
+
+    The tokenizer drops white space and never joins across it, so the ids of a text
+    are those of its words in a row. A plain word (letters below U+0250, then marks
+    of _TAIL) is the lower-cased letters and the marks, each a token run of its own.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
-        _tokenizers[path] = (found, {})
-    return _tokenizers[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_cores(self, cores: list[str]) -> None:
+        """Encode many plain words at once and cut the ids after each word's last token."""
+        chunks = [cores[at : at + _CHUNK_CORES] for at in range(0, len(cores), _CHUNK_CORES)]
+        for chunk, ids in zip(chunks, self.ids([" ".join(c) for c in chunks])):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(chunk):
+                whole, stops = ids.tobytes(), (4 * ends).tolist()
+                self.cores.update(zip(chunk, map(whole.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+            else:
+                self.cores.update(zip(chunk, (x.tobytes() for x in self.ids(chunk))))
+
+    def learn(self, new: list[str]) -> None:
+        plain, odd = [], []
+        for word in new:
+            core = word.rstrip(_TAIL)
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                plain.append((word, core.lower(), word[len(core) :]))
+            else:
+                odd.append(word)
+        tails = {tail for *_, tail in plain} - self.words.keys()
+        odd += [tail for tail in tails if tail]
+        self.words.update(zip(odd, (x.tobytes() for x in self.ids(odd))))
+        self.words[""] = b""
+        self.learn_cores(list({core for _, core, _ in plain} - self.cores.keys()))
+        self.words.update((word, self.cores[core] + self.words[tail]) for word, core, tail in plain)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        here = set(chain.from_iterable(split))
+        if len(self.words) > _CACHED_WORDS:
+            self.words = {w: self.words[w] for w in here & self.words.keys()}
+        if len(self.cores) > _CACHED_WORDS:
+            self.cores.clear()
+        new = here - self.words.keys()
+        if new:
+            self.learn(list(new))
+        find = self.words.__getitem__
+        return [b"".join(map(find, words)) for words in split]
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Token ids of texts as little-endian unsigned 32-bit integers.
-
-    The tokenizer drops white space and never joins across it, so the ids of a text
-    are those of its words in a row; words that were met before are looked up.
-    """
-    tokenizer, known = _loaded(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > _CACHED_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for word, got in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            known[word] = np.array(got.ids, dtype="<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    """Token ids of texts as little-endian unsigned 32-bit integers."""
+    if path not in _coders:
+        _coders[path] = _Coder(path)
+    return _coders[path].encode(texts)
 
 
 def _pieces(path: str, limit: int, end_id: int, keep_ids: bool):
