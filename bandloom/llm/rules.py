@@ -33,35 +33,40 @@ def dup_lines(text: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that stand twice or more in the text.
 
-    Window hashes and positions are packed into longs and sorted; neighbours with
-    equal hashes are confirmed word by word. No pair of distant windows is compared,
-    so a long text costs its length times the logarithm of it.
+    Window hashes, their low bits replaced by the position, are sorted; neighbours
+    with equal hashes are confirmed word by word. No pair of distant windows is
+    compared, so a long text costs its length times the logarithm of it.
     """
     last = F.size(words) - 3
-    bits = F.greatest(F.ceil(F.log2(F.size(words) + F.lit(1))).cast("int"), F.lit(1))
     at = lambda i: F.get(words, i)
-    cut = lambda x, by: F.call_function("shiftrightunsigned", x, by)
-    whole = lambda x, by: F.call_function("shiftleft", x, by)
+    zero = F.lit(0).cast("bigint")
+
+    def positions(step: Column) -> Column:
+        """Of windows with an equal one; `step` is the power of two above all positions."""
+        keep = F.bitwise_not(step - 1).bitwiseAND(F.lit((1 << 63) - 1))
+        return bind(keep, lambda high: bind(
+            F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)).bitwiseAND(high) + i)),
+            lambda order: equal_neighbours(order, high, step),
+        ))
 
-    def packed(i):
-        return whole(cut(F.xxhash64(at(i), at(i + 1), at(i + 2)), bits + 1), bits) + i
+    def equal_neighbours(order: Column, high: Column, step: Column) -> Column:
+        met = F.filter(F.sequence(F.lit(0), last), lambda k: F.coalesce(F.get(order, k).bitwiseXOR(F.get(order, k + 1)) < step, F.lit(False)))
+        low = F.bitwise_not(high).bitwiseAND(F.lit((1 << 63) - 1))
+        place = lambda k: F.get(order, k).bitwiseAND(low).cast("int")
 
-    order = F.sort_array(F.transform(F.sequence(F.lit(0), last), packed))
+        def confirmed(k):
+            i, j = place(k), place(k + 1)
+            same = (at(i) == at(j)) & (at(i + 1) == at(j + 1)) & (at(i + 2) == at(j + 2))
+            return F.when(same, F.array(i, j)).otherwise(F.array().cast("array<int>"))
 
-    def same(x, y):
-        i, j = (x - whole(cut(x, bits), bits)).cast("int"), (y - whole(cut(y, bits), bits)).cast("int")
-        equal = (at(i) == at(j)) & (at(i + 1) == at(j + 1)) & (at(i + 2) == at(j + 2))
-        return F.coalesce((cut(x, bits) == cut(y, bits)) & equal, F.lit(False))
+        return F.sort_array(F.array_distinct(F.flatten(F.transform(met, confirmed))))
 
-    def covered(order):
-        hit = F.filter(order, lambda x, k: same(x, F.get(order, k + 1)) | same(x, F.get(order, k - 1)))
-        places = F.sort_array(F.transform(hit, lambda x: (x - whole(cut(x, bits), bits)).cast("int")))
-        return bind(places, lambda p: F.aggregate(
-            F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))),
-            F.lit(0).cast("bigint"), lambda a, x: a + x,
-        ))
+    def covered(places: Column) -> Column:
+        gaps = F.transform(places, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(places, k + 1) - x, F.lit(3))))
+        return F.aggregate(gaps, zero, lambda a, x: a + x)
 
-    return F.when(last < 0, F.lit(0).cast("bigint")).otherwise(bind(order, covered))
+    step = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(words) + F.lit(1.0)))).cast("bigint")
+    return F.when(last < 1, zero).otherwise(bind(bind(step, positions), covered))
 
 
 def class_counts(text: Column) -> Column:
@@ -80,7 +85,9 @@ def class_counts(text: Column) -> Column:
 def word_bins(words: Column, common: Column) -> Column:
     """Array of counts: per common word how often it stands in `words` (lower case), then all other words."""
     places = F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w))), lambda p: p > 0)
-    counts = bind(places, lambda found: F.transform(common, lambda _, k: F.size(F.filter(found, lambda p: p == k + 1)).cast("bigint")))
+    counts = bind(places, lambda found: F.transform(
+        common, lambda _, k: (F.size(found) - F.size(F.array_remove(found, (k + 1).cast("bigint")))).cast("bigint")
+    ))
     return bind(counts, lambda c: F.array_append(c, F.size(words).cast("bigint") - _total(c)))
 
 
