@@ -189,5 +189,7 @@ def judge_documents(
     verdict = F.struct(
         *[c[b].alias(b) for b in base], F.col("_far.class_distance"), F.col("_far.word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept")
     )
-    marked = marked.select("row", verdict.alias("verdict"))
+    # Behind a generator a filter on the verdict reads it; pushed into the expressions
+    # above it would repeat them beyond bounds.
+    marked = marked.select("row", F.explode(F.array(verdict)).alias("verdict"))
     return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "verdict"], "verdict")
