@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm import chat, embeddings, licenses, mixing, packing, quality, rules, simhash, sql, substrings, warc
-from bandloom.session import scratch_path
+from bandloom.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,8 +57,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_warc_captures", sql.OP5)
 def op5_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archive")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.page_captures(warc.assemble_captures(warc.read_archive(spark, path, with_payload=False)))
+    warc.write_archive(table(spark, sf_dir, "pages"), path, compression="gzip")
+    # Without payloads the records are narrow, and they are read more than once.
+    records = cut_lineage(warc.read_archive(spark, path, with_payload=False), "records")
+    return warc.page_captures(cut_lineage(warc.assemble_captures(records), "captures"))
 
 
 _OP6 = sql.op6(rules.MAX_CLASS_DISTANCE, rules.MAX_WORD_DISTANCE, rules.MIN_CLASS_CHARS, rules.MIN_HISTOGRAM_WORDS, rules.COMMON_WORDS)
