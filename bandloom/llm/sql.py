@@ -4,9 +4,9 @@ WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 OP3 = """
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
-  where label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), l as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
@@ -24,7 +24,7 @@ from embeddings e left join least on e.vec_id = least.a left join n on e.vec_id
 OP4 = f"""
 with d as (select doc_id, {WORDS} as w from documents),
 k as (select doc_id, s, array_to_string(w[s:s + 19], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20)),
-later as (select doc_id, s from (select doc_id, s, row_number() over (partition by g order by doc_id, s) as at from k) where at > 1),
+later as (select doc_id, s from (select doc_id, s, row_number() over (partition by g order by doc_id, s) as pos from k) where pos > 1),
 gone as (select distinct doc_id, s + o.range as i from later, range(20) o),
 kept as (
   select t.doc_id, string_agg(t.word, ' ' order by t.i) as text, count(*) as n
@@ -40,8 +40,8 @@ OP5 = f"""
 with p as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
 f as (select payload, min(page_id) as first from p group by payload)
 select page_id, strlen(p.payload) as payload_bytes,
-  array_to_string(list_transform(flatten(list_transform([{_FIVE}], g -> [g >> 15, (g >> 10) & 31, (g >> 5) & 31, g & 31])),
-    i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (i + 1)::int, 1)), '') as payload_digest,
+  array_to_string(list_transform(flatten(list_transform([{_FIVE}], lambda g: [g >> 15, (g >> 10) & 31, (g >> 5) & 31, g & 31])),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (i + 1)::int, 1)), '') as payload_digest,
   case when page_id = first then 'response' else 'revisit' end as record_type,
   case when page_id <> first then first end as refers_to
 from p join f on p.payload = f.payload
@@ -57,11 +57,11 @@ _COUNTS = ", ".join([*(f"length(r{i}) - length(r{i + 1})" for i in range(6)), "l
 
 def _distance(p: str, q: str) -> str:
     """Jensen-Shannon distance of two lists of counts."""
-    own = f"list_transform({p}, v -> v / list_sum({p})::double)"
-    other = f"list_transform({q}, v -> v / list_sum({q})::double)"
+    own = f"list_transform({p}, lambda v: v / list_sum({p})::double)"
+    other = f"list_transform({q}, lambda v: v / list_sum({q})::double)"
     part = "case when z[{0}] > 0 then z[{0}] * log2(2 * z[{0}] / (z[1] + z[2])) else 0 end"
     term = f"{part.format(1)} + {part.format(2)}"
-    return f"sqrt(greatest(list_sum(list_transform(list_zip({own}, {other}), z -> {term})) / 2, 0))"
+    return f"sqrt(greatest(list_sum(list_transform(list_zip({own}, {other}), lambda z: {term})) / 2, 0))"
 
 
 def op6(max_class: float, max_word: float, class_chars: int, histogram_words: int, common: int) -> str:
@@ -71,17 +71,17 @@ c0 as (select doc_id, lang, text as r0 from d), {_STEPS},
 classes as (select doc_id, lang, [{_COUNTS}] as c from c6),
 class_ref as (select lang, [{", ".join(f"sum(c[{i}])" for i in range(1, 8))}] as q from classes group by lang),
 bag as (select doc_id, lang, lower(unnest(w)) as word from d),
-lang_words as (select lang, word, count(*) as n, row_number() over (partition by lang order by count(*) desc, word) as at from bag group by lang, word),
+lang_words as (select lang, word, count(*) as n, row_number() over (partition by lang order by count(*) desc, word) as pos from bag group by lang, word),
 word_ref as (
-  select lang, list_append(list(n order by at) filter (at <= {common}), (sum(n) - sum(n) filter (at <= {common}))) as q,
-    list(word order by at) filter (at <= {common}) as common
+  select lang, list_append(list(n order by pos) filter (pos <= {common}), (sum(n) - sum(n) filter (pos <= {common}))) as q,
+    list(word order by pos) filter (pos <= {common}) as common
   from lang_words group by lang
 ),
-counted as (select b.doc_id, l.at, count(*) as n from bag b join lang_words l on b.lang = l.lang and b.word = l.word and l.at <= {common} group by b.doc_id, l.at),
+counted as (select b.doc_id, l.pos, count(*) as n from bag b join lang_words l on b.lang = l.lang and b.word = l.word and l.pos <= {common} group by b.doc_id, l.pos),
 bins as (
-  select x.doc_id, list_append(list(coalesce(counted.n, 0) order by x.at), x.n - sum(coalesce(counted.n, 0))) as c
-  from (select d.doc_id, len(d.w) as n, unnest(range(1, len(r.common) + 1)) as at from d join word_ref r on d.lang = r.lang) x
-  left join counted on x.doc_id = counted.doc_id and x.at = counted.at group by x.doc_id, x.n
+  select x.doc_id, list_append(list(coalesce(counted.n, 0) order by x.pos), x.n - sum(coalesce(counted.n, 0))) as c
+  from (select d.doc_id, len(d.w) as n, unnest(range(1, len(r.common) + 1)) as pos from d join word_ref r on d.lang = r.lang) x
+  left join counted on x.doc_id = counted.doc_id and x.pos = counted.pos group by x.doc_id, x.n
 ),
 win as (select doc_id, i, w[i:i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
 again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
@@ -125,12 +125,12 @@ src as (
   select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 as turn from s group by source
 ),
 m as (select *, ([5.0, 2.0, 1.0][turn + 1])::double as weight, source_size * 3.0::double as most from src),
-o as (select *, row_number() over (order by most / weight, source nulls last) as at from m),
+o as (select *, row_number() over (order by most / weight, source nulls last) as pos from m),
 lv as (
-  select *, ((sum(source_size) over ())::double - coalesce(sum(most) over (order by at rows between unbounded preceding and 1 preceding), 0))
-    / sum(weight) over (order by at rows between current row and unbounded following) as lvl from o
+  select *, ((sum(source_size) over ())::double - coalesce(sum(most) over (order by pos rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by pos rows between current row and unbounded following) as lvl from o
 ),
-t as (select source, turn, source_size, least(most, (select min_by(lvl, at) from lv where lvl * weight <= most) * weight) as target from lv),
+t as (select source, turn, source_size, least(most, (select min_by(lvl, pos) from lv where lvl * weight <= most) * weight) as target from lv),
 b as (
   select s.doc_id, s.size, t.*, coalesce(sum(s.size) over (partition by s.source order by k, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0)::bigint as before
   from s join t on s.source is not distinct from t.source
@@ -143,26 +143,26 @@ from e
 
 OP10 = """
 with t as (
-  select conv_id // 2 as pair_id, conv_id % 2 as side, conv_id, row_number() over (partition by conv_id order by turn, role, text) as at,
+  select conv_id // 2 as pair_id, conv_id % 2 as side, conv_id, row_number() over (partition by conv_id order by turn, role, text) as pos,
     coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
 ),
 h as (select *, '<|' || role || '|>' || chr(10) as head, text || '<|end|>' || chr(10) as body from t),
 place as (
-  select pair_id, at, count(*) = 2 and min(role) = max(role) and min(text) = max(text) as shared from t group by pair_id, at
+  select pair_id, pos, count(*) = 2 and min(role) = max(role) and min(text) = max(text) as shared from t group by pair_id, pos
 ),
-cut as (select pair_id, coalesce(min(at) filter (not shared) - 1, max(at)) as prefix_turns from place group by pair_id),
+cut as (select pair_id, coalesce(min(pos) filter (not shared) - 1, max(pos)) as prefix_turns from place group by pair_id),
 part as (
-  select h.*, prefix_turns, at <= prefix_turns as common,
-    coalesce(sum(length(head || body)) over (partition by h.pair_id, side, at <= prefix_turns order by at rows between unbounded preceding and 1 preceding), 0) + length(head) as start
+  select h.*, prefix_turns, pos <= prefix_turns as common,
+    coalesce(sum(length(head || body)) over (partition by h.pair_id, side, pos <= prefix_turns order by pos rows between unbounded preceding and 1 preceding), 0) + length(head) as start
   from h join cut on h.pair_id = cut.pair_id
 ),
 ids as (
   select pair_id, max(conv_id) filter (side = 0) as chosen_id, max(conv_id) filter (side = 1) as rejected_id, min(prefix_turns) as prefix_turns,
-    coalesce(string_agg(head || body, '' order by at) filter (common and side = 0), '') as prompt,
-    string_agg(head || body, '' order by at) filter (not common and side = 0) as chosen,
-    string_agg(head || body, '' order by at) filter (not common and side = 1) as rejected,
-    string_agg((start::bigint)::varchar || ':' || length(body)::varchar, ',' order by at) filter (not common and side = 0 and role = 'assistant') as chosen_mask,
-    string_agg((start::bigint)::varchar || ':' || length(body)::varchar, ',' order by at) filter (not common and side = 1 and role = 'assistant') as rejected_mask
+    coalesce(string_agg(head || body, '' order by pos) filter (common and side = 0), '') as prompt,
+    string_agg(head || body, '' order by pos) filter (not common and side = 0) as chosen,
+    string_agg(head || body, '' order by pos) filter (not common and side = 1) as rejected,
+    string_agg((start::bigint)::varchar || ':' || length(body)::varchar, ',' order by pos) filter (not common and side = 0 and role = 'assistant') as chosen_mask,
+    string_agg((start::bigint)::varchar || ':' || length(body)::varchar, ',' order by pos) filter (not common and side = 1 and role = 'assistant') as rejected_mask
   from part group by pair_id
 )
 select pair_id, chosen_id, rejected_id, prefix_turns, prompt,
