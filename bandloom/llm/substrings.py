@@ -12,8 +12,11 @@ compacted to one long span, which the source coordinates bear out.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,10 @@ TOKEN = 6
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MODULUS = 1 << 64
 _KNOWN = 300_000
+# Words handled at a time: positions take the low 24 bits beside a k-mer's hash.
 _PART_WORDS = 400_000
+_LONGEST = 1 << 23
+_PLACES = 24
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -37,16 +43,27 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    if len(known) > _KNOWN:
-        known.clear()
-    digest = xxhash.xxh64_intdigest
-    for w in set(words):
-        if w not in known:
-            known[w] = digest(w)
-    return np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+class _Words(dict):
+    """Numbers of words in order of arrival, with their hashes."""
 
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return number
+
+    def of(self, split: list[list[bytes]], count: int) -> np.ndarray:
+        if len(self) > _KNOWN:
+            self.clear()
+            self.hashes.clear()
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), dtype=np.int32, count=count)
+        return np.array(self.hashes, dtype=np.uint64)[numbers] if count else np.zeros(0, np.uint64)
+
+
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base % _MODULUS, dtype=np.uint64)
     steps[:1] = 1
@@ -58,12 +75,19 @@ class _Sums:
 
     def __init__(self, hashes: np.ndarray, base: int):
         n = len(hashes) + 1
-        self.back = _powers(pow(base, -1, _MODULUS), n)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, n)[:-1], dtype=np.uint64)))
+        # Powers are kept by size class, so that parts of similar size share them.
+        size = 1 << (n - 1).bit_length()
+        self.back = _powers(pow(base, -1, _MODULUS), size)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum(hashes * _powers(base, size)[: n - 1], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
+    def all(self, length: int) -> np.ndarray:
+        """Hashes of every stretch of `length` words."""
+        return _mixed((self.sums[length:] - self.sums[:-length]) * self.back[: len(self.sums) - length])
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -71,79 +95,104 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _sliding_least(x: np.ndarray, span: int) -> np.ndarray:
+    """Least value of every `span` neighbours, by doubling."""
+    width = 1
+    while 2 * width <= span:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[: len(x) - (span - width)], x[span - width :]) if width < span else x
+
+
 def cut_pieces(hashes: np.ndarray, ends: np.ndarray, window: int, token: int) -> tuple[np.ndarray, ...]:
     """(start, windows, k-mer, content hash) of the pieces of documents laid end to end.
 
-    `ends` holds the end of each document in the sequence. Ties between equal k-mers
-    go to the left one, which depends on the window's words only.
+    `ends` holds the end of each document in the sequence. A window's minimizer is
+    the k-mer with the least 40 leading hash bits, the left one of several, which
+    depends on the window's words only.
     """
-    n = len(hashes)
-    if n < window:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64),) * 2
+    none = (np.zeros(0, np.int64),) * 4
+    if len(hashes) < window:
+        return none
     sums = _Sums(hashes, _BASES[0])
-    at = np.arange(n - token + 1)
-    kmers = sums.of(at, at + token)
-    count, span = n - window + 1, window - token + 1
-    least, place = kmers[:count].copy(), np.zeros(count, dtype=np.int64)
-    for step in range(1, span):
-        other = kmers[step : step + count]
-        lower = other < least
-        least[lower] = other[lower]
-        place[lower] = step
-    place += np.arange(count)
-    inside = np.ones(count, dtype=bool)
+    kmers = sums.all(token)
+    low = np.uint64((1 << _PLACES) - 1)
+    least = _sliding_least((kmers & ~low) | np.arange(len(kmers), dtype=np.uint64), window - token + 1)
+    own = (least & low).astype(np.int64)
+    inside = np.ones(len(own), dtype=bool)
     for end in ends[:-1].tolist():
-        inside[max(0, end - window + 1) : min(end, count)] = False
+        inside[max(0, end - window + 1) : end] = False
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4
-    own = place[starts]
+        return none
+    own = own[starts]
     new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1))))
     first, windows = starts[new], np.diff(np.append(new, len(starts)))
     content = sums.of(first, first + windows + window - 1)
-    return first, windows, least[first].view(np.int64), content.view(np.int64)
+    return first, windows, kmers[own[new]].view(np.int64), content.view(np.int64)
 
 
-def _parts(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Stretches of a batch with a bounded number of words, or one long document."""
-    at, held, size = 0, [], 0
+def _parts(batch: pd.DataFrame, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """(rows, first words, word lists) with a bounded number of words at a time.
+
+    A very long text comes as stretches that share `overlap` words, so that every
+    window lies in exactly one.
+    """
+    rows, firsts, held, size = [], [], [], 0
     for i, text in enumerate(batch["text"]):
-        held.append(words_of(text))
-        size += len(held[-1])
-        if size >= _PART_WORDS:
-            yield batch.iloc[at : i + 1], held
-            at, held, size = i + 1, [], 0
+        words = words_of(text)
+        for first in range(0, max(len(words) - overlap, 1), _LONGEST):
+            part = words if len(words) <= _LONGEST else words[first : first + _LONGEST + overlap]
+            rows.append(i)
+            firsts.append(first)
+            held.append(part)
+            size += len(part)
+            if size >= _PART_WORDS:
+                yield np.array(rows), np.array(firsts), held
+                rows, firsts, held, size = [], [], [], 0
     if held:
-        yield batch.iloc[at:], held
+        yield np.array(rows), np.array(firsts), held
 
 
 def _piece_rows(window: int, token: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+        known = _Words()
         for batch in batches:
-            for part, split in _parts(batch):
+            place = batch["place"].to_numpy(np.int64)
+            for rows, firsts, split in _parts(batch, window - 1):
                 ends = np.cumsum([len(w) for w in split])
-                hashes = _word_hashes([w for words in split for w in words], known)
-                first, windows, kmer, content = cut_pieces(hashes, ends, window, token)
-                doc = np.searchsorted(ends, first, side="right")
+                start, windows, kmer, content = cut_pieces(known.of(split, int(ends[-1])), ends, window, token)
+                doc = np.searchsorted(ends, start, side="right")
+                begin = np.concatenate(([0], ends[:-1]))
                 yield pd.DataFrame({
-                    "kmer": kmer, "content": content, "place": part["place"].to_numpy()[doc],
-                    "start": (first - (ends - np.diff(ends, prepend=0))[doc]).astype(np.int32), "windows": windows.astype(np.int32),
+                    "kmer": kmer, "content": content, "place": place[rows[doc]],
+                    "start": (start - begin[doc] + firsts[doc]).astype(np.int32), "windows": windows.astype(np.int32),
                 })
 
     return run
 
 
 def _window_rows(window: int):
+    """Hashes of the windows of opened pieces, packed as start * 2^16 + windows (pieces are short)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+        known = _Words()
         for batch in batches:
-            for place, text, opened in zip(batch["place"], batch["text"], batch["opened"]):
-                hashes = _word_hashes(words_of(text), known)
-                starts = np.concatenate([np.arange(p["start"], p["start"] + p["windows"]) for p in opened])
-                starts = np.unique(starts[starts + window <= len(hashes)])
-                one, two = (_Sums(hashes, base).of(starts, starts + window).view(np.int64) for base in _BASES)
-                yield pd.DataFrame({"one": one, "two": two, "place": place, "start": starts.astype(np.int32)})
+            place, opened = batch["place"].to_numpy(np.int64), batch["opened"].to_numpy()
+            for rows, firsts, split in _parts(batch, window - 1):
+                size = np.array([len(w) for w in split])
+                begin = np.cumsum(size) - size
+                hashes = known.of(split, int(size.sum()))
+                wanted = [np.asarray(opened[i], dtype=np.int64) for i in rows]
+                doc = np.repeat(np.arange(len(rows)), [len(w) for w in wanted])
+                start, windows = np.divmod(np.concatenate(wanted), 1 << 16)
+                step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                doc, start = np.repeat(doc, windows), np.repeat(start, windows) + step
+                at = start - firsts[doc]
+                fits = (at >= 0) & (at + window <= size[doc])
+                doc, start, at = doc[fits], start[fits], (begin[doc] + at)[fits]
+                one, two = (_Sums(hashes, base).of(at, at + window).view(np.int64) for base in _BASES)
+                yield pd.DataFrame({"one": one, "two": two, "place": place[rows[doc]], "start": start.astype(np.int32)})
 
     return run
 
@@ -182,7 +231,14 @@ def repeated_pieces(texts: DataFrame, window: int = WINDOW, token: int = TOKEN)
     pieces = texts.mapInPandas(_piece_rows(window, token), "kmer bigint, content bigint, place bigint, start int, windows int")
     again = pieces.groupBy("kmer").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     again = again.filter("n > 1").select("kmer", (F.col("low") != F.col("high")).alias("mixed"))
-    return pieces.join(again, "kmer")
+    # Written first: behind an aggregate of its own the join could not split a frequent k-mer.
+    return pieces.join(cut_lineage(again, "kmers"), "kmer")
+
+
+def _free_shuffles(df: DataFrame) -> None:
+    """Let the context cleaner drop the shuffle files of steps whose result is written."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, token: int = TOKEN) -> DataFrame:
@@ -194,9 +250,12 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(_place(id_col, text_col).alias("place"), F.col(text_col).cast("string").alias("text"))
     pieces = cut_lineage(repeated_pieces(texts, window, token), "pieces")
-    paths = pieces.groupBy("kmer", "content").agg(F.min(F.struct("place", "start")).alias("first"))
-    known = pieces.join(paths, ["kmer", "content"])
-    later = F.struct("place", "start") > F.col("first")
+    _free_shuffles(docs)
+    paths = pieces.groupBy("kmer", "content").agg(F.min(F.struct("place", "start")).alias("first"), F.count("*").alias("n"))
+    paths = cut_lineage(paths.filter("n > 1").select("kmer", "content", "first"), "paths")
+    _free_shuffles(docs)
+    known = pieces.join(paths, ["kmer", "content"], "left")
+    later = F.coalesce(F.struct("place", "start") > F.col("first"), F.lit(False))
 
     # Compaction: pieces that follow each other here and in their source are one span.
     repeated = known.filter(later).select("place", "start", "windows", F.col("first.place").alias("source"), F.col("first.start").alias("source_start"))
@@ -214,10 +273,13 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = whole.select("place", "start", "length", "source", "source_start")
 
     # First pieces with a k-mer that other pieces share: their windows decide one by one.
-    opened = known.filter(~later & F.col("mixed")).groupBy("place").agg(F.collect_set(F.struct("start", "windows")).alias("opened"))
-    windows = texts.join(opened, "place").mapInPandas(_window_rows(window), "one bigint, two bigint, place bigint, start int").distinct()
+    piece = F.shiftleft(F.col("start").cast("bigint"), 16) + F.col("windows")
+    opened = known.filter(~later & F.col("mixed")).groupBy("place").agg(F.collect_set(piece).alias("opened"))
+    windows = texts.join(opened, "place").mapInPandas(_window_rows(window), "one bigint, two bigint, place bigint, start int")
     windows = cut_lineage(windows, "windows")
+    _free_shuffles(docs)
     earliest = windows.groupBy("one", "two").agg(F.min(F.struct("place", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    earliest = cut_lineage(earliest.select("one", "two", "first"), "earliest")
     single = windows.join(earliest, ["one", "two"]).filter(F.struct("place", "start") > F.col("first"))
     single = single.select("place", "start", F.lit(window).alias("length"), F.col("first.place").alias("source"), F.col("first.start").alias("source_start"))
     return whole.unionByName(single)
