@@ -205,7 +205,8 @@ def near_vectors(
     usable = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     classes = rows.filter("usable").groupBy("label", "vector").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    classes = classes.withColumn("node", F.coalesce("first", F.xxhash64("label", "vector")))
+    # Ids may repeat over different vectors, so a node is named by its vector.
+    classes = classes.withColumn("node", F.xxhash64("label", "vector"))
     classes = cut_lineage(classes, "vectors")
     found = cut_lineage(vector_links(classes.select("node", "label", "vector", "n"), cosine, tables, hashes, probes), "found")
     degree = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -29,7 +29,6 @@ LEAVES_PER_BRANCH = 16
 # Roots are compared in memory of every task: 4096 roots of 24 bytes at most.
 MAX_ROOTS = 4096
 ROOT_CODES = 16_384
-NO_ID = (1 << 63) - 1
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15
@@ -232,13 +231,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = docs.select(F.col(id_col).cast("bigint").alias("id"), fingerprint(F.col(text_col)).alias("code"))
     marked = cut_lineage(marked, "fingerprints")
-    codes = marked.groupBy("code").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("node"))
-    codes = cut_lineage(codes, "codes")
-    found = components(fingerprint_links(codes, bits))
-    named = codes.join(found, "node", "left").select("code", F.coalesce("component", "node").alias("component"))
+    # A code is its own node, so codes that only unnamed documents have stay apart.
+    codes = marked.groupBy("code").agg(F.min("id").alias("first"))
+    codes = cut_lineage(codes.select("code", F.col("code").alias("node"), "first"), "codes")
+    found = components(fingerprint_links(codes.select("code", "node"), bits))
+    joined = codes.join(found, "node", "left").select("code", "first", F.coalesce("component", "node").alias("component"))
+    joined = cut_lineage(joined, "joined")
+    least = joined.groupBy("component").agg(F.min("first").alias("least"))
+    named = joined.join(least, "component").select("code", "least")
     out = marked.join(named, "code")
     return out.select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"),
-        F.nullif("component", F.lit(NO_ID)).alias("component_id"),
+        F.col("least").alias("component_id"),
     )
