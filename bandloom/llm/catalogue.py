@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.llm import chat, embeddings, licenses, mixing, packing, quality, rules, simhash, sql, substrings, warc
+from bandloom.llm import chat, embeddings, infill, licenses, mixing, packing, postings, quality, rules, runs, simhash, sql, substrings, warc
+from bandloom.llm.words import bind, word_array
 from bandloom.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,55 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.format_preferences(turns, chat.neighbour_pairs(turns))
     masks = {c: chat.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")}
     return made.withColumns(masks)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Of the documents whose id asks for it, the words from one place on repeat with a period."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = (h / 10).cast("bigint")
+
+    def periodic(words):
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = F.lit(1).cast("bigint") + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.get(words, place(i))), " ")
+
+    planted = bind(word_array(F.col("text")), lambda words: F.when(F.size(words) > 0, periodic(words)))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", sql.OP11)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = runs.mark_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    best = runs.greatest_run(F.col("runs"))
+    found = marked.select("doc_id", "runs", best.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs.starts").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(runs.run_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2(F.col("runs.collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_fill_in_middle", sql.OP12)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = infill.restore_text(F.col("infill.output"), F.col("infill.form"))
+    return made.select(
+        "doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
+        F.sha2(F.col("infill.output"), 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_benchmark_decontamination", sql.OP13)
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = postings.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -171,3 +171,86 @@ select pair_id, chosen_id, rejected_id, prefix_turns, prompt,
   case when chosen_id is null then 'no_chosen' when rejected_id is null then 'no_rejected' when chosen is null and rejected is null then 'equal' else 'pair' end as status
 from ids
 """
+
+
+_CRC_STEPS = "case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end"
+_CRC_LIST = "flatten(list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))"
+CRC32 = f"xor(list_reduce(list_prepend(4294967295, {_CRC_LIST}), lambda a, x: {_CRC_STEPS}), 4294967295)"
+
+OP11 = f"""
+with o as (select doc_id, {WORDS} as w, {CRC32} as h from documents),
+g as (select *, len(w) as n, (h // 10) as g from o),
+s as (select *, case when n > 0 then g % n else 0 end as a from g),
+d as (
+  select doc_id, n, case when h % 10 = 0 and n > 0
+    then list_transform(range(n), lambda i: w[1 + case when i >= a then a + (i - a) % (1 + (n - a) // (3 + g % 8)) else i end]) else w end as w
+  from s
+),
+t as (select doc_id, n, unnest(range(n)) as i, unnest(w) as word from d),
+apart as (select x.doc_id, x.i, y.i - x.i as q from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (select *, i - row_number() over (partition by doc_id, q order by i) as island from apart),
+stretches as (
+  select doc_id, q, min(i) as start, count(*) + q as length from islands group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)
+),
+runs as (select doc_id, start, length, min(q) as period from stretches group by doc_id, start, length),
+total as (
+  select doc_id, count(*) as n_runs, max({{'length': length, 'start': -start, 'period': -period}}) as best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines
+  from runs group by doc_id
+),
+dropped as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (
+  select t.doc_id, string_agg(t.word, ' ' order by t.i) as text from t left join dropped x on t.doc_id = x.doc_id and t.i = x.i where x.i is null group by t.doc_id
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, -best.start as start, best.length as length, -best.period as period,
+  (1000 * best.length) // -best.period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join total on d.doc_id = total.doc_id left join kept on d.doc_id = kept.doc_id
+"""
+
+
+def _draw(i: int) -> str:
+    return f"('0x' || substr(h, {1 + 8 * i}, 8))::bigint"
+
+
+_PIECES = {"psm": "'<P>' || prefix || '<S>' || suffix || '<M>' || middle", "spm": "'<S>' || suffix || '<P>' || prefix || '<M>' || middle"}
+OP12 = f"""
+with u as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as units, sha256('7:' || coalesce(doc_id::varchar, '')) as h
+  from documents
+),
+c as (
+  select *, len(units) as n, least({_draw(0)} % (len(units) + 1), {_draw(1)} % (len(units) + 1)) as a, greatest({_draw(0)} % (len(units) + 1), {_draw(1)} % (len(units) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or {_draw(2)} % 100 >= 100 then 'plain'
+      when {_draw(3)} % 100 < 50 then 'spm' else 'psm' end as form
+  from u
+),
+p as (
+  select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'psm' then {_PIECES["psm"]} when 'spm' then {_PIECES["spm"]} else text end) as output_sha256, sha256(text) as restored_sha256
+from p
+"""
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+with d as (select doc_id, {_FOLDED} as w from documents),
+b as (select item_id, {_FOLDED} as w from benchmark),
+win as (
+  select distinct item_id, len(g) as n, array_to_string(g, ' ') as phrase
+  from (select item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: w[i:i + 9])) as g from b where len(w) > 0)
+),
+p as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as phrase
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from win) where len(w) >= n)
+),
+m as (select p.doc_id, p.i, p.n, win.item_id from p join win on p.n = win.n and p.phrase = win.phrase),
+hit as (select doc_id, count(distinct i + o) as n_hit from (select doc_id, i, unnest(range(n)) as o from (select distinct doc_id, i, n from m)) group by doc_id),
+held as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item_id::varchar as item from m where item_id is not null) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit on d.doc_id = hit.doc_id left join held on d.doc_id = held.doc_id
+"""
