@@ -158,8 +158,8 @@ class _Queries:
             self.places[row, : len(order)] = order
 
 
-def intersect(queries: _Queries, keys: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(window row, start, exact) of every place where all words of a window stand, up to `slop` off.
+def intersect(queries: _Queries, keys: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(window row, start, exact, place of the rarest word) of every place where all words of a window stand, up to `slop` off.
 
     `keys` are the sorted values word * 2^32 + position of one block.
     """
@@ -169,14 +169,16 @@ def intersect(queries: _Queries, keys: np.ndarray, slop: int) -> Iterator[tuple[
     if not len(alive):
         return
     amount = count[queries.terms[alive, 0]]
-    part = np.cumsum(amount) // _CANDIDATES
+    part = np.cumsum(amount) * (2 * slop + 1) // _CANDIDATES
     for chosen in np.split(alive, np.flatnonzero(np.diff(part)) + 1):
         rare = queries.terms[chosen, 0]
         amount = count[rare]
         row = np.repeat(chosen, amount)
         at = np.arange(amount.sum()) - np.repeat(np.cumsum(amount) - amount, amount) + np.repeat(bounds[rare], amount)
-        start = (keys[at] & ((1 << _PLACE) - 1)) - queries.places[row, 0]
-        exact = np.ones(len(row), dtype=bool)
+        # The rarest word itself may be off its place by each step of the slop.
+        shift = np.repeat(np.arange(-slop, slop + 1), len(row))
+        row, anchor = np.tile(row, 2 * slop + 1), np.tile(keys[at] & ((1 << _PLACE) - 1), 2 * slop + 1)
+        start, exact = anchor - queries.places[row, 0] + shift, shift == 0
         for j in range(1, queries.terms.shape[1]):
             term = queries.terms[row, j].astype(np.int64)
             want = (term << _PLACE) + start + queries.places[row, j]
@@ -185,9 +187,9 @@ def intersect(queries: _Queries, keys: np.ndarray, slop: int) -> Iterator[tuple[
             held = (term < 0) | ((near >= want - slop) & (near <= want + slop))
             if slop:
                 exact &= (term < 0) | (keys[np.minimum(np.searchsorted(keys, want), last)] == want)
-            row, start, exact = row[held], start[held], exact[held]
+            row, start, exact, anchor = row[held], start[held], exact[held], anchor[held]
         if len(row):
-            yield row, start, exact
+            yield row, start, exact, anchor
 
 
 def _search_rows(shared, gap: int, slop: int):
@@ -206,11 +208,10 @@ def _search_rows(shared, gap: int, slop: int):
     return run
 
 
-def _document_rows(block: int, sizes: np.ndarray, gap: int, queries: _Queries, row: np.ndarray, start: np.ndarray, exact: np.ndarray) -> pd.DataFrame:
+def _document_rows(block: int, sizes: np.ndarray, gap: int, queries: _Queries, row: np.ndarray, start: np.ndarray, exact: np.ndarray, anchor: np.ndarray) -> pd.DataFrame:
     """Per document: the words that exact windows cover, as spans, and the windows met exactly or nearly."""
     begins = np.cumsum(sizes + gap) - sizes - gap
-    # The rarest word stands at its place, also where others are off theirs.
-    doc = np.searchsorted(begins, start + queries.places[row, 0], side="right") - 1
+    doc = np.searchsorted(begins, anchor, side="right") - 1
     order = np.lexsort((start, doc))
     row, start, exact, doc = row[order], start[order], exact[order], doc[order]
     rows = []
