@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from bandloom import fixed_values as fv
 from bandloom.functions import ordering as od
-from bandloom.operators.learners import Fitted
+from bandloom.operators import trees
+from bandloom.operators.learners import Fitted, SparkFitted, TreesFitted
 
 # Exact values need 2^bands coalitions; beyond this, ask for random orders.
 EXACT_BANDS = 16
@@ -89,6 +90,27 @@ def shapley_values(
     return shares.groupBy("sample_id", "class", (F.col("at") + 1).alias("band")).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
 
 
+def has_paths(model: Fitted) -> bool:
+    return isinstance(model, TreesFitted) or (isinstance(model, SparkFitted) and model.code == "RF")
+
+
+def path_values(model: Fitted, samples: DataFrame, sample_limit: int | None = None, seed: int = 0) -> DataFrame:
+    """(sample_id, class, band, value): exact attributions of a tree model for any number of bands.
+
+    Forests are explained in class probabilities, boosted trees in margins. Bands outside
+    a coalition follow both sides of a split in the shares of the training rows, so no
+    background rows are needed; the work grows with the leaves, not with 2^bands.
+    """
+    if not has_paths(model):
+        raise ValueError(f"{model.code} has no tree paths")
+    if isinstance(model, TreesFitted):
+        paths = model.paths()
+    else:
+        grown = trees.forest_trees(samples.sparkSession, model.model)
+        paths = trees.leaf_paths(grown, 1 / len(grown))
+    return trees.attribute(draw_table(samples, sample_limit, seed), paths, model.d, model.classes)
+
+
 def aggregate_attributions(values: DataFrame, how: str = "mean_abs") -> DataFrame:
     """(band, importance): over classes, then over samples, scaled to sum 1."""
     if how not in AGGREGATES:
@@ -102,8 +124,14 @@ def aggregate_attributions(values: DataFrame, how: str = "mean_abs") -> DataFram
     return joined.select("band", F.when(total > 0, F.col("_i") / total).otherwise(F.col("_i")).alias("importance"))
 
 
-def shapley_importance(model: Fitted, samples: DataFrame, how: str = "mean_abs", **options) -> DataFrame:
-    return aggregate_attributions(shapley_values(model, samples, **options), how)
+def shapley_importance(model: Fitted, samples: DataFrame, how: str = "mean_abs", method: str | None = None, **options) -> DataFrame:
+    """Band importance; `method` is `paths` (tree models), `coalitions`, or by default paths where there are any."""
+    if method is None:
+        method = "paths" if has_paths(model) and not options.keys() - {"sample_limit", "seed"} else "coalitions"
+    if method not in ("paths", "coalitions"):
+        raise ValueError(f"unknown method {method!r}")
+    values = path_values if method == "paths" else shapley_values
+    return aggregate_attributions(values(model, samples, **options), how)
 
 
 def rank_features(importance: DataFrame) -> DataFrame:

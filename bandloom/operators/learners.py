@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from dataclasses import fields as dataclass_fields
 from typing import Any
 
 import numpy as np
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from bandloom import fixed_values as fv
 from bandloom.functions.matrix import field as arrow_field
 from bandloom.functions.matrix import map_matrix
-from bandloom.operators import bayes, gaussian, neighbors
+from bandloom.operators import bayes, boosting, extra_trees, gaussian, neighbors, trees
 from bandloom.operators.labels import sorted_classes
 from bandloom.operators.prepare import band_count
 
@@ -153,6 +153,54 @@ class SparkFitted(Fitted):
         return out.select(*cols)
 
 
+@dataclass
+class TreesFitted(Fitted):
+    """Trees of this package: class shares to be averaged, or margins of one class after the other to be added."""
+
+    code: str
+    trees: list[trees.Tree]
+    classes: list[int]
+    d: int
+    boosted: bool = False
+    rate: float = 1.0
+    losses: list[float] = field(default_factory=list)
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Class probabilities of a forest, margins of a boosted model."""
+        out = np.zeros((len(x), len(self.classes)))
+        for t, tree in enumerate(self.trees):
+            if self.boosted:
+                out[:, t % len(self.classes)] += self.rate * tree.value[tree.leaf(x), 0]
+            else:
+                out += tree.value[tree.leaf(x)] / len(self.trees)
+        return out
+
+    def predict(self, df, keep, probability=False):
+        shared = df.sparkSession.sparkContext.broadcast(self)
+        codes = np.array(self.classes, dtype=np.int32)
+
+        def compute(x, _):
+            model = shared.value
+            p = boosting.softmax(model.scores(x)) if model.boosted else model.scores(x)
+            best = p.argmax(axis=1)
+            made = [codes[best], p[np.arange(len(p)), best]]
+            return [*made, p] if probability else made
+
+        fields = [arrow_field("class", "int"), arrow_field("confidence", "double")]
+        return map_matrix(df, self.d, keep, fields + [arrow_field("probability", "array<double>")] * probability, compute)
+
+    def paths(self) -> trees.Paths:
+        """The leaf table whose outputs are the scores."""
+        if not self.boosted:
+            return trees.leaf_paths(self.trees, 1 / len(self.trees))
+        spread = []
+        for t, tree in enumerate(self.trees):
+            value = np.zeros((len(tree.band), len(self.classes)))
+            value[:, t % len(self.classes)] = tree.value[:, 0]
+            spread.append(replace(tree, value=value))
+        return trees.leaf_paths(spread, self.rate)
+
+
 def code_column(classes: Sequence[int]) -> Column:
     """Position of the label among the sorted classes, as Spark ML wants it."""
     return (F.array_position(F.array(*[F.lit(int(c)) for c in classes]), F.col("label")) - 1).cast("double")
@@ -178,7 +226,6 @@ def depth_of(asked) -> int:
 
 
 def forest(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
-    """Random forest; extra trees are the same trees on all rows with coarse bins."""
     unsupported(code, params, ["n_estimators", "max_depth", "min_samples_leaf", "max_features"])
     classes, d = sorted_classes(df), band_count(df)
     share = params.get("max_features", "sqrt")
@@ -186,38 +233,50 @@ def forest(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
     leaf = max(int(params.get("min_samples_leaf", 1)), 1)
     estimator = RandomForestClassifier(
         labelCol="code", numTrees=int(params.get("n_estimators", 100)), maxDepth=depth_of(params.get("max_depth", DEFAULT_DEPTH)),
-        featureSubsetStrategy=strategy, minInstancesPerNode=leaf, seed=seed, bootstrap=code != "ET",
-        maxBins=16 if code == "ET" else 32, maxMemoryInMB=512,
+        featureSubsetStrategy=strategy, minInstancesPerNode=leaf, seed=seed, maxMemoryInMB=512,
     )
     return SparkFitted(code, fit_weighted(estimator, df, classes), classes, d)
 
 
+def randomised_forest(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
+    """Extra trees: all rows, random thresholds."""
+    unsupported(code, params, ["n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features"])
+    classes, d = sorted_classes(df), band_count(df)
+    grown = extra_trees.fit_extra_trees(
+        df.filter(F.col("label").isNotNull()), code_column(classes), d, len(classes), int(params.get("n_estimators", 100)),
+        depth_of(params.get("max_depth", DEFAULT_DEPTH)), params.get("max_features", "sqrt"), max(int(params.get("min_samples_leaf", 1)), 1),
+        int(params.get("min_samples_split", 2)), seed)
+    return TreesFitted(code, grown, classes, d)
+
+
 def fit_weighted(estimator, df: DataFrame, classes: Sequence[int]):
     if "weight" in df.columns:
         estimator = estimator.setWeightCol("weight")
     return estimator.fit(training_frame(df, classes))
 
 
-def boosting(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
-    """Gradient boosting; two classes directly, more as one against the rest."""
-    names = {
-        "rounds": "iterations" if code == "CB" else "n_estimators",
-        "depth": "depth" if code == "CB" else "max_depth",
-    }
-    known = [*names.values(), "learning_rate", "subsample", "colsample_bytree", "gamma", "min_child_weight",
-             "min_samples_leaf"]
-    unsupported(code, {k: v for k, v in params.items() if k != "loss_function"}, known)
+# Parameters of the boosting codes and the settings they stand for, with the defaults of each code.
+BOOST_PARAMETERS = {
+    "XGB": {"n_estimators": "rounds", "max_depth": "depth", "learning_rate": "rate", "subsample": "row_share", "colsample_bytree": "band_share",
+            "gamma": "min_gain", "min_child_weight": "min_hessian", "reg_lambda": "leaf_l2"},
+    "CB": {"iterations": "rounds", "depth": "depth", "learning_rate": "rate", "l2_leaf_reg": "leaf_l2"},
+    "GBC": {"n_estimators": "rounds", "max_depth": "depth", "learning_rate": "rate", "subsample": "row_share", "min_samples_split": "split_rows",
+            "min_samples_leaf": "min_rows"},
+}
+BOOST_DEFAULTS = {"XGB": {"min_hessian": 1.0}, "CB": {"leaf_l2": 3.0, "symmetric": True}, "GBC": {"leaf_l2": 0.0}}
+
+
+def booster(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
+    """Softmax boosting with second-order leaves; CB grows symmetric trees. `bins` and `binning` may be set for all codes."""
+    names = {**BOOST_PARAMETERS[code], "bins": "bins", "binning": "binning"}
+    unsupported(code, {k: v for k, v in params.items() if k != "loss_function"}, list(names))
+    options = {**BOOST_DEFAULTS[code], **{names[k]: v for k, v in params.items() if k in names}}
+    options["depth"] = depth_of(options.get("depth", 3))
+    kinds = {f.name: type(f.default) for f in dataclass_fields(boosting.BoostSettings)}
+    settings = boosting.BoostSettings(**{k: kinds[k](v) for k, v in options.items()}, seed=seed)
     classes, d = sorted_classes(df), band_count(df)
-    estimator = GBTClassifier(
-        labelCol="code", maxIter=int(params.get(names["rounds"], 100)), maxDepth=depth_of(params.get(names["depth"], 3)),
-        stepSize=float(params.get("learning_rate", 0.1)), subsamplingRate=float(params.get("subsample", 1.0)),
-        featureSubsetStrategy=str(params.get("colsample_bytree", "all")),
-        minInfoGain=float(params.get("gamma", 0.0)),
-        minInstancesPerNode=max(1, int(params.get("min_child_weight", params.get("min_samples_leaf", 1)))), seed=seed,
-    )
-    if len(classes) == 2:
-        return SparkFitted(code, fit_weighted(estimator, df, classes), classes, d)
-    return SparkFitted(code, fit_rest(estimator, df, classes), classes, d, margin=True)
+    model = boosting.fit_boosted(df.filter(F.col("label").isNotNull()), code_column(classes), d, len(classes), settings)
+    return TreesFitted(code, [tree for round_ in model.trees for tree in round_], classes, d, True, model.rate, model.losses)
 
 
 def fit_rest(estimator, df: DataFrame, classes: Sequence[int]):
@@ -320,10 +379,10 @@ LEARNERS: dict[str, Callable[[str, DataFrame, dict, int], Fitted]] = {
     "RF": forest,
     "SVM": radial_machine,
     "KNN": neighbor_learner,
-    "XGB": boosting,
-    "CB": boosting,
-    "ET": forest,
-    "GBC": boosting,
+    "XGB": booster,
+    "CB": booster,
+    "ET": randomised_forest,
+    "GBC": booster,
     "LR": logistic,
     "NB": bayes_learner,
     "MLP": perceptron,

@@ -47,6 +47,84 @@ query("i11_logistic_fit")(learner_query("LR", {"C": 1.0, "max_iter": 50}, inp.ve
 query("i13_mlp_fit")(learner_query("MLP", {"hidden_layer_sizes": (16,), "max_iter": 40}, inp.vector_samples))
 
 
+_BOOST = {"n_estimators": 2, "max_depth": 1, "learning_rate": 0.3, "reg_lambda": 1.0, "min_child_weight": 1, "binning": "width", "bins": 8}
+
+
+def _boost_round(r: int) -> str:
+    """CTEs of one round of three stumps on equal-width thresholds: losses, best splits, new margins."""
+    margin = ", ".join(f"f{k} + 0.3 * CASE WHEN [b1, b2, b3, b4][a{k}] <= e{k} THEN l{k} ELSE r{k} END AS f{k}" for k in (1, 2, 3))
+    chosen = ", ".join(f"max(band) FILTER (k = {k}) AS a{k}, max(edge) FILTER (k = {k}) AS e{k}, max(vl) FILTER (k = {k}) AS l{k}, max(vr) FILTER (k = {k}) AS r{k}" for k in (1, 2, 3))
+    return f"""
+p{r} AS (SELECT *, [exp(f1) / (exp(f1) + exp(f2) + exp(f3)), exp(f2) / (exp(f1) + exp(f2) + exp(f3)), exp(f3) / (exp(f1) + exp(f2) + exp(f3))] AS p FROM s{r}),
+w{r} AS (SELECT label, b1, b2, b3, b4, unnest([1, 2, 3]) AS k, unnest(p) AS p FROM p{r}),
+m{r} AS (SELECT k, p - CASE WHEN label = k THEN 1 ELSE 0 END AS g, p * (1 - p) AS h, unnest([1, 2, 3, 4]) AS band, unnest([b1, b2, b3, b4]) AS v FROM w{r}),
+q{r} AS (SELECT k, m.band, j, edge, sum(g) FILTER (v <= edge) AS gl, sum(h) FILTER (v <= edge) AS hl, count(*) FILTER (v <= edge) AS nl, sum(g) AS g, sum(h) AS h, count(*) AS n
+  FROM m{r} m JOIN edges e ON m.band = e.band GROUP BY ALL),
+c{r} AS (SELECT *, -gl / (hl + 1) AS vl, -(g - gl) / (h - hl + 1) AS vr FROM q{r} WHERE hl >= 1 AND h - hl >= 1 AND nl > 0 AND nl < n
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) DESC, band, j) = 1),
+x{r} AS (SELECT {chosen} FROM c{r}),
+s{r + 1} AS (SELECT sample_id, label, b1, b2, b3, b4, {margin} FROM s{r}, x{r})"""
+
+
+BOOSTED = f"""
+s0 AS (SELECT sample_id, label, b1, b2, b3, b4, 0e0 AS f1, 0e0 AS f2, 0e0 AS f3 FROM ({inp.LINE})),
+lim AS (SELECT unnest([1, 2, 3, 4]) AS band, unnest([min(b1), min(b2), min(b3), min(b4)]) AS lo, unnest([max(b1), max(b2), max(b3), max(b4)]) AS hi FROM s0),
+edges AS (SELECT band, j, lo + (hi - lo) * j / 8 AS edge FROM lim, (SELECT unnest(range(1, 8)) AS j)), {_boost_round(0)}, {_boost_round(1)}"""
+
+
+def _loss(r: int) -> str:
+    return f"SELECT CAST({r} AS INTEGER) AS round, round(avg(ln(exp(f1) + exp(f2) + exp(f3)) - [f1, f2, f3][label]), 6) AS loss FROM s{r}"
+
+
+@query("i9_boosted_losses", f"WITH {BOOSTED} {_loss(0)} UNION ALL {_loss(1)} UNION ALL {_loss(2)}")
+def boosted_losses(spark, sf):
+    fitted = learners.fit("XGB", inp.line_samples(spark, sf), _BOOST)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(fitted.losses)], "round int, loss double").withColumn("loss", R6("loss"))
+
+
+_STUMPS = " UNION ALL ".join(f"SELECT {r} AS round, k, band, edge, vl, vr, nl / n AS share FROM c{r}" for r in (0, 1))
+
+
+# A stump's attribution is the leaf's value less the mean over the training rows.
+@query("i22_path_importance", f"""
+WITH {BOOSTED}, stumps AS ({_STUMPS}),
+v AS (SELECT sample_id, k, band, sum(0.3 * CASE WHEN [b1, b2, b3, b4][band] <= edge THEN (1 - share) * (vl - vr) ELSE share * (vr - vl) END) AS value
+  FROM s0, stumps GROUP BY 1, 2, 3),
+i AS (SELECT band, sum(abs(value)) AS total FROM v GROUP BY band)
+SELECT CAST(b AS INTEGER) AS band, round(coalesce(total, 0) / (SELECT sum(total) FROM i), 6) AS importance FROM (SELECT unnest([1, 2, 3, 4]) AS b) LEFT JOIN i ON band = b""")
+def path_importance(spark, sf):
+    fitted = learners.fit("XGB", inp.line_samples(spark, sf), _BOOST)
+    ranked = explain.rank_features(explain.shapley_importance(fitted, inp.line_samples(spark, sf), method="paths"))
+    return ranked.select("band", R6("importance").alias("importance"))
+
+
+def _draw(tree: str, node: str, band: str) -> str:
+    return f"CAST('0x' || substr(md5('0|cut|' || {tree} || '|' || {node} || '|' || ({band} - 1)), 1, 13) AS BIGINT) / 4503599627370496e0"
+
+
+def _random_level(source: str, out: str) -> str:
+    """Best of one random threshold per band for every node of `source` (tree, node, label, b1 to b4)."""
+    return f"""
+{out}_v AS (SELECT tree, node, label, unnest([1, 2, 3, 4]) AS band, unnest([b1, b2, b3, b4]) AS v FROM {source}),
+{out}_c AS (SELECT tree, node, band, min(v) + {_draw("tree", "node", "band")} * (max(v) - min(v)) AS cut FROM {out}_v GROUP BY tree, node, band),
+{out}_k AS (SELECT v.tree, v.node, v.band, c.cut, label, count(*) AS w, count(*) FILTER (v <= cut) AS wl FROM {out}_v v JOIN {out}_c c ON v.tree = c.tree AND v.node = c.node AND v.band = c.band GROUP BY ALL),
+{out}_s AS (SELECT tree, node, band, cut, sum(w) AS n, sum(wl) AS nl, sum(wl * wl) / sum(wl) + sum((w - wl) * (w - wl)) / (sum(w) - sum(wl)) AS purity FROM {out}_k GROUP BY ALL),
+{out} AS (SELECT * FROM {out}_s QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY purity DESC NULLS LAST, band) = 1)"""
+
+
+@query("i10_random_thresholds", f"""
+WITH s AS ({inp.LINE}), n0 AS (SELECT tree, 0 AS node, label, b1, b2, b3, b4 FROM s, (SELECT unnest([0, 1]) AS tree)), {_random_level("n0", "t0")},
+n1 AS (SELECT n0.tree, CASE WHEN [b1, b2, b3, b4][band] <= cut THEN 1 ELSE 2 END AS node, label, b1, b2, b3, b4 FROM n0 JOIN t0 ON n0.tree = t0.tree), {_random_level("n1", "t1")}
+SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, CAST(band AS INTEGER) AS band, round(cut, 6) AS threshold, CAST(n AS BIGINT) AS n_rows, CAST(nl AS BIGINT) AS n_left
+FROM (SELECT * FROM t0 UNION ALL SELECT * FROM t1)""")
+def random_thresholds(spark, sf):
+    fitted = learners.fit("ET", inp.line_samples(spark, sf), {"n_estimators": 2, "max_depth": 2, "max_features": None})
+    rows = [(t, i, int(tree.band[i]) + 1, float(tree.threshold[i]), int(tree.cover[i]), int(tree.cover[tree.left[i]]))
+            for t, tree in enumerate(fitted.trees) for i in range(len(tree.band)) if tree.band[i] >= 0]
+    table = spark.createDataFrame(rows, "tree int, node int, band int, threshold double, n_rows bigint, n_left bigint")
+    return table.withColumn("threshold", R6("threshold"))
+
+
 @query("i15_grid_search")
 def grid_search(spark, sf):
     found = tuning.grid_search("RF", inp.event_samples(spark, sf), {"n_estimators": [5], "max_depth": [2, 4]}, folds=2)

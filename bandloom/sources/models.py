@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import (
-    GBTClassificationModel,
     LinearSVCModel,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
@@ -16,14 +15,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import SparkSession
 
-from bandloom.operators import bayes, gaussian, learners
+from bandloom.operators import bayes, gaussian, learners, trees
 from bandloom.operators.prepare import Scaler
 
 PARTS = ("code", "classes", "d", "kind")
 SPARK_KINDS = {
     c.__name__: c
     for c in (
-        RandomForestClassificationModel, GBTClassificationModel, LogisticRegressionModel, LinearSVCModel,
+        RandomForestClassificationModel, LogisticRegressionModel, LinearSVCModel,
         MultilayerPerceptronClassificationModel, OneVsRestModel,
     )
 }
@@ -60,6 +59,9 @@ def save_model(spark: SparkSession, fitted: learners.Fitted, scaler: Scaler | No
     elif isinstance(fitted, learners.NeighborFitted):
         meta["extra"] = {"k": fitted.k, "weights": fitted.weights}
         fitted.refs.write.mode("overwrite").parquet(f"{path}/parameters")
+    elif isinstance(fitted, learners.TreesFitted):
+        meta["extra"] = {"boosted": fitted.boosted, "rate": fitted.rate, "losses": fitted.losses}
+        spark.createDataFrame(trees.tree_rows(fitted.trees), trees.TREE_TABLE).write.mode("overwrite").parquet(f"{path}/parameters")
     else:
         meta["extra"] = {"model": type(fitted.model).__name__, "margin": fitted.margin, **fitted.extras,
                          "calibrated": fitted.calibrator is not None}
@@ -106,6 +108,9 @@ def _read_fitted(spark: SparkSession, path: str, meta: dict) -> learners.Fitted:
             np.array([r["var"] for r in rows])))
     if kind == "NeighborFitted":
         return learners.NeighborFitted(spark.read.parquet(where), extra["k"], extra["weights"], meta["classes"], d)
+    if kind == "TreesFitted":
+        grown = trees.trees_of_rows(spark.read.parquet(where).collect())
+        return learners.TreesFitted(meta["code"], grown, meta["classes"], d, extra["boosted"], extra["rate"], extra["losses"])
     if kind != "SparkFitted" or extra.get("model") not in SPARK_KINDS:
         raise InvalidModel(f"unknown kind of model {kind!r}")
     fitted = learners.SparkFitted(meta["code"], SPARK_KINDS[extra["model"]].load(where), meta["classes"], d, margin=extra["margin"])
