@@ -330,6 +330,7 @@ def test_bin_completion_beats_or_equals_best_fit():
         assert plan[:, 2].min() >= 1
     assert worse <= 3
     assert packing.packing_plan({}, 100)[1] == 0
+    assert packing.packing_plan({2096: 1000, 300: 2000, 280: 5000}, 4096)[1] == 1000
     exact = packing.complete_bin(10, [3, 4, 7], {3: 2, 4: 1, 7: 1})
     assert sum(k * n for k, n in exact) == 10
 
@@ -363,3 +364,26 @@ def test_sum_of_squares_is_the_sum_over_pairs():
     pairs = sum(model.factors[a] @ model.factors[b] * x * y for (a, x), (b, y) in itertools.combinations(zip(places, values), 2))
     expected = 0.3 + model.linear[places] @ values + pairs
     assert model.margin(places, values, np.array([0, 7]))[0] == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("nodes", [0, 3, 400])
+def test_fillings_are_the_fullest(nodes):
+    rng = random.Random(nodes)
+    for _ in range(150):
+        counts = {rng.randrange(1, 60): rng.randrange(1, 5) for _ in range(rng.randrange(1, 7))}
+        room = rng.randrange(0, 120)
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + k * length for s in sums for k in range(n + 1) if s + k * length <= room}
+        filling = packing.complete_bin(room, sorted(counts), counts, nodes)
+        assert all(0 < n <= counts[length] for length, n in filling)
+        assert sum(length * n for length, n in filling) == max(sums)
+
+
+def test_forgotten_words_are_learned_again(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED_WORDS", 12)
+    texts = ["Alpha beta, gamma.", "delta Épsilon! don't stop...", "ALPHA zeta eta theta iota kappa", "İx beta. ǅ naïve, ß. a.b c,d e.", "", "x" * 50 + ".,"] * 3
+    coder = packing._Coder(TOKENIZER)
+    direct = coder.ids(texts)
+    for at in range(0, len(texts), 2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts[at : at + 2])] == [x.tolist() for x in direct[at : at + 2]]
