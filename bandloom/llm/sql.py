@@ -42,8 +42,8 @@ f as (select payload, min(page_id) as first from p group by payload)
 select page_id, strlen(p.payload) as payload_bytes,
   array_to_string(list_transform(flatten(list_transform([{_FIVE}], lambda g: [g >> 15, (g >> 10) & 31, (g >> 5) & 31, g & 31])),
     lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (i + 1)::int, 1)), '') as payload_digest,
-  case when page_id = first then 'response' else 'revisit' end as record_type,
-  case when page_id <> first then first end as refers_to
+  case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
 from p join f on p.payload = f.payload
 """
 

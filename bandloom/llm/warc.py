@@ -39,14 +39,15 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def payload_roles(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """The rows of `pages` with digest, size, and the smallest id that has the same payload.
+    """The rows of `pages` (with their number `_row`) and digest, size, and in `_first` the smallest id with the same
+    payload and the least number of its rows.
 
     The smallest id per digest is aggregated on narrow rows first; payloads are then
     shuffled once, to the digest, where a digest that many pages share can be split.
     """
     marked = pages.withColumn("_payload", F.coalesce(F.col(payload_col).cast("string"), F.lit("")))
     marked = marked.withColumn("_sha1", F.sha1("_payload")).withColumn("_bytes", F.octet_length("_payload").cast("bigint"))
-    firsts = marked.filter(F.col("_bytes") >= min_bytes).groupBy("_sha1", "_bytes").agg(F.min(id_col).alias("_first"))
+    firsts = marked.filter(F.col("_bytes") >= min_bytes).groupBy("_sha1", "_bytes").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")).alias("_first"))
     return marked.join(firsts.hint("shuffle_hash"), ["_sha1", "_bytes"], "left")
 
 
@@ -72,35 +73,40 @@ def write_archive(
 
     Of pages with equal payloads of at least `min_revisit_bytes`, the one with the
     smallest id keeps the payload, the others refer to it. Rows that repeat that id
-    with the same payload are all responses. A null payload is empty; a null id is
+    with the same payload are all responses. Record ids hold the page id and the
+    number of the row, so pages without an id or with a repeated one are captures of
+    their own; `pages` is read twice and must number its rows alike (a table does). A
+    null payload is empty; a null id is
     written without a number and is never the smallest while another page has the
     payload; line breaks are taken out of urls, a null url is empty. Files are plain
     WARC (or gzip as a whole) of at most `pages_per_file` pages, committed by
     Spark's writer, so that a lost task leaves nothing behind.
     """
-    pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("payload"))
+    pages = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("payload"), F.monotonically_increasing_id().alias("_row"))
     marked = payload_roles(pages, "id", "payload", min_revisit_bytes)
     number = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    name = lambda page, row: F.concat(F.coalesce(page.cast("string"), F.lit("")), F.lit("-"), row.cast("string"))
     urn = lambda kind, n: F.concat(F.lit(f"<urn:capture:{kind}:"), n, F.lit(">"))
+    here = name(F.col("id"), F.col("_row"))
     url = F.coalesce(F.regexp_replace("url", "[\\r\\n]", ""), F.lit(""))
-    own, digest = urn("response", number), F.concat(F.lit("sha1:"), base32_of_hex(F.col("_sha1")))
-    is_first = F.col("_first").isNull() | F.col("id").eqNullSafe(F.col("_first"))
+    own, digest = urn("response", here), F.concat(F.lit("sha1:"), base32_of_hex(F.col("_sha1")))
+    is_first = F.col("_first").isNull() | F.col("id").eqNullSafe(F.col("_first.id"))
     head = F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK * 2}")
     target = ("WARC-Target-URI", url)
     request = _record(
-        "request", urn("request", number), [target, ("WARC-Concurrent-To", own)], "application/http;msgtype=request",
+        "request", urn("request", here), [target, ("WARC-Concurrent-To", own)], "application/http;msgtype=request",
         F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{BREAK * 2}")),
     )
     response = _record(
         "response", own, [target, ("WARC-Payload-Digest", digest)], "application/http;msgtype=response", F.concat(head, F.col("_payload")),
     )
-    refers = ("WARC-Refers-To", urn("response", F.col("_first").cast("string")))
+    refers = ("WARC-Refers-To", urn("response", name(F.col("_first.id"), F.col("_first._row"))))
     revisit = _record(
         "revisit", own, [target, refers, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Payload-Digest", digest)],
         "application/http;msgtype=response", head,
     )
     metadata = _record(
-        "metadata", urn("metadata", number), [target, ("WARC-Concurrent-To", own)], "application/warc-fields",
+        "metadata", urn("metadata", here), [target, ("WARC-Concurrent-To", own)], "application/warc-fields",
         F.concat(F.lit("pageId: "), number, F.lit(BREAK)),
     )
     records = marked.select(F.explode(F.array(request, F.when(is_first, response).otherwise(revisit), metadata)).alias("value"))
