@@ -84,7 +84,11 @@ def class_counts(text: Column) -> Column:
 
 def word_bins(words: Column, common: Column) -> Column:
     """Array of counts: per common word how often it stands in `words` (lower case), then all other words."""
-    places = F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w))), lambda p: p > 0)
+    # Most words are longer than every common one, and are not looked up; lower case never shortens a word.
+    longest = F.array_max(F.transform(common, lambda w: F.length(w)))
+    places = bind(longest, lambda most: F.filter(
+        F.transform(F.filter(words, lambda w: F.length(w) <= most), lambda w: F.array_position(common, F.lower(w))), lambda p: p > 0
+    ))
     counts = bind(places, lambda found: F.transform(
         common, lambda _, k: (F.size(found) - F.size(F.array_remove(found, (k + 1).cast("bigint")))).cast("bigint")
     ))
