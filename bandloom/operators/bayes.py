@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bandloom.functions.matrix import BAYES_TERMS, field, map_matrix
 from bandloom.functions.sizing import bounded_rows
-from bandloom.operators.gaussian import posterior
+from bandloom.operators.gaussian import band_means, posterior
 from bandloom.operators.prepare import band_count
 
 
@@ -27,16 +27,33 @@ class NaiveBayesModel:
         return self.mean.shape[1]
 
 
-def fit_naive_bayes(df: DataFrame, d: int | None = None, var_smoothing: float = 1e-9) -> NaiveBayesModel:
-    """Means and variances in one pass; every variance grows by a share of the
-    largest variance any band has over all samples."""
-    d = d or band_count(df)
+def _plain_rows(df: DataFrame, d: int) -> DataFrame:
     b = F.col("bands")
-    rows = df.filter(F.col("label").isNotNull()).groupBy("label").agg(
+    return df.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.avg(b[i]) for i in range(d)]).alias("mean"),
         F.array(*[F.var_pop(b[i]) for i in range(d)]).alias("var"),
     )
+
+
+def _weighted_rows(df: DataFrame, d: int) -> DataFrame:
+    shift, w = band_means(df, d), F.col("weight")
+    x = [F.col("bands")[i] - float(shift[i]) for i in range(d)]
+    mean = [F.sum(w * v) / F.sum(w) for v in x]
+    return df.filter(w > 0).groupBy("label").agg(
+        F.sum(w).alias("n"),
+        F.array(*[m + float(c) for m, c in zip(mean, shift)]).alias("mean"),
+        F.array(*[F.greatest(F.sum(w * v * v) / F.sum(w) - m * m, F.lit(0.0)) for v, m in zip(x, mean)]).alias("var"),
+    )
+
+
+def fit_naive_bayes(df: DataFrame, d: int | None = None, var_smoothing: float = 1e-9) -> NaiveBayesModel:
+    """Means and variances in one pass; every variance grows by a share of the
+    largest variance any band has over all samples. Samples with a `weight` count that
+    much (those of weight 0 not at all), on bands from which their mean is taken first."""
+    d = d or band_count(df)
+    labelled = df.filter(F.col("label").isNotNull())
+    rows = _weighted_rows(labelled, d) if "weight" in df.columns else _plain_rows(labelled, d)
     rows = sorted(bounded_rows(rows), key=lambda r: r["label"])
     n = np.array([r["n"] for r in rows], dtype=float)
     mean, var = np.array([r["mean"] for r in rows]), np.array([r["var"] for r in rows])

@@ -85,6 +85,41 @@ def moments(df: DataFrame, d: int | None = None, by: Sequence[str] = ("label",),
     return merge_moments(parts, by=by)
 
 
+def weighted_moments(df: DataFrame, d: int | None = None, by: Sequence[str] = ("label",), shift: Sequence[float] | None = None) -> DataFrame:
+    """Moments of samples with a `weight`: n rows, w and w2 (sums of the weights and their squares),
+    and s and ss as weighted sums. Rows of weight 0 or without one do not count; a negative or
+    infinite weight is refused when the table is used."""
+    d = d or band_count(df)
+    by = list(by)
+    bad = F.col("weight").isNotNull() & ~F.col("weight").between(0.0, 1.7e308)
+    checked = F.when(bad, F.raise_error(F.lit("weights must be finite and not negative"))).otherwise(F.col("weight").cast("double"))
+    rows = df.withColumn("weight", checked).filter("weight > 0")
+    w, x = F.col("weight"), [F.col("bands")[i] - float(shift[i] if shift else 0.0) for i in range(d)]
+    if d <= WIDE_BANDS:
+        return rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"),
+            F.array(*[F.sum(w * v) for v in x]).alias("s"), F.array(*[F.sum(w * x[i] * x[j]) for i, j in pairs(d)]).alias("ss"))
+    # Bands of many are summed as matrices of rows that carry the root of their weight: x and the root itself.
+    root = F.sqrt(w)
+    lifted = rows.select(*by, w.alias("weight"), F.concat(F.transform(F.array(*x), lambda v: v * root), F.array(root, w)).alias("bands"))
+    wide = moments(lifted, d + 2, by)
+    at = {pair: i for i, pair in enumerate(pairs(d + 2))}
+    take = lambda wanted: F.array(*[F.col("ss")[at[p]] for p in wanted])
+    return wide.select(
+        *by, "n", F.col("ss")[at[d, d]].alias("w"), F.col("ss")[at[d + 1, d + 1]].alias("w2"),
+        take([(i, d) for i in range(d)]).alias("s"), take(pairs(d)).alias("ss"))
+
+
+def merge_weighted_moments(*tables: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
+    """Weighted moment tables (same shift) added up."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    lead = F.array("w", "w2")
+    merged = merge_moments(every.select(*by, "n", F.concat(lead, "s").alias("s"), "ss"), by=by)
+    return merged.select(*by, "n", F.col("s")[0].alias("w"), F.col("s")[1].alias("w2"), F.slice("s", F.lit(3), F.size("s") - 2).alias("s"), "ss")
+
+
 def merge_moments(*tables: DataFrame, by: Sequence[str] = ("label",)) -> DataFrame:
     """Moment tables (same shift) added up: the exact incremental update."""
     every = tables[0]
@@ -116,7 +151,7 @@ def unpack(n: float, s: np.ndarray, ss: np.ndarray, shift=None) -> tuple[np.ndar
     return mean + (0.0 if shift is None else np.asarray(shift)), m2
 
 
-def shrink(cov: np.ndarray, n: int, kind: str, target: str) -> np.ndarray:
+def shrink(cov: np.ndarray, n: float, kind: str, target: str) -> np.ndarray:
     """Covariance pulled towards a simple target; ridge acts later, at prediction."""
     if kind not in SHRINKAGES:
         raise ValueError(f"unknown regularisation {kind!r}, use one of {', '.join(SHRINKAGES)}")
@@ -173,25 +208,29 @@ def class_parameters(
 ) -> DataFrame:
     """The model table: moments turned into mean, covariance and eigenpairs.
 
-    Works class by class on the moment rows, spread over the tasks.
+    Works class by class on the moment rows, spread over the tasks. A table of weighted
+    moments gives weighted parameters; its shrinkage counts (sum w)^2 / sum w^2 samples.
     """
     kind = table.schema[label].dataType.simpleString()
 
     def solve(frames):
         for pdf in frames:
             out = []
-            for code, n, total, s, ss in zip(pdf[label], pdf["n"], pdf["total"], pdf["s"], pdf["ss"]):
-                mean, m2 = unpack(n, np.asarray(s), np.asarray(ss), shift)
-                cov = shrink(m2 / n, int(n), reg_type, target)
+            for code, n, mass, many, total, s, ss in zip(*(pdf[c] for c in (label, "n", "mass", "many", "total", "s", "ss"))):
+                mean, m2 = unpack(mass, np.asarray(s), np.asarray(ss), shift)
+                cov = shrink(m2 / mass, many, reg_type, target)
                 if np.isfinite(cov).all():
                     lam, vec = np.linalg.eigh(cov)
                 else:
                     lam, vec = np.full(len(mean), np.nan), np.full((len(mean),) * 2, np.nan)
-                out.append((code, n, n / total, mean, m2.ravel(), cov.ravel(), lam[::-1].copy(), vec[:, ::-1].ravel()))
+                out.append((code, n, mass / total, mean, m2.ravel(), cov.ravel(), lam[::-1].copy(), vec[:, ::-1].ravel()))
             yield pd.DataFrame(out, columns=[label, "n", "prior", "mean", "m2", "cov", "eigval", "eigvec"])
 
     arrays = ", ".join(f"{c} array<double>" for c in ("mean", "m2", "cov", "eigval", "eigvec"))
-    with_total = table.select(label, "n", F.sum("n").over(whole()).alias("total"), "s", "ss")
+    weighted = "w" in table.columns
+    mass = F.col("w" if weighted else "n").cast("double")
+    many = mass * mass / F.col("w2") if weighted else mass
+    with_total = table.select(label, "n", mass.alias("mass"), many.alias("many"), F.sum(mass).over(whole()).alias("total"), "s", "ss")
     return with_total.repartition(label).mapInPandas(solve, f"{label} {kind}, n bigint, prior double, {arrays}")
 
 
@@ -230,13 +269,14 @@ def fit_gaussian(
     center: bool = True,
 ) -> GaussianModel:
     """Fit from samples. `center` first takes the band means, without which the squares of
-    bands far from zero cancel; bands known to be scaled can do without that pass."""
+    bands far from zero cancel; bands known to be scaled can do without that pass.
+    Samples with a `weight` give weighted parameters."""
     if reg_type not in SHRINKAGES or target not in TARGETS:
         shrink(np.eye(1), 2, reg_type, target)
     d = d or band_count(df)
     shift = band_means(df, d) if center else None
     labelled = df.filter(F.col("label").isNotNull())
-    table = moments(labelled, d, shift=shift)
+    table = (weighted_moments if "weight" in df.columns else moments)(labelled, d, shift=shift)
     return collect_model(class_parameters(table, reg_type, target, shift), d, tau, min_eigenvalue)
 
 

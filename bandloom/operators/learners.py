@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from bandloom import fixed_values as fv
 from bandloom.functions.matrix import field as arrow_field
 from bandloom.functions.matrix import map_matrix
-from bandloom.operators import bayes, boosting, extra_trees, gaussian, neighbors, trees
+from bandloom.operators import bayes, boosting, extra_trees, gaussian, kernels, neighbors, perceptron, trees
 from bandloom.operators.labels import sorted_classes
 from bandloom.operators.prepare import band_count
 
 CODES = {row[0]: row[1] for row in fv.CLASSIFIERS}
 TUNABLE = {row[0] for row in fv.CLASSIFIERS if row[3]}
 WEIGHTED = {row[0] for row in fv.CLASSIFIERS if row[5]}
+# Classifiers that have no setting for class weights but whose sums take a weight per sample.
+SAMPLE_WEIGHTED = WEIGHTED | {"GMM", "NB", "MLP"}
 # The deepest tree Spark grows; a forest's default is DEFAULT_DEPTH.
 MAX_DEPTH = 30
 DEFAULT_DEPTH = 10
@@ -201,6 +203,31 @@ class TreesFitted(Fitted):
         return trees.leaf_paths(spread, self.rate)
 
 
+@dataclass
+class PerceptronFitted(Fitted):
+    """A network trained by this package and the loss of its epochs."""
+
+    network: perceptron.Network
+    classes: list[int]
+    losses: list[float] = field(default_factory=list)
+    code: str = "MLP"
+
+    @property
+    def d(self):
+        return self.network.sizes[0]
+
+    def predict(self, df, keep, probability=False):
+        shared, codes = df.sparkSession.sparkContext.broadcast(self.network), np.array(self.classes, dtype=np.int32)
+
+        def compute(x, _):
+            p = shared.value.probabilities(x)
+            best = p.argmax(axis=1)
+            return [codes[best], p[np.arange(len(p)), best], *([p] if probability else [])]
+
+        fields = [arrow_field("class", "int"), arrow_field("confidence", "double")]
+        return map_matrix(df, self.d, keep, fields + [arrow_field("probability", "array<double>")] * probability, compute)
+
+
 def code_column(classes: Sequence[int]) -> Column:
     """Position of the label among the sorted classes, as Spark ML wants it."""
     return (F.array_position(F.array(*[F.lit(int(c)) for c in classes]), F.col("label")) - 1).cast("double")
@@ -313,17 +340,35 @@ def kernel_width(df: DataFrame, d: int, gamma) -> float:
     return float(gamma)
 
 
-def radial_machine(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
-    """Support vector machine with a radial kernel, by a linear one on Fourier
-    features; probabilities come from a logistic fit on the margins."""
-    if params.get("kernel", "rbf") != "rbf":
-        warnings.warn(f"{code}: kernel {params['kernel']!r} is replaced by the radial one", stacklevel=2)
-    unsupported(code, params, ["C", "gamma", "kernel", "gamma_type", "gamma_value"])
-    classes, d = sorted_classes(df), band_count(df)
-    n = df.count()
+def machine_features(code: str, df: DataFrame, d: int, params: dict, seed: int) -> tuple[Callable[[DataFrame], DataFrame], dict]:
+    """The feature map of the kernel asked for, and what is needed to make it again."""
+    kernel = params.get("kernel", "rbf")
+    if kernel not in ("rbf", *kernels.KERNELS):
+        raise ValueError(f"{code}: unknown kernel {kernel!r}, use rbf or one of {', '.join(kernels.KERNELS)}")
     gamma = params.get("gamma_value") if params.get("gamma_type") == "float" else params.get("gamma", "scale")
     width = kernel_width(df, d, gamma)
-    project = fourier(width, d, seed)
+    if kernel == "rbf":
+        return fourier(width, d, seed), {"gamma": width, "seed": seed}
+    made, error = kernels.landmark_map(df, kernel, width, params.get("degree", 3), params.get("coef0", 0.0), seed)
+    return made, {"kernel": kernel, "gamma": width, "degree": made.degree, "coef0": made.coef0, "kernel_error": error,
+                  "landmarks": made.landmarks.tolist()}
+
+
+def remade_features(extras: dict, d: int) -> Callable[[DataFrame], DataFrame]:
+    """The map that `machine_features` described."""
+    if "kernel" not in extras:
+        return fourier(extras["gamma"], d, extras["seed"])
+    return kernels.LandmarkMap(extras["kernel"], extras["gamma"], extras["degree"], extras["coef0"], np.array(extras["landmarks"]))
+
+
+def kernel_machine(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
+    """Support vector machine with a kernel, by a linear one on the kernel's features: random
+    Fourier features of the radial kernel, landmark features of the polynomial and sigmoid one.
+    Probabilities come from a logistic fit on the margins."""
+    unsupported(code, params, ["C", "gamma", "kernel", "gamma_type", "gamma_value", "degree", "coef0"])
+    classes, d = sorted_classes(df), band_count(df)
+    n = df.count()
+    project, extras = machine_features(code, df, d, params, seed)
     wide = project(df.select("bands", "label", *(["weight"] if "weight" in df.columns else [])))
     machine = LinearSVC(labelCol="code", regParam=1.0 / (float(params.get("C", 1.0)) * max(n, 1)), maxIter=50)
     if len(classes) == 2:
@@ -333,7 +378,7 @@ def radial_machine(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
     margins = model.transform(training_frame(wide, classes)).select("code", F.col("rawPrediction").alias("margins"))
     calibrator = LogisticRegression(featuresCol="margins", labelCol="code", family="multinomial", maxIter=50,
                                     regParam=1e-6).fit(margins)
-    return SparkFitted(code, model, classes, d, project=project, calibrator=calibrator, extras={"gamma": width, "seed": seed})
+    return SparkFitted(code, model, classes, d, project=project, calibrator=calibrator, extras=extras)
 
 
 def logistic(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
@@ -347,13 +392,30 @@ def logistic(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
     return SparkFitted(code, fit_weighted(estimator, df, classes), classes, d)
 
 
-def perceptron(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
-    unsupported(code, params, ["hidden_layer_sizes", "n_layers", "max_iter"])
+# Settings of the stochastic solver and the arguments they stand for.
+ADAM_PARAMETERS = {"activation": "activation", "alpha": "alpha", "learning_rate_init": "rate", "learning_rate": "schedule",
+                   "batch_size": "batch_size", "tol": "tol", "start": "start"}
+
+
+def perceptron_learner(code: str, df: DataFrame, params: dict, seed: int) -> Fitted:
+    """Adam wherever one of its settings or a `weight` is given, or `solver` asks for it; else
+    L-BFGS on logistic units, which has no step size."""
+    unsupported(code, params, ["hidden_layer_sizes", "n_layers", "max_iter", "solver", *ADAM_PARAMETERS])
+    stochastic = "weight" in df.columns or any(name in params for name in ADAM_PARAMETERS)
+    solver = params.get("solver", "adam" if stochastic else "lbfgs")
+    if solver not in ("adam", "lbfgs"):
+        raise ValueError(f"{code}: unknown solver {solver!r}, use adam or lbfgs")
     classes, d = sorted_classes(df), band_count(df)
-    hidden = [int(v) for v in params.get("hidden_layer_sizes", (50,))]
+    hidden, turns = [int(v) for v in params.get("hidden_layer_sizes", (50,))], int(params.get("max_iter", 500))
+    if solver == "adam":
+        options = {ADAM_PARAMETERS[k]: v for k, v in params.items() if k in ADAM_PARAMETERS}
+        network, losses = perceptron.fit_perceptron(
+            df.filter(F.col("label").isNotNull()), code_column(classes), d, len(classes), hidden, epochs=turns, seed=seed, **options)
+        return PerceptronFitted(network, classes, losses, code)
+    if stochastic:
+        warnings.warn(f"{code}: L-BFGS takes no step size, activation, penalty or weights; they are ignored", stacklevel=3)
     estimator = MultilayerPerceptronClassifier(
-        labelCol="code", layers=[d, *hidden, len(classes)], maxIter=int(params.get("max_iter", 500)),
-        seed=seed, blockSize=256)
+        labelCol="code", layers=[d, *hidden, len(classes)], maxIter=turns, seed=seed, blockSize=256)
     return SparkFitted(code, estimator.fit(training_frame(df.drop("weight"), classes)), classes, d)
 
 
@@ -377,7 +439,7 @@ def neighbor_learner(code: str, df: DataFrame, params: dict, seed: int) -> Fitte
 LEARNERS: dict[str, Callable[[str, DataFrame, dict, int], Fitted]] = {
     "GMM": gaussian_learner,
     "RF": forest,
-    "SVM": radial_machine,
+    "SVM": kernel_machine,
     "KNN": neighbor_learner,
     "XGB": booster,
     "CB": booster,
@@ -385,7 +447,7 @@ LEARNERS: dict[str, Callable[[str, DataFrame, dict, int], Fitted]] = {
     "GBC": booster,
     "LR": logistic,
     "NB": bayes_learner,
-    "MLP": perceptron,
+    "MLP": perceptron_learner,
 }
 
 
@@ -398,7 +460,7 @@ def register(code: str, learner: Callable[[str, DataFrame, dict, int], Fitted],
 def fit(code: str, df: DataFrame, params: dict | None = None, seed: int = 0) -> Fitted:
     """Train a classifier. A `weight` column is used where the classifier takes one."""
     checked(code)
-    if "weight" in df.columns and code not in WEIGHTED:
+    if "weight" in df.columns and code not in SAMPLE_WEIGHTED:
         raise ValueError(f"{CODES[code]} takes no sample weights")
     return LEARNERS[code](code, df, dict(params or {}), seed)
 
@@ -408,7 +470,7 @@ def with_class_weights(code: str, df: DataFrame, strategy: str = "balanced", cus
     from bandloom.operators.balance import attach_weights, class_weights
 
     checked(code)
-    if code not in WEIGHTED:
+    if code not in SAMPLE_WEIGHTED:
         raise ValueError(f"{CODES[code]} takes no class weights")
     return attach_weights(df, class_weights(df, strategy, custom))
 

@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import SparkSession
 
-from bandloom.operators import bayes, gaussian, learners, trees
+from bandloom.operators import bayes, gaussian, learners, perceptron, trees
 from bandloom.operators.prepare import Scaler
 
 PARTS = ("code", "classes", "d", "kind")
@@ -62,6 +62,12 @@ def save_model(spark: SparkSession, fitted: learners.Fitted, scaler: Scaler | No
     elif isinstance(fitted, learners.TreesFitted):
         meta["extra"] = {"boosted": fitted.boosted, "rate": fitted.rate, "losses": fitted.losses}
         spark.createDataFrame(trees.tree_rows(fitted.trees), trees.TREE_TABLE).write.mode("overwrite").parquet(f"{path}/parameters")
+    elif isinstance(fitted, learners.PerceptronFitted):
+        net = fitted.network
+        meta["extra"] = {"activation": net.activation, "losses": fitted.losses}
+        rows = [(i, w.shape[0], w.ravel().tolist(), b.tolist()) for i, (w, b) in enumerate(zip(net.weights, net.biases))]
+        spark.createDataFrame(rows, "layer int, inputs int, weights array<double>, biases array<double>").write.mode(
+            "overwrite").parquet(f"{path}/parameters")
     else:
         meta["extra"] = {"model": type(fitted.model).__name__, "margin": fitted.margin, **fitted.extras,
                          "calibrated": fitted.calibrator is not None}
@@ -111,12 +117,17 @@ def _read_fitted(spark: SparkSession, path: str, meta: dict) -> learners.Fitted:
     if kind == "TreesFitted":
         grown = trees.trees_of_rows(spark.read.parquet(where).collect())
         return learners.TreesFitted(meta["code"], grown, meta["classes"], d, extra["boosted"], extra["rate"], extra["losses"])
+    if kind == "PerceptronFitted":
+        rows = spark.read.parquet(where).orderBy("layer").collect()
+        network = perceptron.Network(tuple(np.array(r["weights"]).reshape(r["inputs"], -1) for r in rows),
+                                     tuple(np.array(r["biases"]) for r in rows), extra["activation"])
+        return learners.PerceptronFitted(network, meta["classes"], extra["losses"], meta["code"])
     if kind != "SparkFitted" or extra.get("model") not in SPARK_KINDS:
         raise InvalidModel(f"unknown kind of model {kind!r}")
     fitted = learners.SparkFitted(meta["code"], SPARK_KINDS[extra["model"]].load(where), meta["classes"], d, margin=extra["margin"])
     if extra["calibrated"]:
         fitted.calibrator = LogisticRegressionModel.load(f"{path}/calibrator")
     if "gamma" in extra:
-        fitted.project = learners.fourier(extra["gamma"], d, extra["seed"])
-        fitted.extras = {"gamma": extra["gamma"], "seed": extra["seed"]}
+        fitted.extras = {k: v for k, v in extra.items() if k not in ("model", "margin", "calibrated")}
+        fitted.project = learners.remade_features(fitted.extras, d)
     return fitted

@@ -351,6 +351,6 @@ def test_what_cannot_be_done_is_refused(spark):
         learners.fit("RF", df, {"max_depth": 99})
     with pytest.raises(ValueError, match="permutations"):
         explain.coalitions(64)
-    for code, params in (("RF", {"min_samples_split": 200, "n_estimators": 2}), ("LR", {"solver": "saga", "max_iter": 2}), ("MLP", {"learning_rate_init": 0.5, "max_iter": 2})):
+    for code, params in (("RF", {"min_samples_split": 200, "n_estimators": 2}), ("LR", {"solver": "saga", "max_iter": 2}), ("MLP", {"learning_rate_init": 0.5, "max_iter": 2, "solver": "lbfgs"})):
         with pytest.warns(UserWarning, match="ignored"):
             learners.fit(code, df, params)
