@@ -1,7 +1,8 @@
 """Licence scan: a trained paragraph classifier confirmed by templates, natively.
 
-Paragraphs are lines. A multinomial logistic regression over word n-grams is fitted
-with Spark ML on notices of each licence family, their shortened variants, and
+A paragraph is a block of lines between lines without a letter or digit. It is scored with its
+lines joined, as notices are wrapped, and each of its lines besides, as lists of notices are
+not. A multinomial logistic regression over word n-grams is fitted with Spark ML on notices of each licence family, their shortened variants, and
 paragraphs that are no notices. A second, one-dimensional regression turns the
 margin over the unknown class into a calibrated probability of being a notice at
 all. A family counts only if a template of it confirms it by shared n-grams.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm.positions import KEY_BITS, order_key
-from bandloom.llm.words import SPACES, bind
+from bandloom.llm.words import bind
 from bandloom.session import cut_lineage
 
 UNKNOWN = "unknown"
@@ -26,6 +27,8 @@ ORDERS = (1, 2, 3)
 ANCHOR_LETTERS = 5
 # Bound on the corpus paragraphs that the unknown class is fitted on.
 UNKNOWN_ROWS = 2000
+# Corpus text that shares this many of the longest n-grams with notices may be one, so it does not stand for the unknown class.
+DOUBTFUL_GRAMS = 3
 MIN_PROBABILITY = 0.5
 MIN_SHARED = 0.6
 
@@ -111,6 +114,22 @@ def paragraph_words(line: Column) -> Column:
     return F.filter(F.split(plain, " +", -1), lambda w: w != "")
 
 
+def blocks(text: Column) -> Column:
+    """The paragraphs of a text with their line ends; those without a letter or digit are left out."""
+    parts = F.split(F.coalesce(text.cast("string"), F.lit("")), "\n[^\\p{L}\\p{N}\n]*(?=\n)", -1)
+    return F.filter(parts, lambda b: b.rlike("[\\p{L}\\p{N}]"))
+
+
+def units(docs: DataFrame, text_col: str) -> DataFrame:
+    """(the columns of `docs`, paragraph, at, line): every line of a paragraph, and as line -1 the whole paragraph if it has several."""
+    each = docs.select(*docs.columns, F.posexplode(blocks(F.col(text_col))).alias("paragraph", "_block"))
+    lines = F.filter(F.split("_block", "\n", -1), lambda x: x != "")
+    listed = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    whole = F.array(F.struct(F.lit(-1).alias("at"), F.col("_block").alias("line")))
+    both = F.when(F.size(lines) > 1, F.concat(whole, listed)).otherwise(listed)
+    return each.select(*docs.columns, "paragraph", F.explode(both).alias("_unit")).select(*docs.columns, "paragraph", "_unit.at", "_unit.line")
+
+
 def grams(words: Column) -> Column:
     """Word n-grams of ORDERS, joined by spaces, repeats kept."""
     def order(held: Column, n: int) -> Column:
@@ -159,17 +178,23 @@ def _variants(notices: DataFrame) -> DataFrame:
 
 
 def fit_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unknown_rows: int = UNKNOWN_ROWS, seed: str = "licence") -> LicenceModel:
-    """Fit on the notices and on at most about `unknown_rows` corpus lines, the documented bound.
+    """Fit on the notices and on at most `unknown_rows` corpus paragraphs and lines, the documented bound.
 
-    Corpus lines are chosen by a digest of document and place, and only lines without
-    the stem "licen" stand for the unknown class. Every fourth row calibrates.
+    They are those of least digest of document, text and place among about `unknown_rows`
+    documents. Only text without the stem "licen" that shares fewer than DOUBTFUL_GRAMS
+    of the longest n-grams with notices stands for the unknown class. Every fourth row calibrates.
     """
     spark = docs.sparkSession
     notices = _notices(spark)
     count = docs.count()
-    lines = docs.filter(order_key(F.lit(seed), F.col(id_col)) < F.lit(int(min(1.0, unknown_rows / max(count, 1)) * (1 << KEY_BITS))))
-    lines = lines.select(F.explode(F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), 1, 4)).alias("line"))
-    lines = lines.filter(~F.lower("line").contains("licen") & (F.length("line") > 20)).limit(unknown_rows)
+    sampled = docs.filter(order_key(F.lit(seed), F.col(id_col)) < F.lit(int(min(1.0, unknown_rows / max(count, 1)) * (1 << KEY_BITS))))
+    lines = units(sampled.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text")
+    lines = lines.filter(~F.lower("line").contains("licen") & (F.length("line") > 20))
+    long_grams = notices.select(F.explode(grams(paragraph_words(F.col("line")))).alias("gram")).filter(F.size(F.split("gram", " ")) == ORDERS[-1])
+    known = F.array(*[F.lit(r.gram) for r in long_grams.distinct().orderBy("gram").collect()])
+    lines = lines.filter(F.size(F.array_intersect(grams(paragraph_words(F.col("line"))), known)) < DOUBTFUL_GRAMS)
+    place = order_key(F.lit(f"{seed}|unit"), F.col("doc"), F.xxhash64("text").cast("string"), F.col("paragraph"), F.col("at"))
+    lines = lines.orderBy(place, "line").limit(unknown_rows).select("line")
     others = lines.unionByName(spark.createDataFrame([(x,) for x in NOT_NOTICES], "line string")).select(F.lit(UNKNOWN).alias("family"), "line")
     rows = _variants(notices).select("family", "line").unionByName(others)
     rows = rows.select("family", grams(paragraph_words(F.col("line"))).alias("grams"), F.pmod(F.xxhash64("line"), F.lit(4)).alias("fold"))
@@ -207,21 +232,21 @@ def scan_licences(
     docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text",
     min_probability: float = MIN_PROBABILITY, min_shared: float = MIN_SHARED,
 ) -> DataFrame:
-    """Rows (doc, key, paragraph, family, probability, shared) of paragraphs taken for notices.
+    """Rows (doc, key, paragraph, line, family, probability, shared) of what is taken for a notice.
 
-    Every paragraph of every text is scored; those without an anchor word of the
-    vocabulary have no features and are unknown without further work. `shared` is
+    Every paragraph of every text is scored, whole (line null) and line by line; those
+    without an anchor word of the vocabulary have no features and are unknown without further work. `shared` is
     the largest share of a template's n-grams found in the paragraph among templates
     of the predicted family; below `min_shared` the prediction is not confirmed and
     the paragraph stays unknown.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n", -1)).alias("paragraph", "line"))
+    lines = units(docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), text.alias("_text")), "_text")
     anchors = F.array(*[F.lit(a) for a in model.anchors])
-    words = lines.select("doc", "key", "paragraph", paragraph_words(F.col("line")).alias("words"))
+    words = lines.select("doc", "key", "paragraph", "at", paragraph_words(F.col("line")).alias("words"))
     near = words.filter(F.arrays_overlap("words", anchors)).distinct()
-    found = near.select("doc", "key", "paragraph", F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
+    found = near.select("doc", "key", "paragraph", "at", F.explode(F.array_distinct(grams(F.col("words")))).alias("gram"))
     # Weights and template n-grams come from the fixed notices, a few hundred rows.
     shares = _notices(spark).select("family", "template", F.explode(F.array_distinct(grams(paragraph_words(F.col("line"))))).alias("gram"))
     templates = shares.groupBy("gram").agg(F.collect_list(F.struct("family", "template")).alias("of"))
@@ -231,7 +256,7 @@ def scan_licences(
     n = len(model.families)
     sums = [F.sum(F.coalesce(F.get("weight", F.lit(i)), F.lit(0.0))).alias(f"s{i}") for i in range(n)]
     hits = [F.sum(F.coalesce(F.array_contains("of", F.struct(F.lit(f).alias("family"), F.lit(t).alias("template"))), F.lit(False)).cast("int")).alias(f"h_{f}_{t}") for f, t in sizes]
-    per = scored.groupBy("doc", "key", "paragraph").agg(*sums, *hits)
+    per = scored.groupBy("doc", "key", "paragraph", "at").agg(*sums, *hits)
     raw = F.array(*[F.col(f"s{i}") + F.lit(b) for i, b in enumerate(model.intercepts)])
     per = per.withColumn("raw", raw).withColumn("probability", 1 / (1 + F.exp(-(_margin(F.col("raw")) * model.scale + model.shift))))
     best = F.array_position(F.slice("raw", 1, n - 1), F.array_max(F.slice("raw", 1, n - 1))).cast("int")
@@ -241,22 +266,24 @@ def scan_licences(
         of = F.greatest(*[F.col(f"`h_{f}_{t}`") / F.lit(float(s)) for (f, t), s in sizes.items() if f == family], F.lit(0.0))
         shared = F.when(F.col("family") == family, of) if shared is None else shared.when(F.col("family") == family, of)
     per = per.withColumn("shared", shared).filter((F.col("probability") >= min_probability) & (F.col("shared") >= min_shared))
-    return per.select("doc", "key", "paragraph", "family", "probability", "shared")
+    line = F.when(F.col("at") >= 0, F.col("at"))
+    return per.select("doc", "key", "paragraph", line.alias("line"), "family", "probability", "shared")
 
 
 def document_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_paragraphs, n_notices, families (sorted), probability (of the surest notice).
 
-    Null and empty texts have no paragraph; a paragraph is a line with a character.
+    Null and empty texts have no paragraph, nor has text without a letter or digit. A notice
+    is a family found in a paragraph, as a whole or in any of its lines.
     Documents without a notice have no families and a null probability. Rows that
     repeat id and text each get the same result; null ids are scanned like others.
     An empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    count = F.size(F.filter(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, SPACES, "") != "")).cast("bigint")
+    count = F.size(blocks(text)).cast("bigint")
     every = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), count.alias("n_paragraphs"))
     notes = scan_licences(docs, model, id_col, text_col).groupBy("doc", "key").agg(
-        F.count("*").alias("n_notices"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability")
+        F.count_distinct("paragraph", "family").alias("n_notices"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability")
     )
     notes = notes.withColumnsRenamed({"doc": "_doc", "key": "_key"})
     joined = every.join(notes, every["doc"].eqNullSafe(notes["_doc"]) & (every["key"] == notes["_key"]), "left")
