@@ -147,8 +147,9 @@ def judge_documents(
     lang_col: str = "lang",
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    out: str = "verdict",
 ) -> DataFrame:
-    """The rows of `docs` with a struct `verdict`: the base counts, distances, base_failed, kept.
+    """The rows of `docs` with a struct `out`: the base counts, distances, base_failed, kept.
 
     Base rules reject texts of under MIN_WORDS words or with more than half of their
     words in repeated 3-word windows. The others are rejected when their characters or
@@ -156,7 +157,7 @@ def judge_documents(
     language; a histogram below its minimum length is not judged. Null and empty texts
     have no words and fail. A null language is a language of its own. Repeated rows
     are judged alike, an empty table gives no rows, other columns are kept as they are
-    (only a column named `verdict` would be replaced).
+    (only one that has the name of `out` is replaced).
     """
     spark = docs.sparkSession
     references = cut_lineage(language_references(docs, text_col, lang_col), "references")
@@ -196,4 +197,4 @@ def judge_documents(
     # Behind a generator a filter on the verdict reads it; pushed into the expressions
     # above it would repeat them beyond bounds.
     marked = marked.select("row", F.explode(F.array(verdict)).alias("verdict"))
-    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "verdict"], "verdict")
+    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()], F.col("verdict").alias(out))

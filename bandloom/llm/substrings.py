@@ -286,16 +286,16 @@ def removal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, token: int = TOKEN, with_text: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, token: int = TOKEN, with_text: bool = True, out: str = "cut"
 ) -> DataFrame:
-    """The rows of `docs` and a struct `cut`: n_words, n_removed, kept_sha256, kept (the words left, joined by spaces).
+    """The rows of `docs` and a struct `out`: n_words, n_removed, kept_sha256, kept (the words left, joined by spaces).
 
     A word goes if a window over it has a word sequence that also starts earlier.
     Null and empty texts have no words; texts shorter than a window lose nothing.
     Documents without an id come after all others. Rows that repeat an id with the
     same text are one place, so neither is the earlier one; with different texts
     under one id a span found in one is taken out of each. An empty table gives no
-    rows. Other columns are carried along (only one named `cut` is replaced);
+    rows. Other columns are carried along (only one that has the name of `out` is replaced);
     `kept` is null unless `with_text`.
     """
     packed = F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("length")
@@ -303,4 +303,4 @@ def remove_repeats(
     rows = docs.select(_place(id_col, text_col).alias("place"), F.struct(*docs.columns).alias("row"))
     joined = rows.join(spans, "place", "left")
     joined = joined.select("row", _cut(F.col("row")[text_col].cast("string"), F.col("spans"), F.lit(with_text)).alias("cut"))
-    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "cut"], "cut")
+    return joined.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()], F.col("cut").alias(out))

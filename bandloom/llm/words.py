@@ -5,6 +5,8 @@ A word is a longest run of characters other than space and the controls 9 to 13.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,11 @@ def word_count(text: Column) -> Column:
 def bind(value: Column, use) -> Column:
     """`use(value)` with `value` evaluated once, also where it stands inside further lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores after it until no column of `taken` has it in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
