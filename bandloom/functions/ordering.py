@@ -88,19 +88,6 @@ def lead_rank(
     return joined.withColumn(out, rank).select(*df.columns, out)
 
 
-def largest_cuts(df: DataFrame, key: str, k: int, value: str, id_col: str, seed: int | str, salts: int = 64) -> DataFrame:
-    """(key, _cut, _cut_hash) of the k-th largest value per key, ties in hash order.
-
-    Rows are thinned to k per key and salt before the k best of a key meet.
-    """
-    order = [F.desc(value), F.asc("_h")]
-    slim = df.select(key, F.col(value), seeded_hash(seed, id_col).alias("_h"))
-    slim = slim.withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(salts)))
-    thin = slim.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).filter(F.col("_rn") <= k)
-    best = thin.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    return best.filter(F.col("_rn") == k).select(key, F.col(value).alias("_cut"), F.col("_h").alias("_cut_hash"))
-
-
 def rows_at_ranks(
     df: DataFrame,
     key: str,

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.functions import ordering as od
 from bandloom.functions.sizing import bounded_rows, lookup_join
 from bandloom.operators.balance import class_counts, count_map
-from bandloom.operators.spatial import within_buffer
+from bandloom.operators.spatial import farthest, within_buffer
+from bandloom.session import cut_lineage
 
 
 class TooFewPolygons(ValueError):
@@ -126,41 +130,130 @@ def sloo_training(samples: DataFrame, excluded: DataFrame, iteration: int) -> Da
     return samples.join(gone, ["label", "sample_id"], "left_anti")
 
 
-def sloo_resized(
-    samples: DataFrame, distance: float, min_train: float, seed: int = 0, sloo: bool = True
-) -> DataFrame:
-    """Folds (iter, label, sample_id, role) with the size of the drawn side set.
+@dataclass
+class Sides:
+    """Training and validation side of every spatial iteration, without a row per sample and iteration.
 
-    Above 1, `min_train` samples farthest from the drawn one replace it; below 1,
-    that share of the class, moved at random from the training side. Every row of
-    a class gets a role in every iteration.
+    `marked` is the samples with the iterations that hold them out (`_held`), that
+    leave them aside (`_aside`) and, where a share of the class moves over, their
+    seeded rank (`_rank`). `moves` then has (iter, label, n, start, cut): in that
+    iteration the ranks counted from `start` up to `cut` are held out as well.
     """
-    counts = count_map(samples)
-    iterations = min(counts.values())
-    held = sloo_held_out(samples, None, seed).select(
-        "label", "iter", F.col("sample_id").alias("_held"), F.col("x").alias("_hx"), F.col("y").alias("_hy")
-    )
-    pairs = lookup_join(samples.select("label", "sample_id", "x", "y"), held, ["label"], "inner")
-    away = F.sqrt(F.pow(F.col("x") - F.col("_hx"), 2) + F.pow(F.col("y") - F.col("_hy"), 2))
-    pairs = pairs.withColumn("_fold", F.concat_ws("|", "iter", "label")).withColumn("_away", away)
-    far = F.col("_away") > distance
-    own = F.col("sample_id") == F.col("_held")
-    folds = [(f"{i}|{c}", c) for i in range(iterations) for c in counts]
-    if min_train > 1:
-        want = int(min_train)
-        cuts = od.largest_cuts(pairs, "_fold", want, "_away", "sample_id", seed)
-        ranked = lookup_join(pairs, cuts, ["_fold"]).withColumn("_h", od.seeded_hash(seed, "sample_id"))
-        tied = (F.col("_away") == F.col("_cut")) & ((F.col("_h") <= F.col("_cut_hash")) | F.lit(not sloo))
-        drawn = F.col("_cut").isNull() | (F.col("_away") > F.col("_cut")) | tied
-        role = F.when(drawn, "valid").when(far, "train")
-        return ranked.withColumn("role", role).filter("role is not null").select("iter", "label", "sample_id", "role")
-    quota = {f: max(0, int(min_train * counts[c]) - 1) for f, c in folds}
-    training = pairs.filter(far & ~own)
-    moved = od.take_per_key(training, "_fold", quota, "sample_id", seed, "_moved")
-    sides = moved.withColumn("role", F.when(F.col("_moved"), "valid").otherwise("train"))
-    drawn = pairs.filter(own).withColumn("role", F.lit("valid"))
-    cols = ["iter", "label", "sample_id", "role"]
-    return sides.select(*cols).unionByName(drawn.select(*cols))
+
+    marked: DataFrame
+    iterations: list[int]
+    moves: DataFrame | None = None
+
+    def _split(self, iteration: int) -> tuple[DataFrame, Column, Column]:
+        df, moved = self.marked, F.lit(False)
+        if self.moves is not None:
+            mine = self.moves.filter(F.col("iter") == iteration).select("label", *[F.col(c).alias(f"_{c}") for c in ("n", "start", "cut")])
+            df = lookup_join(df, mine, ["label"])
+            moved = F.coalesce(turned_rank(F.col("_rank"), F.col("_start"), F.col("_n")) <= F.col("_cut"), F.lit(False))
+        held = F.array_contains("_held", F.lit(iteration))
+        aside = F.array_contains("_aside", F.lit(iteration))
+        return df, held | (moved & ~aside), aside
+
+    def _plain(self, df: DataFrame) -> DataFrame:
+        return df.select(*[c for c in self.marked.columns if c not in ("_held", "_aside", "_rank")])
+
+    def training(self, iteration: int) -> DataFrame:
+        df, valid, aside = self._split(iteration)
+        return self._plain(df.filter(~valid & ~aside))
+
+    def validation(self, iteration: int) -> DataFrame:
+        df, valid, _ = self._split(iteration)
+        return self._plain(df.filter(valid))
+
+    def sizes(self) -> DataFrame:
+        """(iter, label, n_train, n_valid, valid_sum): sizes of both sides and the sum of the held-out ids, one pass for all iterations."""
+        if self.moves is not None:
+            raise ValueError("sizes are counted per iteration where a share of the class moves")
+        touched = F.array_union("_held", "_aside")
+        each = self.marked.select("label", "sample_id", "_held", F.explode(touched).alias("iter"))
+        valid = F.array_contains("_held", F.col("iter"))
+        near = each.groupBy("iter", "label").agg(
+            F.count(F.lit(1)).alias("_gone"), F.count_if(valid).alias("n_valid"), F.sum(F.when(valid, F.col("sample_id"))).alias("valid_sum"))
+        sized = lookup_join(near, class_counts(self.marked), ["label"])
+        return sized.select("iter", "label", (F.col("n") - F.col("_gone")).alias("n_train"), "n_valid", "valid_sum")
+
+
+def turned_rank(rank: Column, start: Column, n: Column) -> Column:
+    """Place of a rank 1..n when counting begins after `start` and goes round."""
+    return F.pmod(rank - 1 - start, n) + 1
+
+
+def marked_sides(samples: DataFrame, held: DataFrame, aside: DataFrame | None, on: Sequence[str]) -> DataFrame:
+    """Samples with the sorted iterations of both tables as `_held` and `_aside`; `on` names the rows meant."""
+    rows = held.select(*on, "iter", F.lit(True).alias("_valid"))
+    if aside is not None:
+        rows = rows.unionByName(aside.select(*on, "iter", F.lit(False).alias("_valid")))
+    lists = rows.groupBy(*on).agg(
+        F.sort_array(F.collect_set(F.when(F.col("_valid"), F.col("iter")))).alias("_held"),
+        F.sort_array(F.collect_set(F.when(~F.col("_valid"), F.col("iter")))).alias("_aside"))
+    none = F.array().cast("array<int>")
+    joined = lookup_join(samples, lists, on)
+    return joined.select(*samples.columns, *[F.coalesce(c, none).alias(c) for c in ("_held", "_aside")])
+
+
+def moving_cuts(ranked: DataFrame, excluded: DataFrame, held: DataFrame, share: float, seed: int) -> DataFrame:
+    """(iter, label, n, start, cut): up to which turned rank a share of the class moves over.
+
+    int(share * n) - 1 samples beside the drawn one move, the first that are not
+    excluded. With e(1) < e(2) < ... the turned ranks of the excluded samples, e(j) is
+    among the first `quota` others exactly if e(j) - j < quota. Ranks are first
+    counted in stretches, so that many excluded samples of one iteration are not
+    ordered in one task.
+    """
+    counts = class_counts(ranked)
+    start = od.hash_uint(od.seeded_hash(f"{seed}|moved", "iter", "label")) % F.col("n")
+    folds_ = lookup_join(held.select("iter", "label"), counts, ["label"], "inner").withColumn("start", start)
+    folds_ = folds_.withColumn("_quota", F.greatest(F.lit(0), F.floor(F.lit(share) * F.col("n")).cast("bigint") - 1))
+    near = excluded.join(ranked.select("label", "sample_id", "_rank"), ["label", "sample_id"])
+    near = lookup_join(near, folds_, ["iter", "label"], "inner").withColumn("_e", turned_rank(F.col("_rank"), F.col("start"), F.col("n")))
+    near = cut_lineage(near.withColumn("_part", F.floor((F.col("_e") - 1) * 1024 / F.col("n"))).select("iter", "label", "_part", "_e", "_quota"), "near")
+    before = Window.partitionBy("iter", "label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = near.groupBy("iter", "label", "_part").agg(F.count(F.lit(1)).alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("iter", "label", "_part").orderBy("_e"))
+    placed = near.withColumn("_j", inside).join(parts, ["iter", "label", "_part"])
+    passed = placed.groupBy("iter", "label").agg(F.count_if(F.col("_e") - F.col("_before") - F.col("_j") < F.col("_quota")).alias("_passed"))
+    joined = folds_.join(passed, ["iter", "label"], "left")
+    cut = F.when(F.col("_quota") > 0, F.col("_quota") + F.coalesce("_passed", F.lit(0))).otherwise(0)
+    return joined.select("iter", "label", "n", "start", cut.cast("bigint").alias("cut"))
+
+
+def sloo_sides(
+    samples: DataFrame, distance: float, max_iter: int | None = None, seed: int = 0, min_train: float | None = None, sloo: bool = True
+) -> Sides:
+    """Spatial iterations with the drawn sample, or a set in its place, held out per class.
+
+    Without `min_train` the drawn sample is held out and what is too near is left
+    aside. Above 1, the `min_train` samples of the class farthest from the drawn one
+    are held out in its place; with `sloo` exactly so many, and the near ones are left
+    aside, otherwise all at the last distance, and the rest of the class trains. From
+    0 to 1 that share of the class is held out: the drawn sample and others taken at random
+    from the training side. Samples without a position are never near or far.
+    """
+    held, excluded = sloo_folds(samples, distance, max_iter, seed)
+    held, excluded = cut_lineage(held.select("iter", "label", "sample_id", "x", "y"), "held"), cut_lineage(excluded.distinct(), "excluded")
+    iterations = [r[0] for r in held.select("iter").distinct().orderBy("iter").collect()]
+    key = ["label", "sample_id"]
+    if min_train is not None and min_train > 1:
+        drawn = farthest(samples, held, int(min_train), seed, ties=not sloo)
+        return Sides(marked_sides(samples, drawn, excluded if sloo else None, key), iterations)
+    if min_train is None or min_train <= 0:
+        return Sides(marked_sides(samples, held, excluded, key), iterations)
+    ranked = od.hash_rank(samples, ["label"], "sample_id", seed, "_rank")
+    slim = cut_lineage(ranked.select(*key, "_rank"), "ranks")
+    moves = cut_lineage(moving_cuts(slim, excluded, held, min_train, seed), "moves")
+    return Sides(marked_sides(ranked, held, excluded, key), iterations, moves)
+
+
+def stand_sides(samples: DataFrame, max_iter: int | None = None, sloo: bool = True, seed: int = 0) -> Sides:
+    """Iterations that hold out whole stands of every class."""
+    held = cut_lineage(stand_folds(samples, max_iter, sloo, seed=seed), "stands")
+    iterations = [r[0] for r in held.select("iter").distinct().orderBy("iter").collect()]
+    return Sides(marked_sides(samples, held, None, ["label", "stand_id"]), iterations)
 
 
 def stand_counts(samples: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bandloom.functions import geometry as geo
-from bandloom.functions.sizing import BROADCAST_ROWS, bounded_rows, small_or_none
+from bandloom.functions.ordering import seeded_hash
+from bandloom.functions.sizing import BROADCAST_ROWS, bounded_rows, lookup_join, small_or_none
+from bandloom.session import cut_lineage
 from bandloom.sources.tables import PIXEL_KEY
 
 # Corners a broadcast polygon table may hold in total.
@@ -193,3 +196,65 @@ def within_buffer(samples: DataFrame, held_out: DataFrame, distance: float, stri
         own = F.col("a_sample_id") == F.col("b_sample_id")
         near = near.filter(own | (F.col("distance") < distance) | (F.col("distance") <= 0.1))
     return near.select(F.col("a_iter").alias("iter"), "label", F.col("b_sample_id").alias("sample_id"))
+
+
+# Samples a leaf of the grid should hold, and the most levels it may have.
+LEAF_ROWS = 512
+GRID_LEVELS = 8
+
+
+def farthest(samples: DataFrame, held_out: DataFrame, want: int, seed: int | str = 0, ties: bool = False) -> DataFrame:
+    """(iter, label, sample_id): the `want` samples of the class farthest from each held-out one.
+
+    Equal distances are taken in seeded order, or all of them with `ties`. Positions
+    lie on a square grid per class, each level with 16 cells in place of one. A cell
+    is followed down only if its far corner reaches what the near corners of other
+    cells already promise `want` samples beyond, so samples are measured in the
+    outermost leaves alone. Samples without a finite position are never taken.
+    """
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf"))
+    slim = samples.filter(finite("x") & finite("y")).select("label", "sample_id", "x", "y")
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    classes = slim.groupBy("label").agg(
+        F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.when(extent > 0, extent).otherwise(1.0).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    classes = slim.sparkSession.createDataFrame(bounded_rows(classes), classes.schema)
+    largest = classes.agg(F.max("_n")).first()[0] or 1
+    depth = min(GRID_LEVELS, max(1, math.ceil(math.log(largest / LEAF_ROWS, 16)))) if largest > LEAF_ROWS else 1
+    leaf = lambda c, c0: F.least(F.floor((F.col(c) - F.col(c0)) / F.col("_w") * 4**depth), F.lit(4**depth - 1)).cast("int")
+    placed = lookup_join(slim, classes.drop("_n"), ["label"]).select(
+        "label", "sample_id", "x", "y", leaf("x", "_x0").alias("_gx"), leaf("y", "_y0").alias("_gy"))
+    counted = cut_lineage(placed.groupBy("label", "_gx", "_gy").agg(F.count(F.lit(1)).alias("_n")), "cells")
+
+    front = held_out.filter(finite("x") & finite("y")).select("iter", "label", F.col("x").alias("_px"), F.col("y").alias("_py"))
+    front = lookup_join(front, classes.drop("_n"), ["label"], "inner")
+    fold = Window.partitionBy("iter", "label")
+    for level in range(1, depth + 1):
+        up = 2 * (depth - level)
+        cells = counted.groupBy("label", F.shiftright("_gx", up).alias("_cx"), F.shiftright("_gy", up).alias("_cy")).agg(F.sum("_n").alias("_n"))
+        cells = cells.withColumns({"_ux": F.shiftright("_cx", 2), "_uy": F.shiftright("_cy", 2)})
+        if level == 1:
+            front = front.join(cells.drop("_ux", "_uy"), "label")
+        else:
+            above = front.drop("_n", "_low", "_far").withColumnsRenamed({"_cx": "_ux", "_cy": "_uy"})
+            front = above.join(cells, ["label", "_ux", "_uy"]).drop("_ux", "_uy")
+        width = F.col("_w") / 4**level
+        lows = {"x": F.col("_x0") + F.col("_cx") * width, "y": F.col("_y0") + F.col("_cy") * width}
+        gap = [F.greatest(lo - F.col(f"_p{c}"), F.col(f"_p{c}") - lo - width, F.lit(0.0)) for c, lo in lows.items()]
+        reach = [F.greatest(F.abs(lo - F.col(f"_p{c}")), F.abs(lo + width - F.col(f"_p{c}"))) for c, lo in lows.items()]
+        front = front.withColumn("_near", F.sqrt(gap[0] * gap[0] + gap[1] * gap[1])).withColumn("_far", F.sqrt(reach[0] * reach[0] + reach[1] * reach[1]))
+        beyond = F.sum("_n").over(fold.orderBy(F.desc("_near")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        front = front.withColumn("_low", F.when(beyond >= want, F.col("_near")))
+        # A little lower than promised, for corners and positions are rounded.
+        low = F.max("_low").over(fold.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        front = front.withColumn("_low", F.coalesce(low * (1 - 1e-9) - F.col("_w") * 1e-9, F.lit(-1.0))).filter(F.col("_far") >= F.col("_low"))
+        front = front.drop("_near")
+    front = front.select("iter", "label", F.col("_cx").alias("_gx"), F.col("_cy").alias("_gy"), "_px", "_py", "_low")
+    front = cut_lineage(front, "front")
+    met = lookup_join(placed, front, ["label", "_gx", "_gy"], "inner")
+    met = met.withColumn("_away", geo.euclidean([F.col("x"), F.col("y")], [F.col("_px"), F.col("_py")])).filter(F.col("_away") >= F.col("_low"))
+    if ties:
+        place = F.rank().over(fold.orderBy(F.desc("_away")))
+    else:
+        met = met.withColumn("_h", seeded_hash(seed, "sample_id"))
+        place = F.row_number().over(fold.orderBy(F.desc("_away"), "_h", "sample_id"))
+    return met.withColumn("_place", place).filter(F.col("_place") <= want).select("iter", "label", "sample_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from bandloom import fixed_values as fv
 from bandloom.functions import ordering as od
 from bandloom.operators import learners, metrics, neighbors
-from bandloom.operators.folds import stratified_kfold
+from bandloom.operators.folds import Sides, stratified_kfold
 from bandloom.operators.labels import sorted_classes
 
 SCORES = ("accuracy", "f1_weighted", "f1_macro")
@@ -66,22 +66,22 @@ class Search:
                 "failed": len(self.history) - len(done)}
 
 
-def fold_scores(code: str, folded: DataFrame, params: dict, scoring: str, seed: int, folds: Sequence[int]) -> list[float]:
-    """Score of every fold with the others as training samples."""
-    out = []
-    for f in folds:
-        train, valid = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
-        model = learners.fit(code, train.drop("fold"), params, seed)
-        out.append(score(model.predict(valid, ["label"]), scoring))
-    return out
+def number_sides(folded: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """(training, validation) of every fold number."""
+    numbers = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+    return [(folded.filter(F.col("fold") != f).drop("fold"), folded.filter(F.col("fold") == f)) for f in numbers]
+
 
+def fold_scores(code: str, pairs: Sequence[tuple[DataFrame, DataFrame]], params: dict, scoring: str, seed: int) -> list[float]:
+    """Score of every validation side with its training side."""
+    return [score(learners.fit(code, train, params, seed).predict(valid, ["label"]), scoring) for train, valid in pairs]
 
-def neighbor_scores(folded: DataFrame, trials: list[dict], scoring: str, folds: Sequence[int]) -> list[list[float]]:
+
+def neighbor_scores(pairs: Sequence[tuple[DataFrame, DataFrame]], trials: list[dict], scoring: str) -> list[list[float]]:
     """All neighbour counts from one lookup of the largest per fold."""
     largest = max(int(t.get("n_neighbors", 5)) for t in trials)
     out: list[list[float]] = [[] for _ in trials]
-    for f in folds:
-        train, valid = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+    for train, valid in pairs:
         found = neighbors.knn_join(valid, train, largest, keep=["label"]).persist()
         for i, t in enumerate(trials):
             near = F.slice("neighbors", F.lit(1), F.lit(int(t.get("n_neighbors", 5))))
@@ -90,20 +90,32 @@ def neighbor_scores(folded: DataFrame, trials: list[dict], scoring: str, folds:
     return out
 
 
-def run_trials(code: str, df: DataFrame, trials: list[dict], folds: int, scoring: str, seed: int, parallelism: int) -> Search:
-    """Every trial on the same folds. Samples are kept in memory or on disk once;
-    trials are independent jobs, a few of them at a time."""
-    folded = df if "fold" in df.columns else stratified_kfold(df, folds, seed)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+def run_trials(
+    code: str, df: DataFrame, trials: list[dict], folds: int, scoring: str, seed: int, parallelism: int, sides: Sides | None = None
+) -> Search:
+    """Every trial on the same folds: those in `fold`, spatial ones in `sides`, or random ones.
+
+    Samples are kept in memory or on disk once; trials are independent jobs, a few of
+    them at a time.
+    """
+    if sides is not None:
+        folded, pairs = sides.marked, [(sides.training(i), sides.validation(i)) for i in sides.iterations]
+    else:
+        folded = df if "fold" in df.columns else stratified_kfold(df, folds, seed)
+    mine = not folded.is_cached
+    if mine:
+        folded.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        numbers = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
+        if sides is None:
+            pairs = number_sides(folded)
         if code == "KNN":
-            results = neighbor_scores(folded, trials, scoring, numbers)
+            results = neighbor_scores(pairs, trials, scoring)
         else:
             with ThreadPoolExecutor(parallelism) as pool:
-                results = list(pool.map(lambda t: fold_scores(code, folded, t, scoring, seed, numbers), trials))
+                results = list(pool.map(lambda t: fold_scores(code, pairs, t, scoring, seed), trials))
     finally:
-        folded.unpersist()
+        if mine:
+            folded.unpersist()
     history = [
         {"place": i, "params": t, "mean": float(np.mean(s)), "std": float(np.std(s)), "scores": s, "state": "complete"}
         for i, (t, s) in enumerate(zip(trials, results))
@@ -113,14 +125,14 @@ def run_trials(code: str, df: DataFrame, trials: list[dict], folds: int, scoring
 
 def grid_search(
     code: str, df: DataFrame, grid: dict | None = None, folds: int = fv.DEFAULT_FOLDS, base: dict | None = None,
-    scoring: str = "accuracy", seed: int = 0, fast: bool = False, parallelism: int = 2,
+    scoring: str = "accuracy", seed: int = 0, fast: bool = False, parallelism: int = 2, sides: Sides | None = None,
 ) -> Search:
     """Cross-validated scores of all combinations; `base` holds fixed parameters."""
     learners.checked(code)
     grid = grid or learners.default_grid(code, _d(df))
     if fast:
         grid = learners.fast_grid(code, grid)
-    return run_trials(code, df, [{**(base or {}), **c} for c in combinations(grid)], folds, scoring, seed, parallelism)
+    return run_trials(code, df, [{**(base or {}), **c} for c in combinations(grid)], folds, scoring, seed, parallelism, sides)
 
 
 def _d(df: DataFrame) -> int:
@@ -163,7 +175,7 @@ def draw_trials(code: str, n: int, seed: int) -> list[dict]:
 
 def random_search(
     code: str, df: DataFrame, n_trials: int = fv.DEFAULT_TRIALS, folds: int = fv.DEFAULT_FOLDS, seed: int = 0,
-    scoring: str = "f1_weighted", parallelism: int = 2, limits: dict | None = None,
+    scoring: str = "f1_weighted", parallelism: int = 2, limits: dict | None = None, sides: Sides | None = None,
 ) -> Search:
     """Scores of randomly drawn parameters; `limits` caps values such as tree counts."""
     trials = draw_trials(code, n_trials, seed)
@@ -171,7 +183,7 @@ def random_search(
         for name, top in (limits or {}).items():
             if name in t and t[name] is not None:
                 t[name] = min(t[name], top)
-    return run_trials(code, df, trials, folds, scoring, seed, parallelism)
+    return run_trials(code, df, trials, folds, scoring, seed, parallelism, sides)
 
 
 def nested_cv(

@@ -362,26 +362,45 @@ k AS (SELECT t.iter, t.sample_id, t.label AS truth, arg_min(gi.label, {DISC}) AS
 SELECT iter, truth AS label, class AS prediction, count(*) AS n FROM k GROUP BY 1, 2, 3"""
 
 
-@query("i24_train_stand", f"""
-WITH {SCALED}, {STANDS.replace('s AS (' + inp.LINE + '), ', '')}, rs AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || stand_id)) AS rk FROM st),
+STAND_SIDES = f"""{SCALED}, {STANDS.replace('s AS (' + inp.LINE + '), ', '')}, rs AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || stand_id)) AS rk FROM st),
 i AS (SELECT CAST(unnest(generate_series(0, 1)) AS INTEGER) AS iter),
 w AS (SELECT label, iter, CAST(1 + CAST('0x' || left(md5('0|' || iter || '|' || label), 8) AS UBIGINT) % m AS BIGINT) AS rank FROM tot, i),
 h AS (SELECT w.iter, w.label, stand_id FROM w JOIN rs ON rs.label = w.label AND rs.rk = w.rank),
 zz AS (SELECT z.*, s.stand_id FROM z JOIN s ON s.sample_id = z.sample_id),
 tz AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id <> zz.stand_id),
-t AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id = zz.stand_id), {fold_gauss('0.01')}""")
+t AS (SELECT h.iter, zz.* FROM zz JOIN h ON h.label = zz.label AND h.stand_id = zz.stand_id)"""
+
+
+@query("i24_train_stand", f"WITH {STAND_SIDES}, {fold_gauss('0.01')}")
 def train_stand(spark, sf):
     s = inp.line_samples(spark, sf).select("sample_id", "label", F.slice("bands", 1, 2).alias("bands"), "stand_id")
     return train(s, code="GMM", split="STAND", max_iter=2, sloo=True, params={"tau": 0.01}).fold_cells.select("iter", "label", "prediction", "n")
 
 
-@query("i24_train_sloo", f"""
-WITH p AS (SELECT * FROM ({inp.GRID}) WHERE b1 <> -9999), bd AS (SELECT min(b1) l1, max(b1) h1, min(b2) l2, max(b2) h2 FROM p),
+SLOO_DRAWS = f"""p AS (SELECT * FROM ({inp.GRID}) WHERE b1 <> -9999), bd AS (SELECT min(b1) l1, max(b1) h1, min(b2) l2, max(b2) h2 FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || sample_id)) AS rk, count(*) OVER (PARTITION BY label) AS n FROM p),
 i AS (SELECT CAST(unnest(generate_series(0, 2)) AS INTEGER) AS iter), cn AS (SELECT label, count(*) AS n FROM p GROUP BY label),
 w AS (SELECT label, iter, CAST(1 + CAST('0x' || left(md5('0|' || iter || '|' || label), 8) AS UBIGINT) % n AS BIGINT) AS rank FROM cn, i),
 h AS (SELECT w.iter, r.label, r.sample_id, r.x AS px, r.y AS py FROM w JOIN r ON r.label = w.label AND r.rk = w.rank),
-sc AS (SELECT sample_id, label, x AS px, y AS py, 2 * (b1 - l1) / (h1 - l1) - 1 AS x, 2 * (b2 - l2) / (h2 - l2) - 1 AS y FROM p, bd),
+sc AS (SELECT sample_id, label, x AS px, y AS py, 2 * (b1 - l1) / (h1 - l1) - 1 AS x, 2 * (b2 - l2) / (h2 - l2) - 1 AS y FROM p, bd)"""
+
+
+def fold_means(place, tau):
+    """Mean accuracy over the iterations for one ridge."""
+    return f"""SELECT CAST({place} AS INTEGER) AS place, round(avg(accuracy), 6) AS mean_score FROM (
+  SELECT iter, sum(n) FILTER (label = prediction) / CAST(sum(n) AS DOUBLE) AS accuracy FROM (WITH {STAND_SIDES}, {fold_gauss(tau)}) GROUP BY iter)"""
+
+
+@query("i24_train_stand_search", f"{fold_means(0, '0.01')} UNION ALL {fold_means(1, '0.5')} UNION ALL {fold_means(2, '10')}")
+def train_stand_search(spark, sf):
+    """The ridge is chosen on the same stands that assess the model."""
+    s = inp.line_samples(spark, sf).select("sample_id", "label", F.slice("bands", 1, 2).alias("bands"), "stand_id")
+    found = train(s, code="GMM", split="STAND", max_iter=2, sloo=True, search="grid", grid={"tau": [0.01, 0.5, 10.0]}).search
+    return found.table(spark).select("place", F.round("mean_score", 6).alias("mean_score"))
+
+
+@query("i24_train_sloo", f"""
+WITH {SLOO_DRAWS},
 tz AS (SELECT h.iter, sc.label, sc.x, sc.y FROM sc JOIN h ON h.label = sc.label AND sqrt((sc.px - h.px) * (sc.px - h.px) + (sc.py - h.py) * (sc.py - h.py)) >= 10),
 t AS (SELECT h.iter, sc.* FROM sc JOIN h ON h.sample_id = sc.sample_id), {fold_gauss('0')}""")
 def train_sloo(spark, sf):
@@ -390,6 +409,18 @@ def train_sloo(spark, sf):
     return train(s, code="GMM", split="SLOO", max_iter=3, distance=10.0).fold_cells.select("iter", "label", "prediction", "n")
 
 
+@query("i24_train_sloo_min_train", f"""
+WITH {SLOO_DRAWS},
+dd AS (SELECT h.iter, sc.*, sqrt((sc.px - h.px) * (sc.px - h.px) + (sc.py - h.py) * (sc.py - h.py)) AS dist FROM sc JOIN h ON h.label = sc.label),
+dr AS (SELECT *, row_number() OVER (PARTITION BY iter, label ORDER BY dist DESC, md5('0|' || sample_id)) <= 20 AS drawn FROM dd),
+tz AS (SELECT iter, label, x, y FROM dr WHERE dist >= 10 AND NOT drawn), t AS (SELECT iter, sample_id, label, x, y FROM dr WHERE drawn), {fold_gauss('0')}""")
+def train_sloo_min_train(spark, sf):
+    """Per iteration the 20 samples of a class farthest from the drawn one are assessed."""
+    s = prepare.valid_pixels(inp.grid_pixels(spark, sf)).select("sample_id", "label", "bands", "x", "y")
+    result = train(s, code="GMM", split="SLOO", max_iter=3, distance=10.0, min_train=20)
+    return result.fold_cells.select("iter", "label", "prediction", "n")
+
+
 @query("i24_train_polygon_groups")
 def train_polygon_groups(spark, sf):
     s = inp.line_samples(spark, sf).select("sample_id", "label", "bands", "polygon_id")

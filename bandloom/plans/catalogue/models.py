@@ -269,9 +269,9 @@ def encode_labels(spark, sf):
     return labels.decode_labels(labels.encode_labels(s, codes), codes).select("sample_id", "label", "code", "decoded")
 
 
-@query("train_assess_gmm", f"""
-WITH s AS ({inp.LINE}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || sample_id)) AS rk, count(*) OVER (PARTITION BY label) AS cn FROM s),
-o AS (SELECT *, rk <= floor(cn * (70 / 100e0)) AS train FROM r),
+def assess_sql(marked):
+    """Scores of a two-band Gaussian classifier from `o`, the samples of LINE with `train`; the others are assessed."""
+    return f"""WITH s AS ({inp.LINE}), {marked},
 bd AS (SELECT min(b1) l1, max(b1) h1, min(b2) l2, max(b2) h2 FROM o WHERE train),
 z AS (SELECT sample_id, label, train, 2 * (b1 - l1) / (h1 - l1) - 1 AS x, 2 * (b2 - l2) / (h2 - l2) - 1 AS y FROM o, bd),
 {gauss_sql('(SELECT * FROM z WHERE train)')},
@@ -279,8 +279,24 @@ k AS (SELECT t.sample_id, t.label AS truth, arg_min(gi.label, {DISC}) AS class F
 c AS (SELECT DISTINCT truth AS class FROM k UNION SELECT DISTINCT class FROM k),
 m AS (SELECT class, (SELECT count(*) FROM k WHERE truth = c.class) AS r, (SELECT count(*) FROM k WHERE k.class = c.class) AS p, (SELECT count(*) FROM k WHERE k.class = c.class AND truth = c.class) AS d FROM c),
 w AS (SELECT CAST(sum(r) AS DOUBLE) AS n, CAST(sum(d) AS DOUBLE) AS d, sum(CAST(r AS DOUBLE) * p) AS rc, avg(2e0 * d / (r + p)) AS f1 FROM m)
-SELECT CAST(n AS BIGINT) AS n, round(d / n, 6) AS overall_accuracy, round((n * d - rc) / (n * n - rc), 6) AS kappa, round(f1, 6) AS f1_mean FROM w""")
+SELECT CAST(n AS BIGINT) AS n, round(d / n, 6) AS overall_accuracy, round((n * d - rc) / (n * n - rc), 6) AS kappa, round(f1, 6) AS f1_mean FROM w"""
+
+
+def score_row(result):
+    return result.scores().select("n", *[R6(c).alias(c) for c in ("overall_accuracy", "kappa", "f1_mean")])
+
+
+@query("train_assess_gmm", assess_sql("""
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || sample_id)) AS rk, count(*) OVER (PARTITION BY label) AS cn FROM s),
+o AS (SELECT *, rk <= floor(cn * (70 / 100e0)) AS train FROM r)"""))
 def train_assess_gmm(spark, sf):
     samples = two_bands(inp.line_samples(spark, sf)).select("sample_id", "label", "bands")
-    result = train(samples, code="GMM", split=70, seed=42)
-    return result.scores().select("n", *[R6(c).alias(c) for c in ("overall_accuracy", "kappa", "f1_mean")])
+    return score_row(train(samples, code="GMM", split=70, seed=42))
+
+
+@query("i24_train_validation_table", assess_sql("o AS (SELECT *, stand_id % 3 <> 0 AS train FROM s)"))
+def train_validation_table(spark, sf):
+    """Samples of one set of stands train, a table of the other stands is assessed."""
+    lines = two_bands(inp.line_samples(spark, sf))
+    given, apart = (lines.filter(c).select("sample_id", "label", "bands") for c in (F.col("stand_id") % 3 != 0, F.col("stand_id") % 3 == 0))
+    return score_row(train(given, code="GMM", validation=apart))

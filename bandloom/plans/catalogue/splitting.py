@@ -111,6 +111,31 @@ def sloo_training(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("sample_id").alias("id_sum"))
 
 
+# Distance of every sample of a class to the one that was drawn.
+AWAY = f"""{HELD}, d AS (SELECT h.iter, h.label, h.sample_id AS held_out, r.sample_id, r.rk, sqrt((h.x - r.x) * (h.x - r.x) + (h.y - r.y) * (h.y - r.y)) AS dist
+  FROM h JOIN r ON r.label = h.label)"""
+
+
+@query("e7_sloo_min_train", f"""
+WITH {AWAY}, f AS (SELECT *, row_number() OVER (PARTITION BY iter, label ORDER BY dist DESC, md5('2|' || sample_id)) <= 25 AS drawn FROM d)
+SELECT iter, label, count(*) FILTER (dist >= 15 AND NOT drawn) AS n_train, count(*) FILTER (drawn) AS n_valid,
+  CAST(sum(sample_id) FILTER (drawn) AS BIGINT) AS valid_sum FROM f GROUP BY 1, 2""")
+def sloo_min_train(spark, sf):
+    return folds.sloo_sides(inp.grid_pixels(spark, sf), 15.0, max_iter=6, seed=2, min_train=25).sizes()
+
+
+@query("e7_sloo_share", f"""
+WITH {AWAY}, q AS (SELECT label, n, CAST(CAST('0x' || left(md5('2|moved|3|' || label), 8) AS UBIGINT) % n AS BIGINT) AS start,
+  greatest(0, CAST(floor(0.3e0 * n) AS BIGINT) - 1) AS quota FROM c),
+o AS (SELECT d.*, quota, row_number() OVER (PARTITION BY d.label, dist >= 15 ORDER BY (rk - 1 - start + n) % n) AS place FROM d JOIN q ON q.label = d.label WHERE iter = 3),
+f AS (SELECT *, CASE WHEN sample_id = held_out OR (dist >= 15 AND place <= quota) THEN 'valid' WHEN dist >= 15 THEN 'train' END AS role FROM o)
+SELECT label, role, count(*) AS n, CAST(sum(sample_id) AS BIGINT) AS id_sum FROM f WHERE role IS NOT NULL GROUP BY 1, 2""")
+def sloo_share(spark, sf):
+    sides = folds.sloo_sides(inp.grid_pixels(spark, sf), 15.0, max_iter=6, seed=2, min_train=0.3)
+    rows = [side(3).select("label", F.lit(role).alias("role"), "sample_id") for role, side in (("train", sides.training), ("valid", sides.validation))]
+    return rows[0].unionByName(rows[1]).groupBy("label", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("sample_id").alias("id_sum"))
+
+
 STANDS = f"s AS ({inp.LINE}), st AS (SELECT label, stand_id, count(*) AS n FROM s GROUP BY 1, 2), tot AS (SELECT label, CAST(sum(n) AS BIGINT) AS t, count(*) AS m FROM st GROUP BY label)"
 
 

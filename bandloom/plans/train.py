@@ -25,7 +25,11 @@ class TrainConfig:
     """Settings of a training run.
 
     split: a percentage of training rows, or `SLOO` / `STAND` to assess on
-    spatial folds after training on everything.
+    spatial folds after training on everything. Unused where `train` is given a
+    table of validation samples. A search under `SLOO` or `STAND` scores its trials on the
+    same spatial folds, otherwise on random or polygon folds of the training side.
+    min_train: for `SLOO`, the number (above 1) or share of a class that is held out
+    per iteration instead of one sample.
     search_rows: at most about this many labelled rows take part in the parameter
     search, with folds, grid and trials as asked; all rows by default.
     fast_mode: asks for fewer rows, folds, trials and grid values on large or very
@@ -50,6 +54,7 @@ class TrainConfig:
     class_weights: str | None = None
     distance: float | None = None
     max_iter: int | None = None
+    min_train: float | None = None
     sloo: bool = False
     legacy_order: bool = False  # bounds and oversampling before the split, leaking into the test side
 
@@ -84,38 +89,59 @@ def prepare_training(train: DataFrame, config: TrainConfig) -> tuple[DataFrame,
     return train, scaler
 
 
-def choose_params(train: DataFrame, config: TrainConfig) -> tuple[dict, tuning.Search | None]:
+def spatial_sides(samples: DataFrame, config: TrainConfig) -> folds.Sides:
+    """The iterations of `SLOO` or `STAND` over some samples."""
+    if config.split == "SLOO":
+        if config.distance is None:
+            raise ValueError("spatial folds need a distance")
+        # A number of held-out samples takes exactly so many; ties at the last distance are not added.
+        return folds.sloo_sides(samples, config.distance, config.max_iter, config.seed, config.min_train)
+    iterations = STAND_ITERATIONS if config.max_iter is None else config.max_iter
+    return folds.stand_sides(samples, iterations, config.sloo, config.seed)
+
+
+def choose_params(train: DataFrame, config: TrainConfig, sides: folds.Sides | None = None) -> tuple[dict, tuning.Search | None]:
+    """Parameters as given or as found; `sides` are the spatial folds of `train`."""
     if config.search == "none":
         return dict(config.params), None
     policy = sampling.fast_mode_policy(train, config.fast_mode, config.folds, config.trials).first()
     rows, limit = train, min(policy["search_rows"], config.search_rows or policy["samples"])
     if policy["samples"] > limit:
         rows = sampling.stratified_subset(train, limit, config.seed)
-    if config.polygon_groups:
+        sides = None if sides is None else spatial_sides(rows, config)
+    if config.polygon_groups and sides is None:
         folds.require_polygons(rows, policy["folds"])
         rows = folds.stratified_group_kfold(rows, policy["folds"], config.seed)
     if config.search == "random":
-        found = tuning.random_search(config.code, rows, policy["trials"], policy["folds"], config.seed)
+        found = tuning.random_search(config.code, rows, policy["trials"], policy["folds"], config.seed, sides=sides)
     else:
         d = prepare.band_count(rows)
         grid = config.grid or learners.default_grid(config.code, d)
         fast = policy["fast_mode"] and config.grid is None
-        found = tuning.grid_search(config.code, rows, grid, policy["folds"], config.params, seed=config.seed, fast=fast)
+        found = tuning.grid_search(config.code, rows, grid, policy["folds"], config.params, seed=config.seed, fast=fast, sides=sides)
     return found.best_params, found
 
 
-def train(samples: DataFrame, config: TrainConfig | None = None, **settings: Any) -> TrainResult:
+def clean_samples(samples: DataFrame, code: str) -> DataFrame:
+    clean = prepare.drop_nonfinite_labels(prepare.labelled_pixels(samples))
+    return prepare.impute_nonfinite(clean) if code != "GMM" else clean
+
+
+def train(samples: DataFrame, config: TrainConfig | None = None, validation: DataFrame | None = None, **settings: Any) -> TrainResult:
     """Clean, split, balance, scale, tune, fit and assess.
 
     `samples` has sample_id, bands and label, plus polygon_id for polygon folds,
-    stand_id for STAND and x, y for SLOO.
+    stand_id for STAND and x, y for SLOO. With `validation`, a table of other
+    samples (label, bands), all of `samples` trains and those are assessed, scaled by
+    the bounds of the training samples; classes that only they have count as errors.
     """
     config = config or TrainConfig(**settings)
     learners.checked(config.code)
-    clean = prepare.drop_nonfinite_labels(prepare.labelled_pixels(samples))
-    clean = prepare.impute_nonfinite(clean) if config.code != "GMM" else clean
+    clean = clean_samples(samples, config.code)
     spatial = config.split in ("SLOO", "STAND")
-    percent = 100.0 if spatial else float(config.split)
+    if spatial and validation is not None:
+        raise ValueError("a validation table and spatial folds assess in different ways; give one of them")
+    percent = 100.0 if spatial or validation is not None else float(config.split)
     # Counting, splitting, scaling, fitting and scoring each pass over the samples, and
     # labelled pixels lie in few tiles: even them out once, then keep them.
     kept = [clean.repartition("sample_id").persist(StorageLevel.MEMORY_AND_DISK)]
@@ -129,18 +155,25 @@ def train(samples: DataFrame, config: TrainConfig | None = None, **settings: Any
         else:
             marked = sampling.split_pixels(clean, percent, config.seed)
             fit_side, scaler = prepare_training(marked.filter("role = 'train'").drop("role"), config)
-        test = marked.filter("role = 'test'").drop("role")
-        if scaler and not config.legacy_order:
+        if validation is not None:
+            test = clean_samples(validation, config.code)
+        else:
+            test = marked.filter("role = 'test'").drop("role")
+        if scaler and (validation is not None or not config.legacy_order):
             test = scaler.transform(test)
         if spatial or config.search != "none" or config.use_smote:
             kept.append(fit_side.persist(StorageLevel.MEMORY_AND_DISK))
-        params, search = choose_params(fit_side, config)
+        sides = spatial_sides(fit_side, config) if spatial else None
+        if sides:
+            sides.marked = sides.marked.persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(sides.marked)
+        params, search = choose_params(fit_side, config, sides)
         fitted = learners.fit(config.code, fit_side, params, config.seed)
         cells = fold_cells = None
         if spatial:
-            fold_cells = assess_folds(fit_side, config, params)
+            fold_cells = assess_folds(sides, config, params)
             cells = fold_cells.groupBy("label", "prediction").agg(F.sum("n").alias("n"))
-        elif percent < 100:
+        elif percent < 100 or validation is not None:
             predicted = fitted.predict(test, ["label"]).withColumnRenamed("class", "prediction")
             counted = metrics.cell_counts(predicted)
             # Few cells: held here, so that reading them does not predict again.
@@ -153,29 +186,14 @@ def train(samples: DataFrame, config: TrainConfig | None = None, **settings: Any
     return TrainResult(fitted, scaler, params, cells, fold_cells, search, config)
 
 
-def assess_folds(samples: DataFrame, config: TrainConfig, params: dict) -> DataFrame:
+def assess_folds(sides: folds.Sides, config: TrainConfig, params: dict) -> DataFrame:
     """(iter, label, prediction, n): one model per spatial fold, scored on what it left out."""
-    if config.split == "SLOO":
-        if config.distance is None:
-            raise ValueError("spatial folds need a distance")
-        held, excluded = folds.sloo_folds(samples, config.distance, config.max_iter, config.seed)
-        held, excluded = held.persist(StorageLevel.MEMORY_AND_DISK), excluded.persist(StorageLevel.MEMORY_AND_DISK)
-    else:
-        iterations = STAND_ITERATIONS if config.max_iter is None else config.max_iter
-        held = folds.stand_folds(samples, iterations, config.sloo, seed=config.seed).persist(StorageLevel.MEMORY_AND_DISK)
     out = None
-    for i in [r[0] for r in held.select("iter").distinct().orderBy("iter").collect()]:
-        if config.split == "SLOO":
-            fit_side = folds.sloo_training(samples, excluded, i)
-            valid = held.filter(F.col("iter") == i)
-        else:
-            stands = held.filter(F.col("iter") == i).select("label", "stand_id")
-            fit_side = samples.join(stands, ["label", "stand_id"], "left_anti")
-            valid = samples.join(stands, ["label", "stand_id"], "left_semi")
-        model = learners.fit(config.code, fit_side, params, config.seed)
-        predicted = model.predict(valid, ["label"]).withColumnRenamed("class", "prediction")
+    for i in sides.iterations:
+        model = learners.fit(config.code, sides.training(i), params, config.seed)
+        predicted = model.predict(sides.validation(i), ["label"]).withColumnRenamed("class", "prediction")
         part = metrics.cell_counts(predicted).withColumn("iter", F.lit(i))
         out = part if out is None else out.unionByName(part)
     # The cells are few; kept so that later reads do not train again.
     rows = out.collect()
-    return samples.sparkSession.createDataFrame(rows, out.schema)
+    return out.sparkSession.createDataFrame(rows, out.schema)

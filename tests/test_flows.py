@@ -166,6 +166,9 @@ def test_prediction_needs_no_shuffle(grid, polygons):
     {"code": "GMM", "split": 70, "search": "grid", "grid": {"tau": [0.0, 0.1]}, "polygon_groups": True, "folds": 2},
     {"code": "GMM", "split": "STAND", "max_iter": 2},
     {"code": "GMM", "split": "SLOO", "distance": 1.5, "max_iter": 3},
+    {"code": "GMM", "split": "SLOO", "distance": 1.5, "max_iter": 2, "min_train": 3, "search": "grid", "grid": {"tau": [0.0, 0.1]}},
+    {"code": "KNN", "split": "SLOO", "distance": 1.5, "max_iter": 2, "min_train": 0.2, "search": "grid", "grid": {"n_neighbors": [1, 3]}},
+    {"code": "NB", "split": "STAND", "max_iter": 2, "sloo": True, "search": "grid", "grid": {"var_smoothing": [1e-9, 1e-3]}, "search_rows": 60},
 ])
 def test_training_modes(spark, settings):
     x, y = blobs(3, 40, 3)
@@ -178,6 +181,29 @@ def test_training_modes(spark, settings):
         assert result.fold_cells.select("iter").distinct().count() == settings["max_iter"]
 
 
+def test_validation_table(spark):
+    x, y = blobs(3, 40, 3)
+    other, truth = blobs(4, 15, 3, seed=1)
+    other[0, 0] = np.nan
+    result = train(samples(spark, x, y), code="NB", validation=samples(spark, other, truth), search="grid", grid={"var_smoothing": [1e-9, 1e-3]}, folds=2)
+    cells = {(r.label, r.prediction): r.n for r in result.cells.collect()}
+    assert sum(cells.values()) == 60 and {p for _, p in cells} <= {1, 2, 3}
+    assert sum(n for (label, _), n in cells.items() if label == 4) == 15 and cells[2, 2] == 15
+    with pytest.raises(ValueError):
+        train(samples(spark, x, y), code="NB", validation=samples(spark, other, truth), split="SLOO", distance=1.0)
+
+
+def test_spatial_search_scores_on_the_spatial_folds(spark):
+    x, y = blobs(2, 30, 2)
+    rows = [(i, int(c), [float(v) for v in r], i % 6) for i, (r, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "sample_id bigint, label int, bands array<double>, stand_id bigint")
+    result = train(df, code="GMM", split="STAND", sloo=True, max_iter=4, search="grid", grid={"tau": [0.0, 0.01]}, folds=2)
+    assert all(len(h["scores"]) == 4 for h in result.search.history)
+    right = {r.iter: r.n for r in result.fold_cells.filter("label = prediction").groupBy("iter").agg(F.sum("n").alias("n")).collect()}
+    best = result.search.best["scores"]
+    assert [round(s * 10) for s in best] == [right[i] for i in range(4)]
+
+
 def test_training_on_everything_assesses_nothing(spark):
     x, y = blobs(2, 10, 2)
     with pytest.raises(ValueError):

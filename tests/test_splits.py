@@ -1,10 +1,13 @@
-from collections import Counter
+import hashlib
+import math
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import samples
 from pyspark.sql import functions as F
 
-from bandloom.operators import folds, quality, sampling
+from bandloom.operators import folds, quality, sampling, spatial
 
 
 def features(spark, counts):
@@ -95,13 +98,82 @@ def test_sloo_default_is_strict(spark, line):
     assert kept.count() == line.count() - gone
 
 
-@pytest.mark.parametrize("min_train,want", [(4, lambda n: 4), (0.25, lambda n: int(n * 0.25))])
-def test_sloo_resized_sets_the_drawn_side(spark, line, min_train, want):
-    got = folds.sloo_resized(line, 2.0, min_train, seed=1)
-    for r in got.filter("role = 'valid'").groupBy("iter", "label").count().collect():
-        assert r["count"] == want(20 + r["label"])
-    twice = got.groupBy("iter", "sample_id").agg(F.countDistinct("role").alias("r")).filter("r > 1")
-    assert twice.count() == 0
+def slow_farthest(points, mine, center, want):
+    away = sorted(mine, key=lambda i: (-math.dist(points[i], center), hashlib.md5(f"1|{i}".encode()).hexdigest()))
+    return set(away[:want])
+
+
+def cloud(spark, n=3000):
+    """Three classes, one of them mostly on one place, one row without a position."""
+    rng = np.random.RandomState(4)
+    rows = [(i, 1 + i % 3, *(map(float, (7.0, 7.0) if i % 3 == 0 and i > 30 else np.round(rng.normal(0, 50, 2), 1)))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, 1, None, 1.0), (n + 1, 4, 0.0, 0.0)], "sample_id bigint, label int, x double, y double")
+
+
+def test_farthest_samples_equal_all_distances_sorted(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LEAF_ROWS", 8)
+    df = cloud(spark)
+    points = {r.sample_id: (r.x, r.y) for r in df.collect() if r.x is not None}
+    classes = {r.sample_id: r.label for r in df.collect()}
+    held = folds.sloo_held_out(df.filter("label < 4"), 4, seed=1)
+    held = held.unionByName(df.filter("label = 4").withColumn("iter", F.lit(0)), allowMissingColumns=True)
+    for want in (1, 5, 40):
+        got = defaultdict(set)
+        for r in spatial.farthest(df, held, want, 1).collect():
+            assert r.sample_id not in got[r.iter, r.label]
+            got[r.iter, r.label].add(r.sample_id)
+        for h in held.filter("x is not null").collect():
+            mine = [i for i in points if classes[i] == h.label]
+            assert got[h.iter, h.label] == slow_farthest(points, mine, (h.x, h.y), want)
+    tied = spatial.farthest(df, held, 2, 1, ties=True).groupBy("iter", "label").count()
+    assert tied.filter("count < 2 and label < 4").count() == 0
+
+
+def test_sides_with_a_number_of_held_out_samples(spark, line):
+    sides = folds.sloo_sides(line, 2.0, seed=1, min_train=4)
+    place = {r.sample_id: (r.label, r.x) for r in line.collect()}
+    drawn = {(r.iter, r.label): r.x for r in folds.sloo_held_out(line, None, seed=1).collect()}
+    for i in sides.iterations[:3]:
+        valid, train = sides.validation(i).collect(), {r.sample_id for r in sides.training(i).collect()}
+        for c in (1, 2, 3):
+            mine = {k: abs(x - drawn[i, c]) for k, (label, x) in place.items() if label == c}
+            held = {r.sample_id for r in valid if r.label == c}
+            assert len(held) == 4 and min(mine[k] for k in held) >= max(v for k, v in mine.items() if k not in held)
+            assert {k for k in train if place[k][0] == c} == {k for k, v in mine.items() if v > 2.0 and k not in held}
+    sizes = {(r.iter, r.label): (r.n_train, r.n_valid) for r in sides.sizes().collect()}
+    assert sizes[0, 1] == (sides.training(0).filter("label = 1").count(), 4)
+    both = folds.sloo_sides(line, 2.0, seed=1, min_train=4, sloo=False)
+    assert both.training(0).count() + both.validation(0).count() == line.count()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.25, 0.99])
+def test_sides_with_a_share_of_the_class(spark, line, share):
+    sides = folds.sloo_sides(line, 2.0, seed=1, min_train=share)
+    place = {r.sample_id: (r.label, r.x) for r in line.collect()}
+    drawn = {(r.iter, r.label): (r.sample_id, r.x) for r in folds.sloo_held_out(line, None, seed=1).collect()}
+    seen = []
+    for i in sides.iterations[:4]:
+        valid, train = {r.sample_id for r in sides.validation(i).collect()}, {r.sample_id for r in sides.training(i).collect()}
+        assert not valid & train
+        for c in (1, 2, 3):
+            own, x0 = drawn[i, c]
+            mine = [k for k, (label, _) in place.items() if label == c]
+            free = {k for k in mine if abs(place[k][1] - x0) > 2.0}
+            quota = min(max(0, int(share * len(mine)) - 1), len(free))
+            held = valid & set(mine)
+            assert own in held and held <= free | {own} and len(held) == quota + 1 and train & set(mine) == free - held
+        seen.append(frozenset(valid))
+    assert len(set(seen)) > 1
+
+
+def test_stand_sides(spark):
+    rows = [(i, 1 + i % 2, i % 12) for i in range(240)]
+    df = spark.createDataFrame(rows, "sample_id bigint, label int, stand_id bigint")
+    sides = folds.stand_sides(df, 3, seed=3)
+    held = {(r.iter, r.label): r.stand_id for r in folds.stand_folds(df, 3, True, seed=3).collect()}
+    for i in range(3):
+        assert {(r.label, r.stand_id) for r in sides.validation(i).collect()} == {(c, held[i, c]) for c in (1, 2)}
+        assert sides.training(i).count() == 200 and sides.training(i).columns == df.columns
 
 
 def test_stand_folds(spark):
