@@ -341,7 +341,9 @@ def predict(
     """
     keep = [c for c in df.columns if c != "bands"] if keep is None else list(keep)
     if fits_columns(model):
-        scored = df.select(*keep, F.array(*discriminant_columns(model, tau)).alias("_k"))
+        wrong = F.raise_error(F.concat(F.lit(f"{model.d} bands expected, found "), F.size("bands").cast("string")))
+        checked = df.withColumn("bands", F.when(F.col("bands").isNull() | (F.size("bands") == model.d), F.col("bands")).otherwise(wrong))
+        scored = checked.select(*keep, F.array(*discriminant_columns(model, tau)).alias("_k"))
         scored = scored.withColumn("_best", F.array_min("_k"))
         size = len(model.classes)
         limit = fv_limit()

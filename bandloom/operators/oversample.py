@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,31 @@ def neighbors_used(counts: dict, k: int) -> int:
     return max(1, smallest - 1) if smallest <= k else k
 
 
-def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0) -> DataFrame:
-    """(sample_id, label, bands, and what else a seed has) raising every class to the largest one.
+STRATEGIES = ("auto", "not majority", "minority", "not minority", "all")
+
+
+def class_targets(counts: Mapping[int, int], strategy: str | Mapping[int, int] = "auto") -> dict[int, int]:
+    """Rows every class shall have.
+
+    Named strategies raise classes to the size of the largest: all of them (`auto`,
+    `not majority`, `all`), only the smallest (`minority`; the smallest code wins ties) or
+    all but the smallest (`not minority`). A mapping gives the rows of the classes it names.
+    """
+    if isinstance(strategy, str):
+        if strategy not in STRATEGIES:
+            raise ValueError(f"unknown strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
+        most, least = max(counts.values()), min(counts, key=lambda c: (counts[c], c))
+        raised = {"minority": {least}, "not minority": set(counts) - {least}}.get(strategy, set(counts))
+        return {c: most if c in raised else n for c, n in counts.items()}
+    if unknown := sorted(set(strategy) - set(counts)):
+        raise ValueError(f"no samples of class {', '.join(map(str, unknown))}")
+    if fewer := sorted(c for c, n in strategy.items() if n < counts[c]):
+        raise ValueError(f"oversampling cannot leave fewer rows than there are: class {', '.join(map(str, fewer))}")
+    return {c: int(strategy.get(c, n)) for c, n in counts.items()}
+
+
+def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0, strategy: str | Mapping[int, int] = "auto") -> DataFrame:
+    """(sample_id, label, bands, and what else a seed has) raising every class to its target.
 
     Each sample of a minority class seeds its equal share of the missing rows;
     the remainder falls on the first samples in seeded order. A new row lies
@@ -35,12 +60,12 @@ def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0)
     """
     belongs = [c for c in BELONGS if c in df.columns]
     counts = count_map(df)
-    most = max(counts.values())
+    targets = class_targets(counts, strategy)
     k = neighbors_used(counts, k)
     d = band_count(df)
     parts = None
     for label, n in sorted(counts.items()):
-        need = most - n
+        need = targets[label] - n
         if need == 0:
             continue
         if n < 2:
@@ -84,16 +109,18 @@ def spread_copies(seeds: DataFrame, most: int) -> DataFrame:
     return chunked.withColumn("_copy", F.explode(F.sequence(first, last))).drop("_copies", "_chunk")
 
 
-def smote(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0) -> DataFrame:
+def smote(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0, strategy: str | Mapping[int, int] = "auto") -> DataFrame:
     """Original and synthetic samples together, marked by `synthetic`."""
     belongs = [c for c in BELONGS if c in df.columns]
     old = df.select(F.col("sample_id").cast("string").alias("sample_id"), "label", "bands", *belongs).withColumn("synthetic", F.lit(False))
-    return old.unionByName(synthetic_samples(df, k, seed).withColumn("synthetic", F.lit(True)))
+    return old.unionByName(synthetic_samples(df, k, seed, strategy).withColumn("synthetic", F.lit(True)))
 
 
-def smote_if_needed(df: DataFrame, threshold: float = fv.SMOTE_TRIGGER, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0) -> tuple[DataFrame, bool]:
+def smote_if_needed(
+    df: DataFrame, threshold: float = fv.SMOTE_TRIGGER, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0, strategy: str | Mapping[int, int] = "auto"
+) -> tuple[DataFrame, bool]:
     """SMOTE when max/min class size is above the threshold."""
     counts = count_map(df)
     if len(counts) < 2 or max(counts.values()) / min(counts.values()) <= threshold:
         return df, False
-    return smote(df, k, seed), True
+    return smote(df, k, seed, strategy), True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
@@ -17,6 +17,9 @@ from bandloom.functions import ordering as od
 from bandloom.operators import learners, metrics, neighbors
 from bandloom.operators.folds import Sides, stratified_kfold
 from bandloom.operators.labels import sorted_classes
+from bandloom.session import cut_lineage
+
+Resample = Callable[[DataFrame], DataFrame]
 
 SCORES = ("accuracy", "f1_weighted", "f1_macro")
 
@@ -91,10 +94,13 @@ def neighbor_scores(pairs: Sequence[tuple[DataFrame, DataFrame]], trials: list[d
 
 
 def run_trials(
-    code: str, df: DataFrame, trials: list[dict], folds: int, scoring: str, seed: int, parallelism: int, sides: Sides | None = None
+    code: str, df: DataFrame, trials: list[dict], folds: int, scoring: str, seed: int, parallelism: int, sides: Sides | None = None,
+    resample: Resample | None = None,
 ) -> Search:
     """Every trial on the same folds: those in `fold`, spatial ones in `sides`, or random ones.
 
+    `resample` changes the training side of a fold alone, once for all trials.
+
     Samples are kept in memory or on disk once; trials are independent jobs, a few of
     them at a time.
     """
@@ -108,6 +114,8 @@ def run_trials(
     try:
         if sides is None:
             pairs = number_sides(folded)
+        if resample is not None:
+            pairs = [(cut_lineage(resample(train), "resampled"), valid) for train, valid in pairs]
         if code == "KNN":
             results = neighbor_scores(pairs, trials, scoring)
         else:
@@ -126,13 +134,14 @@ def run_trials(
 def grid_search(
     code: str, df: DataFrame, grid: dict | None = None, folds: int = fv.DEFAULT_FOLDS, base: dict | None = None,
     scoring: str = "accuracy", seed: int = 0, fast: bool = False, parallelism: int = 2, sides: Sides | None = None,
+    resample: Resample | None = None,
 ) -> Search:
     """Cross-validated scores of all combinations; `base` holds fixed parameters."""
     learners.checked(code)
     grid = grid or learners.default_grid(code, _d(df))
     if fast:
         grid = learners.fast_grid(code, grid)
-    return run_trials(code, df, [{**(base or {}), **c} for c in combinations(grid)], folds, scoring, seed, parallelism, sides)
+    return run_trials(code, df, [{**(base or {}), **c} for c in combinations(grid)], folds, scoring, seed, parallelism, sides, resample)
 
 
 def _d(df: DataFrame) -> int:
@@ -176,6 +185,7 @@ def draw_trials(code: str, n: int, seed: int) -> list[dict]:
 def random_search(
     code: str, df: DataFrame, n_trials: int = fv.DEFAULT_TRIALS, folds: int = fv.DEFAULT_FOLDS, seed: int = 0,
     scoring: str = "f1_weighted", parallelism: int = 2, limits: dict | None = None, sides: Sides | None = None,
+    resample: Resample | None = None,
 ) -> Search:
     """Scores of randomly drawn parameters; `limits` caps values such as tree counts."""
     trials = draw_trials(code, n_trials, seed)
@@ -183,7 +193,7 @@ def random_search(
         for name, top in (limits or {}).items():
             if name in t and t[name] is not None:
                 t[name] = min(t[name], top)
-    return run_trials(code, df, trials, folds, scoring, seed, parallelism, sides)
+    return run_trials(code, df, trials, folds, scoring, seed, parallelism, sides, resample)
 
 
 def nested_cv(

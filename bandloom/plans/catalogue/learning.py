@@ -204,6 +204,22 @@ def smote(spark, sf):
     return both.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("i18_smote_points", f"""
+WITH q AS ({inp.EVENT}), c AS (SELECT label, count(*) AS n, max(count(*)) OVER () AS most, row_number() OVER (ORDER BY count(*), label) AS small FROM q GROUP BY label),
+w AS (SELECT label, n, most - n AS need FROM c WHERE small > 1 AND n < most),
+r AS (SELECT q.*, need // n + CASE WHEN row_number() OVER (PARTITION BY q.label ORDER BY md5('3|' || sample_id)) <= need % n THEN 1 ELSE 0 END AS copies FROM q JOIN w ON w.label = q.label),
+s AS (SELECT * FROM r WHERE copies > 0),
+p AS (SELECT s.sample_id, o.b1, o.b2, row_number() OVER (PARTITION BY s.sample_id ORDER BY (o.b1 - s.b1) * (o.b1 - s.b1) + (o.b2 - s.b2) * (o.b2 - s.b2), o.sample_id) - 1 AS nth
+  FROM s JOIN q o ON o.label = s.label AND o.sample_id <> s.sample_id QUALIFY nth < 5),
+m AS (SELECT s.*, unnest(generate_series(1, copies)) AS copy FROM s), h AS (SELECT *, md5('3|' || sample_id || '|' || copy) AS h FROM m),
+u AS (SELECT *, CAST('0x' || left(md5(h), 8) AS UBIGINT) / 4294967296e0 AS part, CAST('0x' || left(h, 6) AS UBIGINT) % 5 AS pick FROM h)
+SELECT u.sample_id || '#' || copy AS sample_id, label, round(u.b1 + part * (p.b1 - u.b1), 6) AS b1, round(u.b2 + part * (p.b2 - u.b2), 6) AS b2
+FROM u JOIN p ON p.sample_id = u.sample_id AND p.nth = pick""")
+def smote_points(spark, sf):
+    made = oversample.smote(inp.event_samples(spark, sf), seed=3, strategy="not minority").filter("synthetic")
+    return made.select("sample_id", "label", *[F.round(F.col("bands")[i], 6).alias(f"b{i + 1}") for i in range(2)])
+
+
 # Every synthetic point must lie between a seed of its class and another row of it.
 @query("g1_append_synthetic", f"""
 WITH q AS ({inp.QUAL}), c AS (SELECT label, count(*) AS n FROM q GROUP BY label), r AS (SELECT label, min(b1) AS lo, max(b1) AS hi FROM q GROUP BY label)

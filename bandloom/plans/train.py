@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -28,6 +29,9 @@ class TrainConfig:
     spatial folds after training on everything. Unused where `train` is given a
     table of validation samples. A search under `SLOO` or `STAND` scores its trials on the
     same spatial folds, otherwise on random or polygon folds of the training side.
+    use_smote: oversample the training side as `smote_strategy` says. A search
+    oversamples the training side of each of its folds, so that no fold is scored on
+    rows made from, or into, its training rows.
     min_train: for `SLOO`, the number (above 1) or share of a class that is held out
     per iteration instead of one sample.
     search_rows: at most about this many labelled rows take part in the parameter
@@ -51,6 +55,7 @@ class TrainConfig:
     search_rows: int | None = None
     polygon_groups: bool = False
     use_smote: bool = False
+    smote_strategy: str | Mapping[int, int] = "auto"
     class_weights: str | None = None
     distance: float | None = None
     max_iter: int | None = None
@@ -76,17 +81,23 @@ class TrainResult:
         return metrics.overall_scores(self.cells)
 
 
+def oversampled(train: DataFrame, config: TrainConfig) -> DataFrame:
+    made, _ = oversample.smote_if_needed(train, seed=config.seed, strategy=config.smote_strategy)
+    return made.drop("synthetic")
+
+
+def weighted(train: DataFrame, config: TrainConfig) -> DataFrame:
+    return learners.with_class_weights(config.code, train, config.class_weights) if config.class_weights else train
+
+
 def prepare_training(train: DataFrame, config: TrainConfig) -> tuple[DataFrame, Scaler | None]:
     """Oversample or weight the training side, then scale it by its own bounds."""
     if config.use_smote:
-        train, _ = oversample.smote_if_needed(train, seed=config.seed)
-        train = train.drop("synthetic")
+        train = oversampled(train, config)
     scaler = prepare.fit_scaler(train) if config.scale else None
     if scaler:
         train = scaler.transform(train)
-    if config.class_weights:
-        train = learners.with_class_weights(config.code, train, config.class_weights)
-    return train, scaler
+    return weighted(train, config), scaler
 
 
 def spatial_sides(samples: DataFrame, config: TrainConfig) -> folds.Sides:
@@ -100,8 +111,10 @@ def spatial_sides(samples: DataFrame, config: TrainConfig) -> folds.Sides:
     return folds.stand_sides(samples, iterations, config.sloo, config.seed)
 
 
-def choose_params(train: DataFrame, config: TrainConfig, sides: folds.Sides | None = None) -> tuple[dict, tuning.Search | None]:
-    """Parameters as given or as found; `sides` are the spatial folds of `train`."""
+def choose_params(
+    train: DataFrame, config: TrainConfig, sides: folds.Sides | None = None, resample: tuning.Resample | None = None
+) -> tuple[dict, tuning.Search | None]:
+    """Parameters as given or as found; `sides` are the spatial folds of `train`, `resample` what is done to training sides."""
     if config.search == "none":
         return dict(config.params), None
     policy = sampling.fast_mode_policy(train, config.fast_mode, config.folds, config.trials).first()
@@ -113,12 +126,12 @@ def choose_params(train: DataFrame, config: TrainConfig, sides: folds.Sides | No
         folds.require_polygons(rows, policy["folds"])
         rows = folds.stratified_group_kfold(rows, policy["folds"], config.seed)
     if config.search == "random":
-        found = tuning.random_search(config.code, rows, policy["trials"], policy["folds"], config.seed, sides=sides)
+        found = tuning.random_search(config.code, rows, policy["trials"], policy["folds"], config.seed, sides=sides, resample=resample)
     else:
         d = prepare.band_count(rows)
         grid = config.grid or learners.default_grid(config.code, d)
         fast = policy["fast_mode"] and config.grid is None
-        found = tuning.grid_search(config.code, rows, grid, policy["folds"], config.params, seed=config.seed, fast=fast, sides=sides)
+        found = tuning.grid_search(config.code, rows, grid, policy["folds"], config.params, seed=config.seed, fast=fast, sides=sides, resample=resample)
     return found.best_params, found
 
 
@@ -154,7 +167,8 @@ def train(samples: DataFrame, config: TrainConfig | None = None, validation: Dat
             fit_side = marked.filter("role = 'train'").drop("role")
         else:
             marked = sampling.split_pixels(clean, percent, config.seed)
-            fit_side, scaler = prepare_training(marked.filter("role = 'train'").drop("role"), config)
+            train_side = marked.filter("role = 'train'").drop("role")
+            fit_side, scaler = prepare_training(train_side, config)
         if validation is not None:
             test = clean_samples(validation, config.code)
         else:
@@ -167,7 +181,12 @@ def train(samples: DataFrame, config: TrainConfig | None = None, validation: Dat
         if sides:
             sides.marked = sides.marked.persist(StorageLevel.MEMORY_AND_DISK)
             kept.append(sides.marked)
-        params, search = choose_params(fit_side, config, sides)
+        if config.use_smote and config.search != "none" and not config.legacy_order:
+            plain = scaler.transform(train_side) if scaler else train_side
+            plain_sides = spatial_sides(plain, config) if spatial else None
+            params, search = choose_params(plain, config, plain_sides, lambda side: weighted(oversampled(side, config), config))
+        else:
+            params, search = choose_params(fit_side, config, sides)
         fitted = learners.fit(config.code, fit_side, params, config.seed)
         cells = fold_cells = None
         if spatial:

@@ -275,6 +275,47 @@ def test_many_copies_are_spread(spark, monkeypatch):
     assert {(r[0], r[1]) for r in got.collect()} == {(1, i) for i in range(1, 31)} | {(2, i) for i in range(1, 8)} | {(3, 1)}
 
 
+def test_smote_targets():
+    counts = {1: 50, 2: 20, 3: 20, 4: 50}
+    for strategy, want in {
+        "auto": {1: 50, 2: 50, 3: 50, 4: 50}, "not majority": {1: 50, 2: 50, 3: 50, 4: 50}, "all": {1: 50, 2: 50, 3: 50, 4: 50},
+        "minority": {1: 50, 2: 50, 3: 20, 4: 50}, "not minority": {1: 50, 2: 20, 3: 50, 4: 50},
+    }.items():
+        assert oversample.class_targets(counts, strategy) == want
+    assert oversample.class_targets(counts, {2: 33, 1: 50}) == {1: 50, 2: 33, 3: 20, 4: 50}
+    for wrong in ("most", {2: 19}, {9: 4}):
+        with pytest.raises(ValueError):
+            oversample.class_targets(counts, wrong)
+
+
+def test_smote_to_given_counts(spark):
+    x = np.random.RandomState(0).uniform(size=(60, 2))
+    both = oversample.smote(samples(spark, x, [1] * 40 + [2] * 12 + [3] * 8), seed=2, strategy={2: 30, 3: 9})
+    assert {r["label"]: r["count"] for r in both.groupBy("label").count().collect()} == {1: 40, 2: 30, 3: 9}
+
+
+def test_search_resamples_training_sides_alone(spark):
+    x = np.random.RandomState(0).normal(size=(60, 2))
+    df = samples(spark, x, [1] * 48 + [2] * 12).withColumn("fold", (F.col("sample_id") % 3).cast("int"))
+    seen = []
+
+    def resample(side):
+        seen.append({r.label: r["count"] for r in side.groupBy("label").count().collect()})
+        return oversample.smote(side, seed=1).drop("synthetic")
+
+    found = tuning.grid_search("NB", df, {"var_smoothing": [1e-9, 1e-3]}, 3, resample=resample)
+    assert seen == [{1: 32, 2: 8}] * 3
+    model = learners.fit("NB", oversample.smote(df.filter("fold <> 1").drop("fold"), seed=1).drop("synthetic"), {"var_smoothing": 1e-9}, 0)
+    assert found.history[0]["scores"][1] == tuning.score(model.predict(df.filter("fold = 1"), ["label"]))
+
+
+def test_rows_with_other_band_counts_are_refused(spark):
+    x, y = blobs(2, 20, 3)
+    model = gaussian.fit_gaussian(samples(spark, x, y))
+    with pytest.raises(Exception, match="3 bands expected, found 4"):
+        gaussian.predict(samples(spark, np.ones((2, 4)), [1, 2]), model).collect()
+
+
 def test_smote_only_if_needed(spark):
     even = samples(spark, np.zeros((20, 2)), [1] * 10 + [2] * 10)
     assert oversample.smote_if_needed(even) == (even, False)
