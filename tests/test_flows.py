@@ -168,6 +168,7 @@ def test_prediction_needs_no_shuffle(grid, polygons):
     {"code": "GMM", "split": "SLOO", "distance": 1.5, "max_iter": 3},
     {"code": "GMM", "split": "SLOO", "distance": 1.5, "max_iter": 2, "min_train": 3, "search": "grid", "grid": {"tau": [0.0, 0.1]}},
     {"code": "KNN", "split": "SLOO", "distance": 1.5, "max_iter": 2, "min_train": 0.2, "search": "grid", "grid": {"n_neighbors": [1, 3]}},
+    {"code": "GMM", "split": "STAND", "max_iter": 2, "sloo": True, "use_smote": True, "smote_strategy": {3: 70}, "search": "grid", "grid": {"tau": [0.0, 0.1]}},
     {"code": "NB", "split": "STAND", "max_iter": 2, "sloo": True, "search": "grid", "grid": {"var_smoothing": [1e-9, 1e-3]}, "search_rows": 60},
 ])
 def test_training_modes(spark, settings):
