@@ -84,6 +84,19 @@ def group_kfold(spark, sf):
     return folds.group_folds(inp.line_samples(spark, sf), 3, seed=5)
 
 
+@query("e6_group_fold_samples", f"""
+WITH s AS ({inp.LINE}), c AS (SELECT polygon_id, label, count(*) AS n FROM s GROUP BY 1, 2),
+g AS (SELECT polygon_id, CAST(sum(n) AS BIGINT) AS size, arg_max(label, n * 1000 - label) AS main FROM c GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY main ORDER BY size DESC, md5('5|' || polygon_id)) - 1 AS p FROM g),
+f AS (SELECT polygon_id, CAST(CASE WHEN (p // 3) % 2 = 0 THEN p % 3 ELSE 2 - p % 3 END AS INTEGER) AS fold FROM r)
+SELECT fold, label, count(*) AS n, count(DISTINCT s.polygon_id) AS polygons, CAST(sum(s.polygon_id) AS BIGINT) AS polygon_sum
+FROM s JOIN f ON f.polygon_id = s.polygon_id GROUP BY 1, 2""")
+def group_fold_samples(spark, sf):
+    folded = folds.stratified_group_kfold(inp.line_samples(spark, sf), 3, seed=5)
+    return folded.groupBy("fold", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("polygon_id").alias("polygons"), F.sum("polygon_id").alias("polygon_sum"))
+
+
 HELD = f"""
 p AS ({inp.GRID}), r AS ({rank_sql('SELECT * FROM p', 'label', 2, 'sample_id')}),
 i AS (SELECT CAST(unnest(generate_series(0, 5)) AS INTEGER) AS iter), c AS (SELECT label, count(*) AS n FROM p GROUP BY label),
