@@ -126,25 +126,29 @@ def label_names(polygons: DataFrame, manual: dict[int, str] | None = None) -> Da
 
 
 def near_join(
-    left: DataFrame, right: DataFrame, coords: Sequence[str], radius: float, on: Sequence[str] = (), copy: bool = False
+    left: DataFrame, right: DataFrame, coords: Sequence[str], radius: float, on: Sequence[str] = (), copy: bool = False, width: int = 1
 ) -> DataFrame:
     """Rows of both sides within `radius`, columns renamed a_* and b_*.
 
     `left` should be the smaller side: it is copied to its neighbouring cells.
-    Cells have the size of the radius, so the equi-join sees every neighbour. With
-    `copy` a left side of checked size is broadcast and `right` is not shuffled.
+    Cells have the size of the radius, so the equi-join sees every neighbour. Cells
+    `width` (2 or more) times as wide need fewer copies, only to the cells that the
+    radius reaches. With `copy` a left side of checked size is broadcast and `right`
+    is not shuffled; otherwise both are, for the copies are more than Spark expects.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("bigint")
+    cell = lambda c: F.floor(F.col(c) / F.lit(float(radius) * width)).cast("bigint")
     names = [f"_c{i}" for i in range(len(coords))]
-    around = F.array(*[
-        F.struct(*[(cell(c) + F.lit(o)).alias(n) for c, o, n in zip(coords, offset, names)])
-        for offset in product((-1, 0, 1), repeat=len(coords))
-    ])
+    offsets = product((-1, 0, 1) if width == 1 else (-1, 1), repeat=len(coords))
+    reached = lambda c, o: F.floor((F.col(c) + F.lit(o * float(radius) * (1 + 1e-9))) / F.lit(float(radius) * width)).cast("bigint")
+    place = (lambda c, o: cell(c) + F.lit(o)) if width == 1 else reached
+    around = F.array_distinct(F.array(*[
+        F.struct(*[place(c, o).alias(n) for c, o, n in zip(coords, offset, names)]) for offset in offsets
+    ]))
     a = left.withColumn("_near", F.explode(around)).select(
         *on, *[F.col(f"_near.{n}").alias(n) for n in names], *[F.col(c).alias(f"a_{c}") for c in left.columns if c not in on]
     )
     local = small_or_none(a) if copy else None
-    a = a if local is None else F.broadcast(local)
+    a = a.hint("merge") if local is None else F.broadcast(local)
     b = right.select(
         *on, *[cell(c).alias(n) for c, n in zip(coords, names)], *[F.col(c).alias(f"b_{c}") for c in right.columns if c not in on]
     )
@@ -173,7 +177,7 @@ def geodesic_pairs(samples: DataFrame, radius: float, on: Sequence[str] = ()) ->
     """Geodesic distances in metres up to `radius`; x is longitude, y latitude."""
     px, py, pz = geo.geocentric(F.col("x"), F.col("y"))
     p = positions(samples, ["x", "y"], on).select("*", px.alias("gx"), py.alias("gy"), pz.alias("gz"))
-    pairs = near_join(p, p, ["gx", "gy", "gz"], radius, on).filter(F.col("a_sample_id") < F.col("b_sample_id"))
+    pairs = near_join(p, p, ["gx", "gy", "gz"], radius, on, width=3).filter(F.col("a_sample_id") < F.col("b_sample_id"))
     exact = geo.geodesic(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"))
     return (
         pairs.select(*on, "a_sample_id", "b_sample_id", "a_copies", "b_copies", exact.alias("distance"))

@@ -64,12 +64,23 @@ def great_circle(spark, sf):
         "a_sample_id", "b_sample_id", F.round(haversine(F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y")), 3).alias("distance"))
 
 
-# Within these latitudes the rows of pixels are 1106 m apart, the columns at most 1114 m.
+def around_earth(spark, sf):
+    """The orders raster wound around the earth, a hundredth of a degree per pixel.
+
+    Rows run east and columns north. A turn of 36,000 rows ends two degrees farther
+    north, so turns stay apart and the raster may have a million rows before it
+    leaves the latitudes (57 degrees) where only its grid neighbours are near.
+    """
+    row, col = F.col("row"), F.col("col")
+    return inp.grid_pixels(spark, sf).withColumn("x", (row + 0.5) / 100).withColumn("y", (col + 0.5) / 100 + row / 18000)
+
+
+# Within these latitudes neighbours are 606 to 1114 m apart, other pixels at least 1210 m.
 @query("c5_geodesic_pairs", f"""
 WITH p AS ({inp.GRID}) SELECT a.label, a.sample_id AS a_sample_id, b.sample_id AS b_sample_id
 FROM p a JOIN p b ON a.label = b.label AND a.sample_id < b.sample_id AND abs(b."row" - a."row") + abs(b."col" - a."col") = 1 AND b."row" BETWEEN a."row" AND a."row" + 1""")
 def geodesic_pairs(spark, sf):
-    return spatial.geodesic_pairs(on_earth(spark, sf), 1200.0, ["label"]).select("label", "a_sample_id", "b_sample_id")
+    return spatial.geodesic_pairs(around_earth(spark, sf), 1200.0, ["label"]).select("label", "a_sample_id", "b_sample_id")
 
 
 def held_by_hash(spark, sf):

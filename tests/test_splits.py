@@ -8,6 +8,7 @@ from helpers import samples
 from pyspark.sql import functions as F
 
 from bandloom.operators import folds, quality, sampling, spatial
+from bandloom.plans.catalogue import places
 
 
 def features(spark, counts):
@@ -199,3 +200,17 @@ def test_fast_mode(spark):
     row = sampling.fast_mode_policy(small).first()
     assert row["fast_mode"] and row["folds"] == 2 and row["trials"] == 25
     assert not sampling.fast_mode_policy(small, enabled=False).first()["fast_mode"]
+
+
+def test_geodesic_pairs_of_a_tall_raster_are_its_grid_neighbours(spark, tmp_path):
+    # Rows near 9,000 lay at a pole, rows near 36,000 where the raster began.
+    keys = [k for start in (0, 899_500, 3_599_500, 9_000_000) for k in range(start, start + 700)]
+    rows = [(k, k % 7, "O", 1.0, f"{k // 3 % 2 + 1}-X") for k in keys]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    label = lambda k: k // 3 % 2 + 1
+    held = set(keys)
+    want = {(label(k), k, n) for k in keys for n in (k + 100, k + 1) if n in held and label(k) == label(n) and (n == k + 100 or n % 100)}
+    got = places.geodesic_pairs(spark, str(tmp_path))
+    assert len(want) > 2000 and sorted(map(tuple, got.collect())) == sorted(want)
+    # The copies of a point are many times what Spark expects, so they are never broadcast.
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
