@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bandloom.functions.matrix import matrix
 from bandloom.functions.ordering import seeded_hash
@@ -23,6 +24,16 @@ BROADCAST_DOUBLES = 8_000_000
 # Rows of one block pair of the partitioned join.
 BLOCK_ROWS = 20_000
 PIVOTS = 256
+# Rows of a leaf, and leaves and queries measured against each other at once: 16 MB.
+LEAF_ROWS = 512
+TILE_LEAVES = 16
+QUERY_ROWS = 256
+# With few bands small blocks of queries meet few leaves.
+FEW_BANDS, FEW_QUERY_ROWS = 8, 32
+# Doubles of queries that are ordered together.
+GATHERED_DOUBLES = 200_000
+# Rows of one batch of queries that are sent to blocks.
+SENT_ROWS = 16_384
 
 
 def neighbor_type(refs: DataFrame) -> str:
@@ -34,28 +45,95 @@ def plain_ids(ids: np.ndarray) -> np.ndarray:
     return ids.astype(str) if ids.dtype == object else ids
 
 
-def closest(q: np.ndarray, r: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def leaf_order(x: np.ndarray, size: int) -> np.ndarray:
+    """Places of the rows, halved along the widest band until stretches of `size` rows lie close together."""
+    done, open_ = [], [np.arange(len(x))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= size:
+            done.append(at)
+            continue
+        rows = x[at]
+        band = (rows.max(axis=0) - rows.min(axis=0)).argmax()
+        # Whole leaves on the left side, so that only the last leaf is short.
+        half = max(1, round(len(at) / size / 2)) * size
+        cut = np.argpartition(rows[:, band], half - 1)
+        open_ += [at[cut[half:]], at[cut[:half]]]
+    return np.concatenate(done) if done else np.empty(0, int)
+
+
+@dataclass
+class Leaves:
+    """References in leaf order, with their places in the table and the bounds of every leaf."""
+
+    x: np.ndarray
+    norms: np.ndarray
+    places: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @classmethod
+    def of(cls, r: np.ndarray) -> Leaves:
+        # Rows that are not finite have no distance and are nobody's neighbour.
+        finite = np.flatnonzero(np.isfinite(r).all(axis=1))
+        places = finite[leaf_order(r[finite], LEAF_ROWS)]
+        x = r[places]
+        starts = np.arange(0, len(x), LEAF_ROWS)
+        low, high = (f.reduceat(x, starts, axis=0) if len(x) else x for f in (np.minimum, np.maximum))
+        return cls(x, (x * x).sum(axis=1), places, low, high)
+
+
+def closest(q: np.ndarray, r: np.ndarray | Leaves, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per query the k rows with the smallest (distance, id), distances exact.
 
-    A matrix product gives approximate distances; every row within its rounding
-    error of the k-th is then measured exactly.
+    Blocks of close queries meet the leaves of the references from near to far, a
+    tile of them at a time, until the next leaf lies beyond every k-th distance. A
+    matrix product gives approximate distances; every row within its rounding error
+    of the k-th is then measured exactly.
     """
-    out = []
-    if not len(r):
-        return [(np.empty(0, int), np.empty(0))] * len(q)
-    norms = (r * r).sum(axis=1)
-    scale = norms.max() if len(norms) else 0.0
-    for start in range(0, len(q), 256):
-        block = q[start : start + 256]
+    leaves = r if isinstance(r, Leaves) else Leaves.of(r)
+    out = [(np.empty(0, int), np.empty(0))] * len(q)
+    if not len(leaves.x):
+        return out
+    finite = np.flatnonzero(np.isfinite(q).all(axis=1))
+    scale = leaves.norms.max()
+    size = FEW_QUERY_ROWS if q.shape[1] <= FEW_BANDS else QUERY_ROWS
+    order = finite[leaf_order(q[finite], size)]
+    for start in range(0, len(order), size):
+        at = order[start : start + size]
+        block = q[at]
         own = (block * block).sum(axis=1)
-        rough = own[:, None] + norms[None, :] - 2.0 * (block @ r.T)
-        kth = np.partition(rough, min(k, len(r)) - 1, axis=1)[:, min(k, len(r)) - 1]
         slack = 1e-9 * (own + scale) + 1e-300
-        for i in range(len(block)):
-            near = np.flatnonzero(rough[i] <= kth[i] + slack[i])
-            exact = ((r[near] - block[i]) ** 2).sum(axis=1)
-            order = np.lexsort((ids[near], exact))[:k]
-            out.append((near[order], np.sqrt(exact[order])))
+        kept = [(np.empty(0, int), np.empty(0))] * len(block)
+        worst = np.full(len(block), np.inf)
+        gap = np.maximum(np.maximum(leaves.low - block.max(axis=0), block.min(axis=0) - leaves.high), 0.0)
+        gap = (gap * gap).sum(axis=1)
+        visit = np.argsort(gap, kind="stable")
+        done, tile = 0, 1
+        while done < len(visit) and gap[visit[done]] <= worst.max() * (1 + 1e-9):
+            rows = (visit[done : done + tile, None] * LEAF_ROWS + np.arange(LEAF_ROWS)).ravel()
+            rows = rows[rows < len(leaves.x)]
+            done, tile = done + tile, min(2 * tile, TILE_LEAVES)
+            x = leaves.x[rows]
+            rough = block @ x.T
+            rough *= -2.0
+            rough += own[:, None]
+            rough += leaves.norms[rows]
+            limit = worst
+            if not np.isfinite(worst).all():
+                last = min(k, len(rows)) - 1
+                limit = np.minimum(worst, np.partition(rough, last, axis=1)[:, last] if last == k - 1 else np.inf)
+            near = rough <= (limit + slack)[:, None]
+            for i in np.flatnonzero(near.any(axis=1)):
+                met = np.flatnonzero(near[i])
+                places = np.concatenate((kept[i][0], leaves.places[rows[met]]))
+                exact = np.concatenate((kept[i][1], ((x[met] - block[i]) ** 2).sum(axis=1)))
+                best = np.lexsort((ids[places], exact))[:k]
+                kept[i] = places[best], exact[best]
+                if len(best) == k:
+                    worst[i] = exact[best[-1]]
+        for i, (places, exact) in zip(at, kept):
+            out[i] = places, np.sqrt(exact)
     return out
 
 
@@ -74,19 +152,31 @@ def knn_join(queries: DataFrame, refs: DataFrame, k: int, d: int | None = None,
     return _blocked_join(queries, table, k, d, list(keep))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have `rows` rows, so that close queries are found together."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _copied_join(queries: DataFrame, refs: pa.Table, kind_out: str, k: int, d: int, keep: list[str]) -> DataFrame:
     batch = refs.combine_chunks().to_batches()
     r = matrix(batch[0], d) if batch else np.empty((0, d))
     ids = plain_ids(refs.column("sample_id").to_numpy()) if batch else np.empty(0, int)
     labels = refs.column("label").to_numpy() if batch else np.empty(0, int)
-    shared = queries.sparkSession.sparkContext.broadcast((r, ids, labels))
+    shared = queries.sparkSession.sparkContext.broadcast((Leaves.of(r), ids, labels))
     schema = T.StructType([queries.schema[c] for c in keep] + [T.StructField("neighbors", T.DataType.fromDDL(kind_out))])
 
     def run(batches):
         rr, rid, rlab = shared.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in _gathered(batches, max(1, GATHERED_DOUBLES // d)):
             found = closest(matrix(b, d), rr, rid, k)
             at = np.concatenate([a for a, _ in found])
             ends = np.concatenate([[0], np.cumsum([len(a) for a, _ in found])]).astype(np.int32)
@@ -162,20 +252,25 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
         for b in batches:
             if b.num_rows == 0:
                 continue
-            gap = _gaps(matrix(b, d), centers)
-            bound = np.empty(len(gap))
-            for i in range(len(gap)):
-                sums = (gap[i][:, None] + near).ravel()
-                bound[i] = np.partition(sums, k - 1)[k - 1] if sums.size >= k else np.inf
-            reach = gap - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-            row, col = np.nonzero(reach)
-            times = blocks[col]
-            row, col = np.repeat(row, times), np.repeat(col, times)
-            block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("qid").take(pa.array(row)), b.column("bands").take(pa.array(row)),
-                 pa.array(cells[col].astype(np.int32)), pa.array(block.astype(np.int32))],
-                names=["qid", "bands", "cell", "block"])
+            gaps = _gaps(matrix(b, d), centers)
+            # A query may go to every block, so few queries are spread at a time.
+            for start in range(0, len(gaps), QUERY_ROWS):
+                gap = gaps[start : start + QUERY_ROWS]
+                bound = np.empty(len(gap))
+                for i in range(len(gap)):
+                    sums = (gap[i][:, None] + near).ravel()
+                    bound[i] = np.partition(sums, k - 1)[k - 1] if sums.size >= k else np.inf
+                reach = gap - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
+                row, col = np.nonzero(reach)
+                times = blocks[col]
+                row, col = np.repeat(row + start, times), np.repeat(col, times)
+                block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.empty(0, int)
+                for cut in range(0, len(row), SENT_ROWS):
+                    part = slice(cut, cut + SENT_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("qid").take(pa.array(row[part])), b.column("bands").take(pa.array(row[part])),
+                         pa.array(cells[col[part]].astype(np.int32)), pa.array(block[part].astype(np.int32))],
+                        names=["qid", "bands", "cell", "block"])
 
     sent = cut_lineage(
         distinct.select("qid", "bands").mapInArrow(spread, "qid string, bands array<double>, cell int, block int"), "queries")
@@ -189,19 +284,20 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
         "share", F.explode(F.sequence(F.lit(0), shares_of[F.col("cell")] - 1))
     )
 
-    def pair(_, qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(rs):
-            return pd.DataFrame({"qid": [], "distance": [], "ref_id": [], "label": []})
-        ids, labels = plain_ids(rs["sample_id"].to_numpy()), rs["label"].to_numpy()
-        found = closest(np.stack(qs["bands"].to_numpy()), np.stack(rs["bands"].to_numpy()), ids, k)
-        at_all = np.concatenate([a for a, _ in found])
-        return pd.DataFrame({
-            "qid": np.repeat(qs["qid"].to_numpy(), [len(a) for a, _ in found]),
-            "distance": np.concatenate([x for _, x in found]), "ref_id": ids[at_all], "label": labels[at_all],
-        })
+    ref_kind = to_arrow_type(refs.schema["sample_id"].dataType)
+
+    def pair(qs: pa.Table, rs: pa.Table) -> pa.Table:
+        names, counts, at = ["qid", "distance", "ref_id", "label"], [], np.empty(0, int)
+        away, ids, labels = np.empty(0), np.empty(0, int), np.empty(0, int)
+        if len(qs) and len(rs):
+            ids, labels = plain_ids(rs.column("sample_id").to_numpy()), rs.column("label").to_numpy()
+            found = closest(*(matrix(t.combine_chunks().to_batches()[0], d) for t in (qs, rs)), ids, k)
+            counts, at, away = [len(a) for a, _ in found], *(np.concatenate(c) for c in zip(*found))
+        qids = pa.array(np.repeat(qs.column("qid").to_numpy(), counts) if len(at) else [], pa.string())
+        return pa.Table.from_arrays([qids, pa.array(away), pa.array(ids[at]).cast(ref_kind), pa.array(labels[at]).cast(pa.int32())], names=names)
 
     keys = ["cell", "block", "share"]
-    merged = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    merged = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         pair, f"qid string, distance double, ref_id {kind}, label int")
     best = Window.partitionBy("qid").orderBy("distance", "ref_id")
     top = merged.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= k)

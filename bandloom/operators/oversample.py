@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bandloom import fixed_values as fv
 from bandloom.functions import ordering as od
-from bandloom.functions.sizing import lookup_join
 from bandloom.operators.balance import count_map
 from bandloom.operators.neighbors import knn_join
 from bandloom.operators.prepare import band_count
@@ -76,15 +75,17 @@ def synthetic_samples(df: DataFrame, k: int = fv.SMOTE_NEIGHBORS, seed: int = 0,
         marked = od.below_cut(mine, "label", cuts, "sample_id", seed, "_more")
         seeds = marked.withColumn("_copies", F.lit(share) + F.when(F.col("_more"), 1).otherwise(0)).filter("_copies > 0")
         plain = mine.select("sample_id", "label", "bands")
-        found = knn_join(plain, plain, k + 1, d)
+        # Only samples that seed something need neighbours.
+        found = knn_join(seeds.select("sample_id", "bands"), plain, k + 1, d)
         others = F.slice(F.filter("neighbors", lambda e: e["ref_id"] != F.col("sample_id")), F.lit(1), F.lit(k))
         # The vectors of the neighbours travel with the seed, so that nothing has to be
         # joined once a seed has become many rows.
         links = found.select("sample_id", F.posexplode(F.transform(others, lambda e: e["ref_id"])).alias("_at", "_other"))
+        # Spark takes the lists for shorter than they are, so neither side is broadcast.
         ends = mine.select(F.col("sample_id").alias("_other"), F.col("bands").alias("_end"))
-        near = lookup_join(links, ends, ["_other"], "inner").groupBy("sample_id").agg(
+        near = links.join(ends.hint("merge"), "_other").groupBy("sample_id").agg(
             F.transform(F.sort_array(F.collect_list(F.struct("_at", "_end"))), lambda e: e["_end"]).alias("_ends"))
-        made = spread_copies(seeds.select("sample_id", "label", "bands", *belongs, "_copies").join(near, "sample_id"), share + 1)
+        made = spread_copies(seeds.select("sample_id", "label", "bands", *belongs, "_copies").join(near.hint("merge"), "sample_id"), share + 1)
         hashed = od.seeded_hash(seed, "sample_id", "_copy")
         chosen = made.select(
             "sample_id", "label", "bands", *belongs, "_copy", od.hash_unit(F.md5(hashed)).alias("_u"),

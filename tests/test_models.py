@@ -157,6 +157,33 @@ def test_blocked_neighbours_equal_brute_force_with_copies(spark, monkeypatch):
             assert np.allclose([e["distance"] for e in rows[i]], [d for d, _ in near])
 
 
+def test_neighbours_of_many_references_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.RandomState(1)
+    r = np.concatenate([rng.normal(size=(200_000, 2)), np.full((3, 2), 9.0), [[np.nan, 0.0]]])
+    q = np.concatenate([rng.normal(size=(256, 2)), np.full((1, 2), 9.0), [[0.0, np.inf]]])
+    tracemalloc.start()
+    found = neighbors.closest(q, r, np.arange(len(r))[::-1], 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # one block against all references alone takes 400 MB
+    assert found[256][0].tolist() == [200_002, 200_001, 200_000] and len(found[257][0]) == 0
+    for i in (0, 100, 255):
+        away = ((r[:-1] - q[i]) ** 2).sum(1)
+        assert found[i][0].tolist() == np.argsort(away)[:3].tolist() and np.allclose(found[i][1] ** 2, np.sort(away)[:3])
+
+
+def test_queries_reach_many_blocks_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(neighbors, "SENT_ROWS", 11)
+    rng = np.random.RandomState(3)
+    q, r = rng.uniform(size=(40, 12)), rng.uniform(size=(120, 12))
+    got = neighbors.knn_join(samples(spark, q, [1] * 40), samples(spark, r, [1] * 120), 4, 12, limit=1)
+    rows = {x["sample_id"]: [e["ref_id"] for e in x["neighbors"]] for x in got.collect()}
+    assert rows == {i: [j for _, j in near] for i, near in enumerate(brute(q, r, 4))}
+
+
 def test_vote_ties_go_to_the_smallest_class(spark):
     refs = samples(spark, [[0.0], [1.0], [1.0], [5.0]], [3, 2, 3, 2])
     got = neighbors.knn_predict(samples(spark, [[0.9]], [0]), refs, 4, 1, classes=[2, 3]).first()
