@@ -16,6 +16,8 @@ from bandloom.operators.learners import Fitted, SparkFitted, TreesFitted
 
 # Exact values need 2^bands coalitions; beyond this, ask for random orders.
 EXACT_BANDS = 16
+# Sums of a sample (classes times bands) that are kept in one row.
+WIDE_SUMS = 64
 AGGREGATES = ("mean_abs", "mean", "max_abs")
 
 
@@ -64,30 +66,52 @@ def shapley_values(
 
     Bands inside a coalition come from the sample, the others from at most
     `background_limit` background rows, the bound on what every task holds. All
-    samples are explained unless `sample_limit` is given. All mixed rows go through the model in one job; their weighted sums
-    are the attributions.
+    samples are explained unless `sample_limit` is given. All mixed rows go through the
+    model in one job, where they lie; what is shuffled are the weighted sums, one row
+    per sample. The empty coalition is the same for all samples and the full one
+    for all background rows, so these are predicted once.
     """
     spark, d = samples.sparkSession, model.d
     table = coalitions(d, permutations, seed)
+    full, empty = (next(i for i, members, _ in table if set(members) == {m}) for m in (True, False))
     spots = spark.createDataFrame(table, "cid int, members array<boolean>, weights array<double>")
     ground = draw_table(background if background is not None else samples, background_limit, f"{seed}|ground").collect()
     others = spark.createDataFrame([(i, list(r["bands"])) for i, r in enumerate(ground)], "bid int, other array<double>")
+    base = model.predict(others.select("bid", F.col("other").alias("bands")), ["bid"], probability=True).select("probability").collect()
+    base = np.mean([r["probability"] for r in base], axis=0) if base else np.zeros(len(model.classes))
     picked = draw_table(samples, sample_limit, seed)
+    # Large tables are read in many parts already.
+    if picked.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        picked = picked.repartition("sample_id")
     spread = (
         picked.withColumn("cid", F.explode(F.sequence(F.lit(0), F.lit(len(table) - 1))))
-        .repartition("sample_id", "cid")
-        .withColumn("bid", F.explode(F.sequence(F.lit(0), F.lit(len(ground) - 1))))
+        .filter(F.col("cid") != empty)
+        .withColumn("bid", F.explode(F.when(F.col("cid") == full, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(max(len(ground) - 1, 0))))))
         .join(F.broadcast(spots), "cid")
         .join(F.broadcast(others), "bid")
     )
     mixed = F.transform("bands", lambda v, i: F.when(F.get("members", i), v).otherwise(F.get("other", i)))
-    scored = model.predict(spread.select("sample_id", "cid", "bid", mixed.alias("bands")), ["sample_id", "cid", "bid"], probability=True)
-    codes = F.array(*[F.lit(c) for c in model.classes])
-    long = scored.select("sample_id", "cid", F.explode(F.arrays_zip(codes.alias("class"), "probability")).alias("e"))
-    values = long.groupBy("sample_id", "cid", F.col("e.class").alias("class")).agg(F.avg("e.probability").alias("v"))
-    shares = values.join(F.broadcast(spots.select("cid", "weights")), "cid").select(
-        "sample_id", "class", "v", F.posexplode("weights").alias("at", "w"))
-    return shares.groupBy("sample_id", "class", (F.col("at") + 1).alias("band")).agg(F.sum(F.col("w") * F.col("v")).alias("value"))
+    scored = model.predict(spread.select("sample_id", "cid", mixed.alias("bands")), ["sample_id", "cid"], probability=True)
+    share = F.when(F.col("cid") == full, 1.0).otherwise(1.0 / max(len(ground), 1))
+    scored = scored.join(F.broadcast(spots.select("cid", "weights")), "cid")
+    # Rows that repeat an id count as one.
+    copies = F.sum(F.when(F.col("cid") == full, 1).otherwise(0))
+    cell = lambda j, i, v: F.struct(
+        F.lit(model.classes[j]).alias("class"), F.lit(i + 1).alias("band"), (v + float(table[empty][2][i] * base[j])).alias("value"))
+    places = [(j, i) for j in range(len(model.classes)) for i in range(d)]
+    if len(places) <= WIDE_SUMS:
+        sums = scored.groupBy("sample_id").agg(
+            copies.alias("_n"), *[F.sum(share * F.col("weights")[i] * F.col("probability")[j]).alias(f"_{j}_{i}") for j, i in places])
+        cells = F.array(*[cell(j, i, F.col(f"_{j}_{i}") / F.col("_n")) for j, i in places])
+        return sums.select("sample_id", F.explode(cells).alias("e")).select("sample_id", "e.*")
+    long = scored.select("sample_id", "cid", "weights", F.posexplode("probability").alias("j", "p")).select(
+        "sample_id", "cid", "j", "p", F.posexplode("weights").alias("i", "w"))
+    values = long.groupBy("sample_id", "j", "i").agg((F.sum(share * F.col("w") * F.col("p")) / copies).alias("v"))
+    codes, start = (F.array(*[F.lit(v) for v in vs]) for vs in (model.classes, map(float, base)))
+    first = F.array(*[F.lit(v) for v in table[empty][2]])
+    return values.select(
+        "sample_id", F.get(codes, F.col("j")).alias("class"), (F.col("i") + 1).alias("band"),
+        (F.col("v") + F.get(first, F.col("i")) * F.get(start, F.col("j"))).alias("value"))
 
 
 def has_paths(model: Fitted) -> bool:

@@ -3,7 +3,7 @@ import pytest
 from helpers import blobs, samples
 from pyspark.sql import functions as F
 
-from bandloom.operators import bayes, gaussian, learners, neighbors, oversample, prepare, tuning
+from bandloom.operators import bayes, explain, gaussian, learners, neighbors, oversample, prepare, tuning
 from bandloom.sources import models
 
 
@@ -355,3 +355,36 @@ def test_bands_far_from_zero_keep_their_variance(spark):
     x = np.random.RandomState(2).normal(scale=np.sqrt(2), size=(400, 3)) + 1e8
     model = gaussian.fit_gaussian(samples(spark, x, np.ones(400, int)))
     assert np.allclose(model.cov[0], np.cov(x.T, bias=True), atol=1e-6) or np.allclose(model.cov[0], np.cov(x.T), atol=1e-6)
+
+
+class Recorded(learners.Fitted):
+    """Two classes; the first one's probability is a product of the two bands. Keeps what it was asked."""
+
+    code, classes, d = "TEST", [1, 2], 2
+
+    def __init__(self):
+        self.asked = []
+
+    def predict(self, df, keep, probability=False):
+        self.asked.append(df)
+        p = F.col("bands")[0] * F.col("bands")[1]
+        return df.select(*keep, F.lit(1).alias("class"), p.alias("confidence"), F.array(p, 1 - p).alias("probability"))
+
+
+@pytest.mark.parametrize("wide", [64, 0])
+def test_attributions_mix_rows_where_they_lie(spark, monkeypatch, wide):
+    monkeypatch.setattr(explain, "WIDE_SUMS", wide)
+    rng = np.random.RandomState(4)
+    x = rng.uniform(size=(30, 2))
+    df = samples(spark, [*x, x[7]], [1] * 31).repartition(6).withColumn("sample_id", F.least("sample_id", F.when(F.col("sample_id") == 30, 7).otherwise(99)))
+    model, ground = Recorded(), samples(spark, x[:5], [1] * 5)
+    got = {(r["sample_id"], r["class"], r["band"]): r["value"] for r in explain.shapley_values(model, df, ground).collect()}
+    for i in range(30):
+        a, b, mean = x[i, 0], x[i, 1], (x[:5, 0] * x[:5, 1]).mean()
+        first = (a * x[:5, 1].mean() - mean + a * b - b * x[:5, 0].mean()) / 2
+        assert got[i, 1, 1] == pytest.approx(first) and got[i, 2, 1] == pytest.approx(-first)
+        assert got[i, 1, 2] == pytest.approx(a * b - mean - first)
+    assert len(got) == 30 * 4
+    # 31 samples with 5 background rows for two coalitions and one row for the full one.
+    mixed = model.asked[-1]
+    assert mixed.count() == 31 * (2 * 5 + 1)
