@@ -13,7 +13,7 @@ CLASS_LIMIT = 65_536
 BROADCAST_ROWS = 200_000
 SALTS = 32
 # Rows up to which a lookup table is copied once per salt.
-SALTED_ROWS = 20_000_000
+SALTED_ROWS = 500_000
 
 
 class TooLarge(ValueError):

@@ -61,6 +61,8 @@ def group_folds(samples: DataFrame, k: int, seed: int = 0, group: str = "polygon
     per_group = per_class.groupBy(group).agg(
         F.sum("n").alias("size"), F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("main")
     )
+    # Counted and ranked from here on, so that the samples are read once.
+    per_group = cut_lineage(per_group, "groups")
     found = per_group.count()
     k = max(2, found) if found < k else k
     ranked = od.lead_rank(per_group, ["main"], "size", group, seed, "_rank")
@@ -72,7 +74,7 @@ def group_folds(samples: DataFrame, k: int, seed: int = 0, group: str = "polygon
 
 def stratified_group_kfold(samples: DataFrame, k: int, seed: int = 0, group: str = "polygon_id") -> DataFrame:
     """Samples with the fold of their polygon."""
-    folds = group_folds(samples, k, seed, group).select(group, "fold")
+    folds = cut_lineage(group_folds(samples, k, seed, group).select(group, "fold"), "folds")
     return lookup_join(samples, folds, [group], "inner")
 
 

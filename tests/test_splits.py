@@ -214,3 +214,19 @@ def test_geodesic_pairs_of_a_tall_raster_are_its_grid_neighbours(spark, tmp_path
     assert len(want) > 2000 and sorted(map(tuple, got.collect())) == sorted(want)
     # The copies of a point are many times what Spark expects, so they are never broadcast.
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_group_folds_read_the_samples_no_more_than_needed(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(i):
+        read.add(1)
+        return i
+
+    df = spark.range(400).select(F.col("id").alias("sample_id"), seen("id").alias("_i"), (F.col("id") % 3).cast("int").alias("label"))
+    df = df.withColumn("polygon_id", F.floor(F.col("_i") / 4))
+    got = folds.stratified_group_kfold(df.select("sample_id", "label", "polygon_id"), 3, seed=5).collect()
+    assert len(got) == 400 and all(len({r["fold"] for r in got if r["polygon_id"] == p}) == 1 for p in range(100))
+    # Once for the groups; the join evaluates the function in its filter as well.
+    assert read.value <= 1200
