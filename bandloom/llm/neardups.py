@@ -1,10 +1,12 @@
 """Near-duplicate texts by exact Jaccard similarity of word shingles.
 
-Pairs at the limit of 0.8 lie up to a dozen bits of a 64-bit SimHash apart, where
-shared bits rule out no pair of groups any more. So candidates come from MinHash
-bands: two texts at the limit miss each other in every band with probability
-(1 - 0.8^4)^24, about 3 in a million, and pairs above it less. Every link is
-verified on the shingle sets.
+SimHashes (of the same shingles) within two bits are found by the Gray-order index of
+`simhash`. Pairs at
+the limit of 0.8 lie up to a dozen bits apart, where shared bits rule out no pair of
+groups any more. So further candidates come from MinHash bands: two texts at the
+limit miss each other in every band with probability (1 - 0.8^4)^24, about 3 in a
+million, and pairs above it less. Every link, by either way, is verified on the
+shingle sets.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bandloom.llm.components import components
+from bandloom.llm.simhash import bit_counts, fingerprint_links, majority
 from bandloom.llm.words import SPACES
 from bandloom.session import cut_lineage
 
@@ -33,7 +36,9 @@ _rng = np.random.RandomState(7)
 _FLIP, _TIMES = (_rng.randint(0, 1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.int64).astype(np.uint64) for _ in range(2))
 _TIMES = _TIMES * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 2048
+# Hashes that are mixed, and whose bits are counted, at once.
+_CHUNK = 512
+_BITS_AT_ONCE = 1 << 15
 
 
 def normal_text(text: Column) -> Column:
@@ -41,8 +46,8 @@ def normal_text(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), SPACES, " ")))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles of a normal text; a shorter text is one shingle, an empty one none."""
+def shingle_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the 5-word shingles of a normal text, repeats included; a shorter text is one shingle, an empty one none."""
     words = text.encode("utf-8", "surrogatepass").split(b" ") if text else []
     if not words:
         return np.empty(0, dtype=np.uint64)
@@ -52,7 +57,18 @@ def shingle_set(text: str) -> np.ndarray:
     ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
     starts = [0, *[e + 1 for e in ends[:-1]]]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64))
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[SHINGLE - 1 :])], dtype=np.uint64)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted distinct hashes of a normal text."""
+    return np.unique(shingle_hashes(text))
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of the shingle hashes of a text, zero without any."""
+    counts = sum((bit_counts(hashes[at : at + _BITS_AT_ONCE]) for at in range(0, len(hashes), _BITS_AT_ONCE)), np.zeros(64, np.int64))
+    return int(np.uint64(majority(counts, len(hashes))).view(np.int64))
 
 
 def band_keys(grams: np.ndarray) -> list[int]:
@@ -60,9 +76,13 @@ def band_keys(grams: np.ndarray) -> list[int]:
     if not len(grams):
         return []
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    space, high = np.empty((2, BANDS * BAND_ROWS, min(_CHUNK, len(grams))), dtype=np.uint64)
     for at in range(0, len(grams), _CHUNK):
-        mixed = (grams[None, at : at + _CHUNK] ^ _FLIP) * _TIMES
-        mixed ^= mixed >> np.uint64(32)
+        part = grams[None, at : at + _CHUNK]
+        mixed, upper = space[:, : part.shape[1]], high[:, : part.shape[1]]
+        np.bitwise_xor(part, _FLIP, out=mixed)
+        mixed *= _TIMES
+        mixed ^= np.right_shift(mixed, np.uint64(32), out=upper)
         mixed *= _MIX
         least = np.minimum(least, mixed.min(axis=1))
     rows = least.reshape(BANDS, BAND_ROWS)
@@ -78,9 +98,15 @@ def similar(a: np.ndarray, b: np.ndarray, limit: float = JACCARD) -> bool:
     return both >= limit * (len(a) + len(b) - both) - 1e-9
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(text: pd.Series) -> pd.Series:
-    return pd.Series([band_keys(shingle_set(t)) for t in text])
+@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def _sketch(text: pd.Series) -> pd.DataFrame:
+    """SimHash and band keys from one pass over the shingles."""
+    codes, bands = [], []
+    for t in text:
+        hashes = shingle_hashes(t)
+        codes.append(simhash(hashes))
+        bands.append(band_keys(np.unique(hashes)))
+    return pd.DataFrame({"code": np.array(codes, dtype=np.int64), "bands": pd.Series(bands, dtype=object)})
 
 
 @F.pandas_udf(T.BinaryType())
@@ -132,11 +158,21 @@ def _all_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["a", "b"])
 
 
+def fingerprint_pairs(nodes: DataFrame, bits: int = 2) -> DataFrame:
+    """Rows (a, b) of the nodes of (node, code) whose SimHashes differ in at most `bits` bits.
+
+    Nodes of one code meet at the smallest of them; the index joins different codes.
+    """
+    codes = cut_lineage(nodes.groupBy("code").agg(F.min("node").alias("least")), "codes")
+    same = nodes.join(codes, "code").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(fingerprint_links(codes.select("code", F.col("least").alias("node")), bits))
+
+
 def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (a, b) that connect the nodes of (node, bands) as all similar candidate pairs do.
+    """Rows (a, b) that connect the nodes of (node, code, bands) as all similar candidate pairs do.
 
-    `texts` has rows (node, text), those of one node with the same normal text. Each
-    bucket is compared with its smallest node first. Buckets whose texts are one
+    `texts` has rows (node, text), those of one node with the same normal text. Pairs
+    with close SimHashes and each bucket with its smallest node are compared first. Buckets whose texts are one
     component by that are done; in the others every pair between different
     components is compared, block by block.
     """
@@ -145,11 +181,13 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     # Bands that gather the same texts are compared once.
     buckets = buckets.groupBy("m", "leader", "sign").agg(F.min("key").alias("key")).drop("sign")
     members = cut_lineage(bands.join(buckets, "key").select("key", "m", "leader", "node"), "members")
-    involved = cut_lineage(members.select("node").distinct(), "involved")
+    close = cut_lineage(fingerprint_pairs(nodes.select("node", "code")), "close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("node"))
+    involved = cut_lineage(members.select("node").unionByName(ends).distinct(), "involved")
     sets = texts.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = cut_lineage(sets.select("node", _sets("text").alias("grams")), "sets")
 
-    stars = members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    stars = members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(close).distinct()
     stars = stars.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     stars = stars.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     stars = cut_lineage(stars.filter(_near("x", "y")).select("a", "b"), "stars")
@@ -179,10 +217,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), normal_text(F.col(text_col)).alias("text"))
     marked = rows.withColumn("node", F.xxhash64("text"))
-    sketches = marked.select("node", "id", _bands("text").alias("bands"))
-    nodes = cut_lineage(sketches.groupBy("node").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "sketches")
+    sketches = marked.select("node", "id", _sketch("text").alias("sketch"))
+    nodes = sketches.groupBy("node").agg(F.min("id").alias("first"), F.first("sketch").alias("sketch")).select("node", "first", "sketch.*")
+    nodes = cut_lineage(nodes, "sketches")
     links = cut_lineage(near_links(nodes, marked.select("node", "text")), "found")
-    joined = nodes.drop("bands").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = nodes.drop("code", "bands").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("first").alias("least"), F.min("node").alias("lowest"))
     # Different texts may share the smallest id; then the lowest of their nodes stays.
     named = joined.join(least, "component").filter(F.col("first") == F.col("least")).groupBy("component").agg(F.min("node").alias("node"), F.first("least").alias("id"))

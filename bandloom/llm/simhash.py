@@ -34,6 +34,16 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCK = 1 << 15
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The code whose bits are those that over half of `n` hashes have."""
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of a text, unsigned.
 
@@ -55,10 +65,8 @@ def text_fingerprint(text: str | None, shingle: int = 3) -> int:
     for at in range(0, last, _BLOCK):
         to = min(at + _BLOCK, last)
         spans = zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist())
-        hashes = np.array([digest(joined[a:b], 42) for a, b in spans], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * counts > last).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+        counts += bit_counts(np.array([digest(joined[a:b], 42) for a, b in spans], dtype="<u8"))
+    return majority(counts, last)
 
 
 @F.pandas_udf(T.LongType())

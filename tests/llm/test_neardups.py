@@ -4,8 +4,10 @@ import itertools
 import random
 
 from cases import DOCUMENTS, components, no_documents, prose, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from bandloom.llm import neardups, simhash
 
 
 def slow_grams(text):
@@ -69,3 +71,20 @@ def test_documents_without_id_stay_once_per_group(spark):
     got = corpus_pipeline.simhash_dedup(spark, as_docs(spark, rows), "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["3", "3", "7", "None"]
     assert sum(r.doc_id is None and r.text in [t for i, t in rows[:3]] for r in got) == 1
+
+
+def test_close_simhashes_are_found_and_verified(spark, monkeypatch):
+    # Without any band only SimHash can bring texts together.
+    sketch = neardups._sketch
+    monkeypatch.setattr(neardups, "_sketch", lambda text: sketch(text).withField("bands", F.array().cast("array<bigint>")))
+    long = prose(85, 1500, 4000).split(" ")
+    near = " ".join([*long[:700], "new", *long[701:]])
+    filler = "same " * 80
+    rows = [(5, " ".join(long)), (6, near), (7, prose(86, 1500, 4000)), (8, filler + prose(87, 30)), (9, filler + prose(88, 30))]
+    code = {i: simhash.text_fingerprint(t, neardups.SHINGLE) for i, t in rows}
+    assert all(neardups.simhash(neardups.shingle_hashes(t)) % (1 << 64) == code[i] for i, t in rows)
+    # The last two have one SimHash but share hardly a shingle.
+    assert 0 < (code[5] ^ code[6]).bit_count() <= 2 and code[8] == code[9]
+    assert slow_kept(rows) == ([5, 7, 8, 9], 0)
+    got = corpus_pipeline.simhash_dedup(spark, as_docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == [5, 7, 8, 9]
