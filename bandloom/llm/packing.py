@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.llm.positions import cell_widths, order_key, running_sum
+from bandloom.llm.workers import freeing
 from bandloom.session import cut_lineage
 
 LIMIT = 4096
@@ -177,7 +178,7 @@ def _pieces(path: str, limit: int, end_id: int, keep_ids: bool):
             # Workers outlive their partitions; what they hold in between is small.
             coder(path).shrink(_IDLE_WORDS)
 
-    return run
+    return freeing(run)
 
 
 def token_pieces(

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bandloom.llm.workers import freeing
 from bandloom.session import cut_lineage
 
 WINDOW = 20
@@ -169,7 +170,7 @@ def _piece_rows(window: int, token: int):
                     "start": (start - begin[doc] + firsts[doc]).astype(np.int32), "windows": windows.astype(np.int32),
                 })
 
-    return run
+    return freeing(run)
 
 
 def _window_rows(window: int):
@@ -194,7 +195,7 @@ def _window_rows(window: int):
                 one, two = (_Sums(hashes, base).of(at, at + window).view(np.int64) for base in _BASES)
                 yield pd.DataFrame({"one": one, "two": two, "place": place[rows[doc]], "start": start.astype(np.int32)})
 
-    return run
+    return freeing(run)
 
 
 @F.pandas_udf(T.StructType([
