@@ -29,8 +29,11 @@ SHINGLE = 5
 JACCARD = 0.8
 BANDS = 24
 BAND_ROWS = 4
-# Texts of a bucket that meet in memory at once are two blocks at most.
-BLOCK = 64
+# Texts and shingle hashes of a block; two blocks at most meet in memory at once.
+BLOCK_TEXTS = 1024
+BLOCK_HASHES = 250_000
+# Cells of the table of texts and shingles that are multiplied at once: 16 MB.
+_CELLS = 1 << 22
 
 _rng = np.random.RandomState(7)
 _FLIP, _TIMES = (_rng.randint(0, 1 << 63, size=(BANDS * BAND_ROWS, 1), dtype=np.int64).astype(np.uint64) for _ in range(2))
@@ -119,12 +122,45 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=bool)
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many hashes each sorted set of one list shares with each of the other, or of the same list."""
+    sets = [*left, *(right or [])]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashes, at = np.unique(np.concatenate(sets), return_inverse=True)
+    # Hashes that no pair can share are left out.
+    seen = np.bincount(at[row < len(left)], minlength=len(hashes))
+    seen = seen > 1 if right is None else (seen > 0) & (seen < np.bincount(at, minlength=len(hashes)))
+    row, column = row[seen[at]], (np.cumsum(seen) - 1)[at[seen[at]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total, step = np.count_nonzero(seen), max(1, _CELLS // len(sets))
+    out = np.zeros((len(left), len(left if right is None else right)), dtype=np.int64)
+    for start in range(0, total, step):
+        part = slice(*np.searchsorted(column, (start, start + step)))
+        table = np.zeros((len(sets), min(step, total - start)), dtype=np.float32)
+        table[row[part], column[part] - start] = 1
+        out += (table[: len(left)] @ (table if right is None else table[len(left) :]).T).astype(np.int64)
+    return out
+
+
 def _group_links(rows: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links that join what the similar pairs of a pair of blocks join; known components are not compared again."""
-    sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
-    node, known, block = rows["node"].tolist(), rows["component"].tolist(), rows["block"].tolist()
+    """Links that join what the similar pairs of a pair of blocks join; texts of one known component are not linked again."""
+    sets = np.array([np.frombuffer(g, np.uint64) for g in rows["grams"]] + [None], dtype=object)[:-1]
+    node, block = rows["node"].to_numpy(), rows["block"].to_numpy()
+    names, known = np.unique(rows["component"].to_numpy(), return_inverse=True)
+    lo, hi = (np.flatnonzero(block == rows[side].iloc[0]) for side in ("lo", "hi"))
+    if not len(lo) or not len(hi):
+        return []
+    size = np.array([len(s) for s in sets])
     within = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-    parent = {c: c for c in known}
+    shared = common_counts(list(sets[lo]), None if within else list(sets[hi]))
+    near = shared >= JACCARD * (size[lo][:, None] + size[hi][None, :] - shared) - 1e-9
+    near &= (known[lo][:, None] != known[hi][None, :]) & (shared > 0)
+    i, j = np.nonzero(near)
+    a, b = known[lo][i], known[hi][j]
+    # One pair of texts is enough for a pair of components.
+    _, pick = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_index=True)
+    parent = list(range(len(names)))
 
     def find(c: int) -> int:
         while parent[c] != c:
@@ -133,11 +169,11 @@ def _group_links(rows: pd.DataFrame) -> list[tuple[int, int]]:
         return c
 
     out = []
-    for i in range(len(sets)):
-        for j in range(i):
-            if (within or block[i] != block[j]) and find(known[i]) != find(known[j]) and similar(sets[i], sets[j]):
-                parent[find(known[i])] = find(known[j])
-                out.append((node[i], node[j]))
+    for p in pick.tolist():
+        x, y = find(a[p]), find(b[p])
+        if x != y:
+            parent[x] = y
+            out.append((int(node[lo][i[p]]), int(node[hi][j[p]])))
     return out
 
 
@@ -174,18 +210,19 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     `texts` has rows (node, text), those of one node with the same normal text. Pairs
     with close SimHashes and each bucket with its smallest node are compared first. Buckets whose texts are one
     component by that are done; in the others every pair between different
-    components is compared, block by block.
+    components is compared, block by block, but none inside the largest component.
     """
     bands = nodes.select("node", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("sign")).filter("m > 1")
     # Bands that gather the same texts are compared once.
     buckets = buckets.groupBy("m", "leader", "sign").agg(F.min("key").alias("key")).drop("sign")
-    members = cut_lineage(bands.join(buckets, "key").select("key", "m", "leader", "node"), "members")
+    members = cut_lineage(bands.join(buckets, "key").select("key", "leader", "node"), "members")
     close = cut_lineage(fingerprint_pairs(nodes.select("node", "code")), "close")
     ends = close.select(F.explode(F.array("a", "b")).alias("node"))
     involved = cut_lineage(members.select("node").unionByName(ends).distinct(), "involved")
     sets = texts.join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = cut_lineage(sets.select("node", _sets("text").alias("grams")), "sets")
+    sets = sets.select("node", _sets("text").alias("grams")).withColumn("n", (F.octet_length("grams") / 8).cast("bigint"))
+    sets = cut_lineage(sets, "sets")
 
     stars = members.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).unionByName(close).distinct()
     stars = stars.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
@@ -193,15 +230,27 @@ def near_links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     stars = cut_lineage(stars.filter(_near("x", "y")).select("a", "b"), "stars")
 
     known = involved.join(components(stars), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    rows = cut_lineage(members.join(known, "node"), "known")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    differs = lambda *by: rows.groupBy(*by).agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select(*by)
-    rows = rows.join(differs("key"), "key")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    known = known.join(sets.select("node", "n"), "node")
+    rows = cut_lineage(members.select("key", "node").join(known, "node"), "known")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    # Pairs inside the largest component of a bucket need no comparison, so its texts meet only the others.
+    most = F.max(F.struct("m", "component", "n"))
+    parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("n").alias("n"), most.alias("main")).filter("parts > 1")
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK_TEXTS), F.ceil(n / BLOCK_HASHES)).cast("int")
+    one, main = blocks(F.col("m"), F.col("n")) == 1, F.col("main")
+    parts = parts.select(
+        "key", main["component"].alias("main"),
+        F.when(one, 1).otherwise(blocks(F.col("m") - main["m"], F.col("n") - main["n"])).alias("others"),
+        F.when(one, 0).otherwise(blocks(main["m"], main["n"])).alias("cores"))
+    rows = rows.join(parts, "key")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    core = (F.col("cores") > 0) & (F.col("component") == F.col("main"))
+    rows = rows.withColumn("block", F.when(core, F.col("others") + place(F.greatest("cores", F.lit(1)))).otherwise(place(F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(core, F.col("others")).otherwise(F.col("others") + F.col("cores")) - 1)))
     rows = rows.select("key", "node", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     rows = cut_lineage(rows, "blocks")
-    rows = rows.join(differs("key", "lo", "hi"), ["key", "lo", "hi"]).join(sets, "node")
+    mixed = rows.groupBy("key", "lo", "hi").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key", "lo", "hi")
+    rows = rows.join(mixed, ["key", "lo", "hi"]).join(sets.drop("n"), "node")
     rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return stars.unionByName(rows.mapInPandas(_all_links, "a bigint, b bigint"))
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from cases import DOCUMENTS, components, no_documents, prose, words
 from pyspark.sql import functions as F
 
@@ -88,3 +89,48 @@ def test_close_simhashes_are_found_and_verified(spark, monkeypatch):
     assert slow_kept(rows) == ([5, 7, 8, 9], 0)
     got = corpus_pipeline.simhash_dedup(spark, as_docs(spark, rows), "").collect()
     assert sorted(r.doc_id for r in got) == [5, 7, 8, 9]
+
+
+def copies_in_groups(rng):
+    """Copies of two texts, changed at one to eight of 12 places, so that buckets hold one large and many small groups."""
+    rows = []
+    for start, base in ((1000, prose(91, 120)), (2000, prose(92, 120))):
+        for i in range(220):
+            held = base.split(" ")
+            for at in rng.sample(range(4, 120, 10), rng.randint(1, 8)):
+                held[at] = f"x{rng.randint(0, 3)}"
+            rows.append((start + i, " ".join(held)))
+    return rows
+
+
+def test_rows_compared_do_not_grow_with_the_square_of_a_bucket(spark, monkeypatch):
+    written, cut = {}, neardups.cut_lineage
+    monkeypatch.setattr(neardups, "cut_lineage", lambda df, name="stage": written.setdefault(name, cut(df, name)))
+    rows = copies_in_groups(random.Random(3))
+    kept, _ = slow_kept(rows)
+    got = corpus_pipeline.simhash_dedup(spark, as_docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == kept and 20 < len(kept) < 400
+    mixed = written["blocks"].groupBy("key").count()
+    members = written["members"].join(mixed, "key")
+    assert mixed.agg(F.max("count")).first()[0] > 130
+    assert written["blocks"].count() == members.count()
+
+
+def test_many_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardups, "BLOCK_TEXTS", 16)
+    rows = copies_in_groups(random.Random(4))
+    kept, _ = slow_kept(rows)
+    got = corpus_pipeline.simhash_dedup(spark, as_docs(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == kept
+
+
+def test_shared_hashes_are_counted_in_chunks(monkeypatch):
+    monkeypatch.setattr(neardups, "_CELLS", 40)
+    rng = np.random.RandomState(1)
+    sets = [np.unique(rng.randint(0, 60, size=n).astype(np.uint64)) for n in (5, 30, 1, 0, 50, 17)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    # Hashes of one set alone are in no pair, so the diagonal is not asked for.
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (neardups.common_counts(sets)[off] == np.array(want)[off]).all()
+    assert (neardups.common_counts(sets[:2], sets[2:]) == np.array(want)[:2, 2:]).all()
+    assert (neardups.common_counts([sets[0][:0]], [sets[0][:0]]) == 0).all()
