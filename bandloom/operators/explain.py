@@ -125,23 +125,56 @@ def path_values(model: Fitted, samples: DataFrame, sample_limit: int | None = No
     a coalition follow both sides of a split in the shares of the training rows, so no
     background rows are needed; the work grows with the leaves, not with 2^bands.
     """
+    return trees.attribute(draw_table(samples, sample_limit, seed), model_paths(model, samples), model.d, model.classes)
+
+
+def model_paths(model: Fitted, samples: DataFrame) -> trees.Paths:
+    """The leaf table of a tree model."""
     if not has_paths(model):
         raise ValueError(f"{model.code} has no tree paths")
     if isinstance(model, TreesFitted):
-        paths = model.paths()
-    else:
-        grown = trees.forest_trees(samples.sparkSession, model.model)
-        paths = trees.leaf_paths(grown, 1 / len(grown))
-    return trees.attribute(draw_table(samples, sample_limit, seed), paths, model.d, model.classes)
+        return model.paths()
+    grown = trees.forest_trees(samples.sparkSession, model.model)
+    return trees.leaf_paths(grown, 1 / len(grown))
 
 
-def aggregate_attributions(values: DataFrame, how: str = "mean_abs") -> DataFrame:
-    """(band, importance): over classes, then over samples, scaled to sum 1."""
+def path_importance(model: Fitted, samples: DataFrame, how: str = "mean_abs", sample_limit: int | None = None, seed: int = 0) -> DataFrame:
+    """(band, importance) as `aggregate_attributions` makes it of `path_values`.
+
+    Classes are averaged where a row lies, so one row per sample is shuffled, not one per class and band.
+    """
+    checked_aggregate(how)
+    d, outputs = model.d, len(model.classes)
+    if d * outputs > WIDE_SUMS:
+        return aggregate_attributions(path_values(model, samples, sample_limit, seed), how)
+    rows = trees.attributed(draw_table(samples, sample_limit, seed), model_paths(model, samples), d, outputs)
+    sized = (lambda c: c) if how == "mean" else F.abs
+    bands = [sum((sized(F.col("values")[j * d + i]) for j in range(1, outputs)), sized(F.col("values")[i])) / outputs for i in range(d)]
+    # Rows that repeat an id count as one.
+    per_sample = rows.select("sample_id", *[b.alias(f"_{i}") for i, b in enumerate(bands)]).groupBy("sample_id").agg(
+        *[F.avg(f"_{i}").alias(f"_{i}") for i in range(d)])
+    over = F.max if how == "max_abs" else F.avg
+    sums = per_sample.agg(F.count(F.lit(1)).alias("_n"), *[over(f"_{i}").alias(f"_{i}") for i in range(d)]).filter("_n > 0")
+    cells = F.array(*[F.struct(F.lit(i + 1).alias("band"), F.col(f"_{i}").alias("_i")) for i in range(d)])
+    return shares(sums.select(F.explode(cells).alias("e")).select("e.*"))
+
+
+def checked_aggregate(how: str) -> None:
     if how not in AGGREGATES:
         raise ValueError(f"unknown aggregate {how!r}, use one of {', '.join(AGGREGATES)}")
+
+
+def aggregate_attributions(values: DataFrame, how: str = "mean_abs") -> DataFrame:
+    """(band, importance): over classes, then over samples, scaled to sum 1."""
+    checked_aggregate(how)
     v = F.col("value") if how == "mean" else F.abs("value")
     per_sample = values.groupBy("sample_id", "band").agg(F.avg(v).alias("_v"))
     joined = per_sample.groupBy("band").agg((F.max("_v") if how == "max_abs" else F.avg("_v")).alias("_i"))
+    return shares(joined)
+
+
+def shares(joined: DataFrame) -> DataFrame:
+    """(band, importance) of (band, _i), scaled to sum 1."""
     from bandloom.operators.balance import whole
 
     total = F.sum("_i").over(whole())
@@ -154,8 +187,9 @@ def shapley_importance(model: Fitted, samples: DataFrame, how: str = "mean_abs",
         method = "paths" if has_paths(model) and not options.keys() - {"sample_limit", "seed"} else "coalitions"
     if method not in ("paths", "coalitions"):
         raise ValueError(f"unknown method {method!r}")
-    values = path_values if method == "paths" else shapley_values
-    return aggregate_attributions(values(model, samples, **options), how)
+    if method == "paths":
+        return path_importance(model, samples, how, **options)
+    return aggregate_attributions(shapley_values(model, samples, **options), how)
 
 
 def rank_features(importance: DataFrame) -> DataFrame:

@@ -189,15 +189,19 @@ def path_attributions(paths: Paths, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def attribute(df: DataFrame, paths: Paths, d: int, classes: Sequence[int]) -> DataFrame:
-    """(sample_id, class, band, value) of every row, in one pass without a shuffle."""
+def attributed(df: DataFrame, paths: Paths, d: int, outputs: int) -> DataFrame:
+    """(sample_id, values) of every row, in one pass without a shuffle; the values of a class lie together, by band."""
     shared = df.sparkSession.sparkContext.broadcast(paths)
-    outputs = len(classes)
 
     def compute(x, _):
         return [path_attributions(shared.value, x).reshape(len(x), outputs * d)]
 
-    made = map_matrix(df, d, ["sample_id"], [field("values", "array<double>")], compute)
+    return map_matrix(df, d, ["sample_id"], [field("values", "array<double>")], compute)
+
+
+def attribute(df: DataFrame, paths: Paths, d: int, classes: Sequence[int]) -> DataFrame:
+    """(sample_id, class, band, value) of every row, in one pass without a shuffle."""
+    made = attributed(df, paths, d, len(classes))
     codes = F.array(*[F.lit(int(c)) for c in classes])
     long = made.select("sample_id", F.posexplode("values").alias("at", "value"))
     return long.select("sample_id", F.get(codes, F.floor(F.col("at") / d).cast("int")).alias("class"), (F.col("at") % d + 1).cast("int").alias("band"), "value")

@@ -231,3 +231,20 @@ def test_one_class_and_constant_bands(spark):
     for code in ("XGB", "CB", "GBC", "ET"):
         rows = learners.fit(code, df, {"iterations": 2} if code == "CB" else {"n_estimators": 2}).predict(df, ["label"]).collect()
         assert {(r["class"], r["confidence"]) for r in rows} == {(1, 1.0)}
+
+
+@pytest.mark.parametrize("how", explain.AGGREGATES)
+def test_importance_by_paths_shuffles_one_row_per_sample(spark, monkeypatch, how):
+    df, _, _ = noisy(spark, 120, 4, 3)
+    twice = df.unionByName(df.filter("sample_id < 9").withColumn("bands", F.transform("bands", lambda v: v + 1)))
+    fitted = learners.fit("XGB", df, {"n_estimators": 2, "max_depth": 2}, seed=1)
+    want = {r.band: r.importance for r in explain.aggregate_attributions(explain.path_values(fitted, twice), how).collect()}
+    short = explain.shapley_importance(fitted, twice, how, method="paths")
+    assert {r.band: r.importance for r in short.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 4
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    # What is summed per sample has not been written out per class and band.
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("MapInArrow") and "posexplode" not in plan
+    monkeypatch.setattr(explain, "WIDE_SUMS", 1)
+    wide = explain.shapley_importance(fitted, twice, how, method="paths")
+    assert {r.band: r.importance for r in wide.collect()} == pytest.approx(want, abs=1e-12)
+    assert explain.shapley_importance(fitted, df.filter("sample_id < 0"), how, method="paths").collect() == []
