@@ -21,15 +21,20 @@ from bandloom.session import cut_lineage
 
 # Doubles the reference side may hold to be copied to every task.
 BROADCAST_DOUBLES = 8_000_000
-# Rows of one block pair of the partitioned join.
+# Rows of one block pair of the partitioned join: queries, and references, of which
+# fewer fit with many bands. A larger block is searched faster per pair of rows.
 BLOCK_ROWS = 20_000
+REF_BLOCKS, REF_DOUBLES = 3, 4_000_000
+# Pairs of blocks below which blocks of queries are made smaller, down to an eighth.
+FEW_PAIRS = 64
 PIVOTS = 256
-# Rows of a leaf, and leaves and queries measured against each other at once: 16 MB.
+# Rows of a leaf, and leaves and queries measured against each other at once: 8 MB.
 LEAF_ROWS = 512
-TILE_LEAVES = 16
+TILE_LEAVES = 8
 QUERY_ROWS = 256
-# With few bands small blocks of queries meet few leaves.
+# With few bands small blocks of queries meet few leaves; with more, the first leaf says little.
 FEW_BANDS, FEW_QUERY_ROWS = 8, 32
+FIRST_LEAVES = 4
 # Doubles of queries that are ordered together.
 GATHERED_DOUBLES = 200_000
 # Rows of one batch of queries that are sent to blocks.
@@ -64,10 +69,12 @@ def leaf_order(x: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Leaves:
-    """References in leaf order, with their places in the table and the bounds of every leaf."""
+    """References in leaf order, with their places in the table and the bounds of every leaf.
+
+    The squared length of a row stands behind its bands, so that one product gives distances.
+    """
 
     x: np.ndarray
-    norms: np.ndarray
     places: np.ndarray
     low: np.ndarray
     high: np.ndarray
@@ -76,11 +83,14 @@ class Leaves:
     def of(cls, r: np.ndarray) -> Leaves:
         # Rows that are not finite have no distance and are nobody's neighbour.
         finite = np.flatnonzero(np.isfinite(r).all(axis=1))
-        places = finite[leaf_order(r[finite], LEAF_ROWS)]
-        x = r[places]
+        places = finite[leaf_order(r if len(finite) == len(r) else r[finite], LEAF_ROWS)]
+        d = r.shape[1]
+        x = np.empty((len(places), d + 1))
+        np.take(r, places, axis=0, out=x[:, :d], mode="clip")
+        np.einsum("ij,ij->i", x[:, :d], x[:, :d], out=x[:, d])
         starts = np.arange(0, len(x), LEAF_ROWS)
-        low, high = (f.reduceat(x, starts, axis=0) if len(x) else x for f in (np.minimum, np.maximum))
-        return cls(x, (x * x).sum(axis=1), places, low, high)
+        low, high = (f.reduceat(x[:, :d], starts, axis=0) if len(x) else x[:, :d] for f in (np.minimum, np.maximum))
+        return cls(x, places, low, high)
 
 
 def closest(q: np.ndarray, r: np.ndarray | Leaves, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -96,38 +106,38 @@ def closest(q: np.ndarray, r: np.ndarray | Leaves, ids: np.ndarray, k: int) -> l
     if not len(leaves.x):
         return out
     finite = np.flatnonzero(np.isfinite(q).all(axis=1))
-    scale = leaves.norms.max()
-    size = FEW_QUERY_ROWS if q.shape[1] <= FEW_BANDS else QUERY_ROWS
+    d = q.shape[1]
+    scale = leaves.x[:, d].max()
+    size, first = (FEW_QUERY_ROWS, 1) if d <= FEW_BANDS else (QUERY_ROWS, FIRST_LEAVES)
     order = finite[leaf_order(q[finite], size)]
     for start in range(0, len(order), size):
         at = order[start : start + size]
         block = q[at]
         own = (block * block).sum(axis=1)
         slack = 1e-9 * (own + scale) + 1e-300
+        # The product leaves out the squared length of the query, which every reference shares.
+        turned = np.concatenate((-2.0 * block, np.ones((len(block), 1))), axis=1)
         kept = [(np.empty(0, int), np.empty(0))] * len(block)
         worst = np.full(len(block), np.inf)
         gap = np.maximum(np.maximum(leaves.low - block.max(axis=0), block.min(axis=0) - leaves.high), 0.0)
         gap = (gap * gap).sum(axis=1)
         visit = np.argsort(gap, kind="stable")
-        done, tile = 0, 1
+        done, tile = 0, first
         while done < len(visit) and gap[visit[done]] <= worst.max() * (1 + 1e-9):
             rows = (visit[done : done + tile, None] * LEAF_ROWS + np.arange(LEAF_ROWS)).ravel()
             rows = rows[rows < len(leaves.x)]
             done, tile = done + tile, min(2 * tile, TILE_LEAVES)
             x = leaves.x[rows]
-            rough = block @ x.T
-            rough *= -2.0
-            rough += own[:, None]
-            rough += leaves.norms[rows]
-            limit = worst
+            rough = turned @ x.T
+            limit = np.where(np.isfinite(own), worst - own, np.inf)
             if not np.isfinite(worst).all():
                 last = min(k, len(rows)) - 1
-                limit = np.minimum(worst, np.partition(rough, last, axis=1)[:, last] if last == k - 1 else np.inf)
+                limit = np.minimum(limit, np.partition(rough, last, axis=1)[:, last] if last == k - 1 else np.inf)
             near = rough <= (limit + slack)[:, None]
             for i in np.flatnonzero(near.any(axis=1)):
                 met = np.flatnonzero(near[i])
                 places = np.concatenate((kept[i][0], leaves.places[rows[met]]))
-                exact = np.concatenate((kept[i][1], ((x[met] - block[i]) ** 2).sum(axis=1)))
+                exact = np.concatenate((kept[i][1], ((x[met, :d] - block[i]) ** 2).sum(axis=1)))
                 best = np.lexsort((ids[places], exact))[:k]
                 kept[i] = places[best], exact[best]
                 if len(best) == k:
@@ -202,13 +212,15 @@ def _top_copies(refs: DataFrame, k: int) -> DataFrame:
 
 
 def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: list[str]) -> DataFrame:
-    """References are cut into cells around pivots, cells into blocks.
+    """References are cut into cells around pivots, cells that lie close together make a
+    part, and a cell too large for one is cut into blocks.
 
     The k smallest pivot distances of every cell bound the k-th neighbour of a
-    query from above; cells that lie beyond the bound are skipped. Queries and
-    references of a cell meet in blocks of bounded size on both sides.
+    query from above; parts whose cells all lie beyond the bound are skipped. Queries and
+    references of a part meet in blocks of bounded size on both sides.
     """
-    refs = _top_copies(refs, k)
+    # Counted, drawn from and placed below, so written once to the shared folder.
+    refs = cut_lineage(_top_copies(refs, k), "thinned")
     pivot_count = max(8, min(PIVOTS, 4 * math.ceil(refs.count() / BLOCK_ROWS)))
     seeds = refs.select("bands", seeded_hash("pivot", "sample_id").alias("_h")).orderBy("_h").limit(pivot_count).collect()
     pivots = np.array([r["bands"] for r in seeds])
@@ -233,9 +245,11 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
     closest_first = Window.partitionBy("cell").orderBy("away", "sample_id")
     inner = placed.select("cell", "away", "sample_id").withColumn("_rn", F.row_number().over(closest_first)).filter(F.col("_rn") <= k)
     inner_rows = bounded_rows(inner.select("cell", "away"), PIVOTS * k)
+    stats = [stats[i] for i in leaf_order(pivots[[r["cell"] for r in stats]], 1)]
+    starts, blocks = _parts([r["n"] for r in stats], min(REF_BLOCKS * BLOCK_ROWS, max(1, REF_DOUBLES // d)))
+    part_of = np.repeat(np.arange(len(starts)), np.diff([*starts, len(stats)]))
     cells = np.array([r["cell"] for r in stats])
     radius = np.array([r["radius"] for r in stats])
-    blocks = np.array([math.ceil(r["n"] / BLOCK_ROWS) for r in stats])
     near = np.full((len(cells), k), np.inf)
     fill = {c: 0 for c in cells}
     at = {c: i for i, c in enumerate(cells)}
@@ -261,28 +275,31 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
                     sums = (gap[i][:, None] + near).ravel()
                     bound[i] = np.partition(sums, k - 1)[k - 1] if sums.size >= k else np.inf
                 reach = gap - radius[None, :] <= bound[:, None] * (1 + 1e-9) + 1e-9
-                row, col = np.nonzero(reach)
+                row, col = np.nonzero(np.logical_or.reduceat(reach, starts, axis=1))
                 times = blocks[col]
                 row, col = np.repeat(row + start, times), np.repeat(col, times)
                 block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.empty(0, int)
                 for cut in range(0, len(row), SENT_ROWS):
-                    part = slice(cut, cut + SENT_ROWS)
+                    rows = slice(cut, cut + SENT_ROWS)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("qid").take(pa.array(row[part])), b.column("bands").take(pa.array(row[part])),
-                         pa.array(cells[col[part]].astype(np.int32)), pa.array(block[part].astype(np.int32))],
-                        names=["qid", "bands", "cell", "block"])
+                        [b.column("qid").take(pa.array(row[rows])), b.column("bands").take(pa.array(row[rows])),
+                         pa.array(col[rows].astype(np.int32)), pa.array(block[rows].astype(np.int32))],
+                        names=["qid", "bands", "part", "block"])
 
     sent = cut_lineage(
-        distinct.select("qid", "bands").mapInArrow(spread, "qid string, bands array<double>, cell int, block int"), "queries")
-    visits = {r["cell"]: r["n"] for r in bounded_rows(
-        sent.filter("block = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")), PIVOTS)}
-    # Blocks and shares per cell as literals, looked up by cell.
-    blocks_of = F.create_map(*[F.lit(int(v)) for c, m in zip(cells, blocks) for v in (c, m)])
-    shares_of = F.create_map(*[F.lit(int(v)) for c in cells for v in (c, math.ceil(visits.get(c, 0) / BLOCK_ROWS) or 1)])
-    left = sent.withColumn("share", F.pmod(F.xxhash64("qid"), shares_of[F.col("cell")]).cast("int"))
-    right = placed.withColumn("block", F.pmod(F.xxhash64("sample_id"), blocks_of[F.col("cell")]).cast("int")).withColumn(
-        "share", F.explode(F.sequence(F.lit(0), shares_of[F.col("cell")] - 1))
-    )
+        distinct.select("qid", "bands").mapInArrow(spread, "qid string, bands array<double>, part int, block int"), "queries")
+    visits = {r["part"]: r["n"] for r in bounded_rows(
+        sent.filter("block = 0").groupBy("part").agg(F.count(F.lit(1)).alias("n")), PIVOTS)}
+    # Parts by cell, and blocks and shares by part, as literals.
+    parts_of = F.create_map(*[F.lit(int(v)) for pair in zip(cells, part_of) for v in pair])
+    blocks_of = F.array(*[F.lit(int(m)) for m in blocks])
+    shares_of = F.array(*[F.lit(n) for n in _shares(blocks, [visits.get(p, 0) for p in range(len(blocks))])])
+    left = sent.withColumn("share", F.pmod(F.xxhash64("qid"), shares_of[F.col("part")]).cast("int"))
+    # References of parts that no query reaches are not sent.
+    right = placed.withColumn("part", parts_of[F.col("cell")]).filter(F.col("part").isin(sorted(visits))).withColumn(
+        "block", F.pmod(F.xxhash64("sample_id"), blocks_of[F.col("part")]).cast("int")).withColumn(
+        "share", F.explode(F.sequence(F.lit(0), shares_of[F.col("part")] - 1))
+    ).select("sample_id", "label", "bands", "part", "block", "share")
 
     ref_kind = to_arrow_type(refs.schema["sample_id"].dataType)
 
@@ -296,7 +313,7 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
         qids = pa.array(np.repeat(qs.column("qid").to_numpy(), counts) if len(at) else [], pa.string())
         return pa.Table.from_arrays([qids, pa.array(away), pa.array(ids[at]).cast(ref_kind), pa.array(labels[at]).cast(pa.int32())], names=names)
 
-    keys = ["cell", "block", "share"]
+    keys = ["part", "block", "share"]
     merged = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         pair, f"qid string, distance double, ref_id {kind}, label int")
     best = Window.partitionBy("qid").orderBy("distance", "ref_id")
@@ -312,6 +329,27 @@ def _blocked_join(queries: DataFrame, refs: DataFrame, k: int, d: int, keep: lis
     return joined.select(*keep, "neighbors")
 
 
+def _parts(sizes: Sequence[int], most: int) -> tuple[list[int], np.ndarray]:
+    """Where the parts of neighbouring cells begin, and the blocks of each: parts have at most `most`
+    rows, but a larger cell is one of its own, in several blocks."""
+    starts, held = [], []
+    for i, n in enumerate(sizes):
+        if not starts or held[-1] + n > most:
+            starts.append(i)
+            held.append(0)
+        held[-1] += n
+    return starts, np.array([math.ceil(n / most) for n in held])
+
+
+def _shares(blocks: Sequence[int], visits: Sequence[int]) -> list[int]:
+    """Blocks of queries of every part, as large as leave enough pairs of blocks to be spread."""
+    for size in (max(1, BLOCK_ROWS >> i) for i in range(4)):
+        shares = [math.ceil(n / size) or 1 for n in visits]
+        if sum(int(b) * n for b, n in zip(blocks, shares)) >= FEW_PAIRS:
+            break
+    return shares
+
+
 def _gaps(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Distances of rows to pivots, measured pivot by pivot."""
     return np.stack([np.sqrt(((x - c) ** 2).sum(axis=1)) for c in p], axis=1)

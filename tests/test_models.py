@@ -184,6 +184,19 @@ def test_queries_reach_many_blocks_in_small_batches(spark, monkeypatch):
     assert rows == {i: [j for _, j in near] for i, near in enumerate(brute(q, r, 4))}
 
 
+def test_cells_share_blocks(spark, monkeypatch):
+    """Small cells that lie close together are searched as one block, so a query is not sent to each of them."""
+    sent, cut = [], neighbors.cut_lineage
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(neighbors, "cut_lineage", lambda df, name: sent.append((name, out := cut(df, name))) or out)
+    rng = np.random.RandomState(4)
+    q, r = rng.uniform(size=(50, 12)), rng.uniform(size=(240, 12))
+    got = neighbors.knn_join(samples(spark, q, [1] * 50), samples(spark, r, [1] * 240), 3, 12, limit=1)
+    rows = {x["sample_id"]: [e["ref_id"] for e in x["neighbors"]] for x in got.collect()}
+    assert rows == {i: [j for _, j in near] for i, near in enumerate(brute(q, r, 3))}
+    assert dict(sent)["queries"].count() <= 50 * 12  # 46 cells, of which a query reaches nearly all
+
+
 def test_vote_ties_go_to_the_smallest_class(spark):
     refs = samples(spark, [[0.0], [1.0], [1.0], [5.0]], [3, 2, 3, 2])
     got = neighbors.knn_predict(samples(spark, [[0.9]], [0]), refs, 4, 1, classes=[2, 3]).first()
