@@ -51,6 +51,11 @@ def fit_naive_bayes(df: DataFrame, d: int | None = None, var_smoothing: float =
     """Means and variances in one pass; every variance grows by a share of the
     largest variance any band has over all samples. Samples with a `weight` count that
     much (those of weight 0 not at all), on bands from which their mean is taken first."""
+    return fit_smoothed(df, [var_smoothing], d)[0]
+
+
+def fit_smoothed(df: DataFrame, shares: Sequence[float], d: int | None = None) -> list[NaiveBayesModel]:
+    """A model for each share by which variances grow, all from the same pass."""
     d = d or band_count(df)
     labelled = df.filter(F.col("label").isNotNull())
     rows = _weighted_rows(labelled, d) if "weight" in df.columns else _plain_rows(labelled, d)
@@ -60,7 +65,7 @@ def fit_naive_bayes(df: DataFrame, d: int | None = None, var_smoothing: float =
     prior = n / n.sum()
     center = prior @ mean
     overall = prior @ (var + (mean - center) ** 2)
-    return NaiveBayesModel(tuple(int(r["label"]) for r in rows), prior, mean, var + var_smoothing * overall.max())
+    return [NaiveBayesModel(tuple(int(r["label"]) for r in rows), prior, mean, var + share * overall.max()) for share in shares]
 
 
 def deviance_columns(model: NaiveBayesModel) -> list[Column]:
@@ -75,10 +80,19 @@ def deviance_columns(model: NaiveBayesModel) -> list[Column]:
     return out
 
 
+def fits_columns(model: NaiveBayesModel) -> bool:
+    return len(model.classes) * model.d <= BAYES_TERMS
+
+
+def deviances(x: np.ndarray, model: NaiveBayesModel) -> np.ndarray:
+    const = np.log(model.var).sum(axis=1) - 2 * np.log(model.prior)
+    return np.stack([((x - m) ** 2 / v).sum(axis=1) + c for m, v, c in zip(model.mean, model.var, const)], axis=1)
+
+
 def predict(df: DataFrame, model: NaiveBayesModel, keep: Sequence[str] | None = None, probability: bool = False) -> DataFrame:
     """Class and confidence, the smallest code winning ties."""
     keep = [c for c in df.columns if c != "bands"] if keep is None else list(keep)
-    if len(model.classes) * model.d <= BAYES_TERMS and not probability:
+    if fits_columns(model) and not probability:
         scored = df.select(*keep, F.array(*deviance_columns(model)).alias("_k")).withColumn("_best", F.array_min("_k"))
         total = None
         for i in range(len(model.classes)):
@@ -86,11 +100,10 @@ def predict(df: DataFrame, model: NaiveBayesModel, keep: Sequence[str] | None =
             total = power if total is None else total + power
         code = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position("_k", F.col("_best")).cast("int"))
         return scored.select(*keep, code.alias("class"), (1.0 / total).alias("confidence"))
-    codes, mean, var = np.array(model.classes), model.mean, model.var
-    const = np.log(var).sum(axis=1) - 2 * np.log(model.prior)
+    codes = np.array(model.classes)
 
     def compute(x, _):
-        k = np.stack([((x - mean[c]) ** 2 / var[c]).sum(axis=1) + const[c] for c in range(len(codes))], axis=1)
+        k = deviances(x, model)
         p = posterior(k)
         best = k.argmin(axis=1)
         return [codes[best], p[np.arange(len(p)), best], *([p] if probability else [])]

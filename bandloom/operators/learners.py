@@ -11,6 +11,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from dataclasses import fields as dataclass_fields
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -465,6 +466,55 @@ def fit(code: str, df: DataFrame, params: dict | None = None, seed: int = 0) ->
     return LEARNERS[code](code, df, dict(params or {}), seed)
 
 
+# Settings that act after the sums over the samples were taken.
+LATE_SETTINGS = {"GMM": ("tau", "min_eigenvalue"), "NB": ("var_smoothing",)}
+_OWN = {"GMM": gaussian_learner, "NB": bayes_learner}
+
+
+def fits_together(code: str) -> bool:
+    """Whether classifiers of this code that differ in late settings take one fit."""
+    return code in _OWN and LEARNERS.get(code) is _OWN[code]
+
+
+def fit_trials(code: str, df: DataFrame, trials: Sequence[dict], seed: int = 0) -> list[Fitted]:
+    """One classifier per trial, as `fit` gives them; trials that differ in late settings only share the passes over the samples."""
+    checked(code)
+    if not fits_together(code):
+        return [fit(code, df, t, seed) for t in trials]
+    if code == "NB":
+        for t in trials:
+            unsupported(code, t, ["var_smoothing"])
+        return [BayesFitted(m) for m in bayes.fit_smoothed(df, [float(t.get("var_smoothing", 1e-9)) for t in trials])]
+    out, shared = [], []
+    for t in trials:
+        early = {k: v for k, v in t.items() if k not in LATE_SETTINGS[code]}
+        late = {k: float(v) for k, v in t.items() if k in LATE_SETTINGS[code]}
+        model = next((m for e, m in shared if e == early), None)
+        if model is None:
+            model = fit(code, df, early, seed).model
+            shared.append((early, model))
+        out.append(GaussianFitted(replace(model, **late)))
+    return out
+
+
+def predict_each(fitted: Sequence[Fitted], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Columns in `keep`, the place of a classifier in `fitted` as `trial`, and its class.
+
+    Gaussian and Bayes models too large for columns meet the rows in one pass.
+    """
+    if all(isinstance(f, GaussianFitted) and not gaussian.fits_columns(f.model) for f in fitted):
+        solved = [(np.array(f.classes), f.model.mean, *f.model.inverses()) for f in fitted]
+        pick = lambda x: [c[gaussian.discriminants(x, m, inv, const).argmin(axis=1)] for c, m, inv, const in solved]
+    elif all(isinstance(f, BayesFitted) and not bayes.fits_columns(f.model) for f in fitted):
+        models = [(np.array(f.classes), f.model) for f in fitted]
+        pick = lambda x: [c[bayes.deviances(x, m).argmin(axis=1)] for c, m in models]
+    else:
+        every = [f.predict(df, keep).select(*keep, F.lit(i).alias("trial"), "class") for i, f in enumerate(fitted)]
+        return reduce(DataFrame.unionByName, every)
+    classes = map_matrix(df, fitted[0].d, keep, [arrow_field("_classes", "array<int>")], lambda x, _: [np.stack(pick(x), axis=1)])
+    return classes.select(*keep, F.posexplode("_classes").alias("trial", "class"))
+
+
 def with_class_weights(code: str, df: DataFrame, strategy: str = "balanced", custom: dict | None = None) -> DataFrame:
     """Samples with their class weight, for classifiers that use one."""
     from bandloom.operators.balance import attach_weights, class_weights

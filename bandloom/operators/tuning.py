@@ -38,6 +38,21 @@ def score(predicted: DataFrame, scoring: str = "accuracy") -> float:
     return float(row[0]) if row and row[0] is not None else 0.0
 
 
+def trial_scores(fitted: Sequence[learners.Fitted], valid: DataFrame, scoring: str = "accuracy") -> list[float]:
+    """`score` of several classifiers on one validation side, in one job."""
+    if scoring not in SCORES:
+        raise ValueError(f"unknown score {scoring!r}")
+    predicted = learners.predict_each(fitted, valid, ["label"]).withColumnRenamed("class", "prediction")
+    cells = metrics.cell_counts(predicted, ["trial"])
+    if scoring == "accuracy":
+        value = metrics.overall_scores(cells, ["trial"]).select("trial", "overall_accuracy")
+    else:
+        name = "weighted avg" if scoring == "f1_weighted" else "macro avg"
+        value = metrics.average_scores(cells, ["trial"]).filter(F.col("average") == name).select("trial", "f1")
+    found = {r[0]: float(r[1]) for r in value.collect() if r[1] is not None}
+    return [found.get(i, 0.0) for i in range(len(fitted))]
+
+
 def combinations(grid: dict[str, Iterable]) -> list[dict]:
     names = list(grid)
     return [dict(zip(names, values)) for values in product(*[list(grid[n]) for n in names])]
@@ -102,7 +117,8 @@ def run_trials(
     `resample` changes the training side of a fold alone, once for all trials.
 
     Samples are kept in memory or on disk once; trials are independent jobs, a few of
-    them at a time.
+    them at a time. Classifiers that are sums are fitted and scored once per fold for all
+    trials.
     """
     if sides is not None:
         folded, pairs = sides.marked, [(sides.training(i), sides.validation(i)) for i in sides.iterations]
@@ -118,6 +134,10 @@ def run_trials(
             pairs = [(cut_lineage(resample(train), "resampled"), valid) for train, valid in pairs]
         if code == "KNN":
             results = neighbor_scores(pairs, trials, scoring)
+        elif learners.fits_together(code):
+            with ThreadPoolExecutor(parallelism) as pool:
+                by_fold = pool.map(lambda p: trial_scores(learners.fit_trials(code, p[0], trials, seed), p[1], scoring), pairs)
+                results = [list(scores) for scores in zip(*by_fold)]
         else:
             with ThreadPoolExecutor(parallelism) as pool:
                 results = list(pool.map(lambda t: fold_scores(code, pairs, t, scoring, seed), trials))

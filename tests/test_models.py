@@ -3,7 +3,7 @@ import pytest
 from helpers import blobs, samples
 from pyspark.sql import functions as F
 
-from bandloom.operators import bayes, explain, gaussian, learners, neighbors, oversample, prepare, tuning
+from bandloom.operators import bayes, explain, folds, gaussian, learners, neighbors, oversample, prepare, tuning
 from bandloom.sources import models
 
 
@@ -334,6 +334,23 @@ def test_smote_to_given_counts(spark):
     assert {r["label"]: r["count"] for r in both.groupBy("label").count().collect()} == {1: 40, 2: 30, 3: 9}
 
 
+@pytest.mark.parametrize("code, d, grid", [("GMM", 2, {"tau": [0.0, 0.5, 50.0], "reg_type": ["ridge", "oas"]}), ("GMM", 6, {"tau": [0.0, 50.0]}),
+                                           ("NB", 3, {"var_smoothing": [1e-9, 0.9]}), ("NB", 30, {"var_smoothing": [1e-9, 0.9]})])
+def test_trials_share_the_fit_of_a_fold(spark, monkeypatch, code, d, grid):
+    fits, one, many = [], gaussian.fit_gaussian, bayes.fit_smoothed
+    monkeypatch.setattr(gaussian, "fit_gaussian", lambda *a, **b: fits.append(1) or one(*a, **b))
+    monkeypatch.setattr(bayes, "fit_smoothed", lambda *a, **b: fits.append(1) or many(*a, **b))
+    x, y = blobs(3, 30, d, gap=0.6)
+    folded = folds.stratified_kfold(samples(spark, x, y), 2).persist()
+    for scoring in tuning.SCORES:
+        fits.clear()
+        found = tuning.grid_search(code, folded, grid, 2, scoring=scoring)
+        assert len(fits) == 2 * len(grid.get("reg_type", [1]))
+        for h in found.history:
+            assert h["scores"] == pytest.approx(tuning.fold_scores(code, tuning.number_sides(folded), h["params"], scoring, 0), abs=1e-12)
+    folded.unpersist()
+
+
 def test_search_resamples_training_sides_alone(spark):
     x = np.random.RandomState(0).normal(size=(60, 2))
     df = samples(spark, x, [1] * 48 + [2] * 12).withColumn("fold", (F.col("sample_id") % 3).cast("int"))
