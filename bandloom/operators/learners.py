@@ -500,12 +500,20 @@ def fit_trials(code: str, df: DataFrame, trials: Sequence[dict], seed: int = 0)
 def predict_each(fitted: Sequence[Fitted], df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Columns in `keep`, the place of a classifier in `fitted` as `trial`, and its class.
 
-    Gaussian and Bayes models too large for columns meet the rows in one pass.
+    Gaussian and Bayes models meet the rows in one pass: as columns one after the other
+    where all are small enough, as matrices where none is.
     """
-    if all(isinstance(f, GaussianFitted) and not gaussian.fits_columns(f.model) for f in fitted):
+    small = [isinstance(f, (GaussianFitted, BayesFitted)) and (
+        gaussian if isinstance(f, GaussianFitted) else bayes).fits_columns(f.model) for f in fitted]
+    if all(small):
+        out, names = df, [f"_class{i}" for i in range(len(fitted))]
+        for i, f in enumerate(fitted):
+            out = f.predict(out, [*keep, *names[:i], "bands"]).withColumnRenamed("class", names[i]).drop("confidence")
+        return out.select(*keep, F.posexplode(F.array(*names)).alias("trial", "class"))
+    if not any(small) and all(isinstance(f, GaussianFitted) for f in fitted):
         solved = [(np.array(f.classes), f.model.mean, *f.model.inverses()) for f in fitted]
         pick = lambda x: [c[gaussian.discriminants(x, m, inv, const).argmin(axis=1)] for c, m, inv, const in solved]
-    elif all(isinstance(f, BayesFitted) and not bayes.fits_columns(f.model) for f in fitted):
+    elif not any(small) and all(isinstance(f, BayesFitted) for f in fitted):
         models = [(np.array(f.classes), f.model) for f in fitted]
         pick = lambda x: [c[bayes.deviances(x, m).argmin(axis=1)] for c, m in models]
     else:
