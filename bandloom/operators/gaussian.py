@@ -7,7 +7,7 @@ batches, folds and streams all reuse them, and no class is ever gathered.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -24,6 +24,8 @@ from bandloom.operators.prepare import band_count
 
 # Bands up to which moments are written as column aggregates.
 WIDE_BANDS = 10
+# Scores of mixed rows that are held at a time; they stay in a core's cache.
+MIXED_CELLS = 100_000
 # Doubles a collected model may hold.
 MODEL_DOUBLES = 50_000_000
 SHRINKAGES = ("ridge", "ledoit_wolf", "oas", "empirical")
@@ -330,6 +332,76 @@ def fits_columns(model: GaussianModel) -> bool:
     return len(model.classes) * model.d * (model.d + 1) // 2 <= GAUSSIAN_TERMS
 
 
+def scorer(model: GaussianModel) -> Callable[[np.ndarray], np.ndarray]:
+    """Class probabilities of a matrix, as `predict` gives them."""
+    inv, const = model.inverses()
+    if not fits_columns(model):
+        return lambda x: posterior(discriminants(x, model.mean, inv, const))
+    limit = fv_limit()
+    # What is not a number counts as the largest, as Spark's functions take it.
+    clip = lambda k: np.maximum(np.fmin(k * -0.5, limit), -limit)
+
+    def score(x):
+        with np.errstate(all="ignore"):
+            k = discriminants(x, model.mean, inv, const)
+            e = np.exp(clip(k) - clip(np.fmin.reduce(k, axis=1))[:, None])
+            return e / e.sum(axis=1, keepdims=True)
+
+    return score
+
+
+def mixer(model: GaussianModel) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Mean class probabilities, (classes, rows), of every row of x over `others`, from which the bands
+    that are not `members` come.
+
+    The discriminant of a mixed row falls into a part of either row and the product of both,
+    so a class costs one product of matrices for all pairs of rows.
+    """
+    inv, const = model.inverses()
+    score, limit, outputs = scorer(model), fv_limit(), len(model.classes)
+
+    def sides(x, members, others):
+        """Per class two matrices whose product is -k/2."""
+        inside, outside = np.flatnonzero(members), np.flatnonzero(~members)
+        for mean, m, c in zip(model.mean, inv, const):
+            own, rest = x[:, inside] - mean[inside], others[:, outside] - mean[outside]
+            size = lambda v, at, m=m: ((v @ m[np.ix_(at, at)]) * v).sum(axis=1)
+            left = np.column_stack([rest @ -m[np.ix_(outside, inside)], -0.5 * (size(rest, outside) + c), np.full(len(rest), -0.5)])
+            yield left, np.vstack([own.T, np.ones(len(own)), size(own, inside)])
+
+    def mix(x, members, others):
+        with np.errstate(all="ignore"):
+            left, right = map(np.stack, zip(*sides(x, members, others)))
+            rows = min(len(x), max(1, MIXED_CELLS // (outputs * len(others))))
+            held, highest = np.empty(outputs * len(others) * rows), np.empty(len(others) * rows)
+            out = np.empty((outputs, len(x)))
+            for i in range(0, len(x), rows):
+                part = right[:, :, i : i + rows]
+                n = part.shape[2]
+                e, top = held[: outputs * len(others) * n].reshape(outputs, len(others), n), highest[: len(others) * n].reshape(len(others), n)
+                np.matmul(left, part, out=e)
+                e.max(axis=0, out=top)
+                # Where a limit acts or bands are missing, row by row as in `predict`.
+                if not (top.min() > -limit and top.max() < limit):
+                    out[:, i : i + n] = mean_scores(score, x[i : i + n], members, others)
+                    continue
+                e -= top
+                np.exp(e, out=e)
+                e /= e.sum(axis=0, out=top)
+                e.mean(axis=1, out=out[:, i : i + n])
+            return out
+
+    return mix
+
+
+def mean_scores(score: Callable[[np.ndarray], np.ndarray], x: np.ndarray, members: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """What `mixer` gives, of any scorer."""
+    total = 0.0
+    for other in others:
+        total = total + score(np.where(members, x, other)).T
+    return total / len(others)
+
+
 def predict(
     df: DataFrame, model: GaussianModel, keep: Sequence[str] | None = None, tau: float | None = None,
     probability: bool = False,

@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from dataclasses import fields as dataclass_fields
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 import numpy as np
@@ -45,7 +45,11 @@ FOURIER_FEATURES = 128
 
 
 class Fitted:
-    """A trained classifier."""
+    """A trained classifier.
+
+    Where a task can predict by itself, `scorer()` gives a function of a matrix of band
+    vectors that returns class probabilities, and `mixer()` one as `gaussian.mixer`.
+    """
 
     code: str
     classes: list[int]
@@ -54,6 +58,9 @@ class Fitted:
     def predict(self, df: DataFrame, keep: Sequence[str], probability: bool = False) -> DataFrame:
         raise NotImplementedError
 
+    def mixer(self):
+        return partial(gaussian.mean_scores, self.scorer())
+
 
 def checked(code: str) -> str:
     if code not in CODES:
@@ -85,6 +92,12 @@ class GaussianFitted(Fitted):
     def predict(self, df, keep, probability=False):
         return gaussian.predict(df, self.model, keep, probability=probability)
 
+    def scorer(self):
+        return gaussian.scorer(self.model)
+
+    def mixer(self):
+        return gaussian.mixer(self.model)
+
 
 @dataclass
 class BayesFitted(Fitted):
@@ -102,6 +115,9 @@ class BayesFitted(Fitted):
     def predict(self, df, keep, probability=False):
         return bayes.predict(df, self.model, keep, probability=probability)
 
+    def scorer(self):
+        return lambda x: gaussian.posterior(bayes.deviances(x, self.model))
+
 
 @dataclass
 class NeighborFitted(Fitted):
@@ -178,13 +194,15 @@ class TreesFitted(Fitted):
                 out += tree.value[tree.leaf(x)] / len(self.trees)
         return out
 
+    def scorer(self):
+        return (lambda x: boosting.softmax(self.scores(x))) if self.boosted else self.scores
+
     def predict(self, df, keep, probability=False):
         shared = df.sparkSession.sparkContext.broadcast(self)
         codes = np.array(self.classes, dtype=np.int32)
 
         def compute(x, _):
-            model = shared.value
-            p = boosting.softmax(model.scores(x)) if model.boosted else model.scores(x)
+            p = shared.value.scorer()(x)
             best = p.argmax(axis=1)
             made = [codes[best], p[np.arange(len(p)), best]]
             return [*made, p] if probability else made
@@ -217,6 +235,9 @@ class PerceptronFitted(Fitted):
     def d(self):
         return self.network.sizes[0]
 
+    def scorer(self):
+        return self.network.probabilities
+
     def predict(self, df, keep, probability=False):
         shared, codes = df.sparkSession.sparkContext.broadcast(self.network), np.array(self.classes, dtype=np.int32)
 

@@ -418,3 +418,50 @@ def test_attributions_mix_rows_where_they_lie(spark, monkeypatch, wide):
     # 31 samples with 5 background rows for two coalitions and one row for the full one.
     mixed = model.asked[-1]
     assert mixed.count() == 31 * (2 * 5 + 1)
+
+
+class ByRows(learners.Fitted):
+    """A model that can only predict tables."""
+
+    def __init__(self, model):
+        self.model, self.code, self.classes, self.d = model, model.code, model.classes, model.d
+
+    def predict(self, df, keep, probability=False):
+        return self.model.predict(df, keep, probability)
+
+
+@pytest.mark.parametrize("wide", [64, 0])
+@pytest.mark.parametrize("code, d, options", [
+    ("GMM", 2, {}), ("GMM", 4, {}), ("NB", 3, {}), ("ET", 3, {"n_estimators": 2, "max_depth": 2}), ("GBC", 2, {"n_estimators": 1, "max_depth": 2}),
+    ("MLP", 2, {"max_iter": 5, "alpha": 1e-4})])
+def test_attributions_inside_tasks_equal_mixed_rows(spark, monkeypatch, wide, code, d, options):
+    monkeypatch.setattr(explain, "WIDE_SUMS", wide)
+    monkeypatch.setattr(explain, "MIXED_ROWS", 40)
+    monkeypatch.setattr(gaussian, "MIXED_CELLS", 150)
+    x, y = blobs(3, 20, d, gap=1.0)
+    x[:, 0] = np.round(x[:, 0])
+    model = learners.fit(code, samples(spark, x, y), options)
+    odd = [*x, x[3] + 1, x[4] * 1e6]
+    if code != "MLP":
+        odd.append([np.nan, *x[5, 1:]])
+    df = samples(spark, odd, [1] * len(odd)).withColumn("sample_id", F.when(F.col("sample_id") == 60, 3).otherwise(F.col("sample_id")))
+    small = code == "GMM" and d == 2
+    if small:
+        # A row without bands, one band of which is missing, and one that is infinite.
+        df = df.union(spark.createDataFrame([(90, 1, None), (91, 1, [1.0, None]), (92, 1, [float("inf"), 0.0])], df.schema))
+    take = lambda m: {(r["sample_id"], r["class"], r["band"]): r["value"] for r in explain.shapley_values(m, df, samples(spark, x[:7], y[:7])).collect()}
+    got, want = take(model), take(ByRows(model))
+    assert got == pytest.approx(want, abs=1e-9, nan_ok=True) and len(got) == (61 + (code != "MLP") + 3 * small) * 3 * d
+
+
+@pytest.mark.parametrize("how", explain.AGGREGATES)
+def test_importance_by_coalitions_writes_no_mixed_rows(spark, how):
+    x, y = blobs(2, 20, 2, gap=1.0)
+    df = samples(spark, [*x, x[1] + 1], [*y, 1]).withColumn("sample_id", F.when(F.col("sample_id") == 40, 1).otherwise(F.col("sample_id")))
+    model = learners.fit("GMM", df)
+    want = {r.band: r.importance for r in explain.aggregate_attributions(explain.shapley_values(ByRows(model), df, seed=2), how).collect()}
+    short = explain.shapley_importance(model, df, how, seed=2)
+    assert {r.band: r.importance for r in short.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 2
+    assert "cid" not in short._jdf.queryExecution().analyzed().toString()
+    with pytest.raises(Exception, match="2 bands expected, found 3"):
+        explain.shapley_importance(model, samples(spark, [[1, 2, 3]], [1]), how, background=df).collect()
